@@ -1,0 +1,31 @@
+"""Group values attached to the rows of the group.
+
+An unordered window such as ``max(x) OVER (PARTITION BY k)`` brings every row of a
+key to one task. Here the group value is a partial aggregate, and the rows reach it
+by a join whose hot keys adaptive execution can split.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equally named keys where NULL equals NULL; the keys of the left side remain."""
+    marked = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    matches = [left[k].eqNullSafe(marked[f"__{k}"]) for k in keys]
+    return left.join(marked, matches, how).drop(*[f"__{k}" for k in keys])
+
+
+def with_group_values(df: DataFrame, keys: Sequence[str], **values: Column) -> DataFrame:
+    """``df`` with one more column per aggregate over the rows that share ``keys``."""
+    groups = df.groupBy(*keys).agg(*[v.alias(name) for name, v in values.items()])
+    return null_safe_join(df, groups, keys)
+
+
+def least_row(order: Sequence[Column]) -> Column:
+    """Aggregate: the smallest combination of the given columns as a struct."""
+    return F.min(F.struct(*order))
