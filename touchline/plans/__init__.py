@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame
 
-from touchline.plans import traffic
+from touchline.plans import experiments, traffic
 
 JOBS: dict[str, Callable[..., DataFrame]] = {
     "channel_uniques": traffic.channel_uniques,
@@ -18,4 +18,9 @@ JOBS: dict[str, Callable[..., DataFrame]] = {
     "partner_semimonth_funnel": traffic.partner_semimonth_funnel,
     "growth_web_long": traffic.growth_web_long,
     "growth_web_wide": traffic.growth_web_wide,
+    "ab_session_last_page": experiments.ab_session_last_page,
+    "ab_single_variant": experiments.ab_single_variant,
+    "ab_funnel_ilike": experiments.ab_funnel_ilike,
+    "ab_funnel_exclusions": experiments.ab_funnel_exclusions,
+    "ab_exposure_attribution": experiments.ab_exposure_attribution,
 }

@@ -273,7 +273,9 @@ def definitions(d: Dialect) -> dict[str, str]:
         FROM $customer"""
     q["client"] = f"""
         SELECT 'C' || cast(c_custkey as string) AS id, {person} AS principalpersonid
-        FROM $customer WHERE c_mktsegment IN ('AUTOMOBILE', 'HOUSEHOLD', 'MACHINERY')"""
+        FROM $customer WHERE c_mktsegment IN ('AUTOMOBILE', 'HOUSEHOLD', 'MACHINERY')
+        UNION ALL
+        SELECT 'C' || cast(c_custkey + 1 as string) || 'B', {person} FROM $customer WHERE c_nationkey < 6"""
 
     # --- leads and opportunities --------------------------------------------------
     q["lead_clock"] = """
@@ -288,7 +290,8 @@ def definitions(d: Dialect) -> dict[str, str]:
     closed = "CASE WHEN k % 7 <> 0 THEN created + interval '1' day * (k % 90) END"
     has_opp = "c_nationkey >= 8"
     q["lead_data"] = f"""
-        SELECT {key('L', 'k')} AS id, {mail('k')} AS email, 'C' || cast(k as string) AS client_key,
+        SELECT {key('L', 'k')} AS id, {mail('k')} AS email,
+               'C' || cast(k as string) || CASE WHEN k % 16 = 1 THEN 'B' ELSE '' END AS client_key,
                CASE WHEN {has_opp} THEN {key('O', 'k')} END AS opp_id, {key('A', 'k')} AS accountid,
                {pick('k % 3', 'Demo', 'Signup', None)} AS cta, {source} AS leadsource,
                {stamp} AS channel_allocation_stamp__c, created AS lead_created_datetime_pstpdt,
