@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.operators.grouped import null_safe_join
@@ -30,9 +30,17 @@ def several_variants(df: DataFrame, user: str, variant: str) -> DataFrame:
     return seen.agg(F.min(variant).alias("a"), F.max(variant).alias("b")).filter("a <> b").select(user)
 
 
-def single_device(df: DataFrame, user: Sequence[str], device: str, **values) -> DataFrame:
-    """One row per user who used exactly one known device, with that device and further aggregates."""
+def single_device(
+    df: DataFrame, user: Sequence[str], device: str, last_device: str | None = None, **values: Column
+) -> DataFrame:
+    """One row per user who used exactly one known device, with that device and further aggregates.
+
+    ``last_device`` names the column with the largest device name where ``df`` is
+    already summed up and ``device`` holds the smallest.
+    """
     users = df.groupBy(*user).agg(
-        F.min(device).alias("device"), F.max(device).alias("__last"), *[v.alias(n) for n, v in values.items()]
+        F.min(device).alias("device"),
+        F.max(last_device or device).alias("__last"),
+        *[value.alias(name) for name, value in values.items()],
     )
     return users.filter(F.col("device") == F.col("__last")).drop("__last")

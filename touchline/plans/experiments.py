@@ -14,6 +14,7 @@ from touchline.operators.funnel import LeadDefinition
 from touchline.operators.grouped import least_row, null_safe_join
 from touchline.operators.identity import Key, distinct_values, fold_case, identity_join, keyed, pattern_pairs, to_patterns
 from touchline.operators.touch import last_page_before, session_flags, true_flags
+from touchline.session import materialise
 
 Tables = Mapping[str, DataFrame]
 
@@ -145,6 +146,7 @@ def ab_single_variant(
     rows = firsts.join(clients, F.col("inferred_person_id") == F.col("principalpersonid"), "left").drop(
         "principalpersonid"
     )
+    rows = materialise(rows)
     leads = tables["lead_data"].select(
         F.col("email").alias("lead_email"), F.col("client_key").alias("lead_key"), "lead_created_datetime_pstpdt",
         F.col("opp_id").alias("lead_opp"),
@@ -197,7 +199,7 @@ def ab_exposure_attribution(
         )
     )
     firsts = single_variant(views, ["user_id"], "clean_variant", first_of="pageview_date")
-    firsts = firsts.withColumnRenamed("min_exposure", "min_pageview").distinct()
+    firsts = materialise(firsts.withColumnRenamed("min_exposure", "min_pageview").distinct())
     leads = tables["lead_attributions"].select(
         F.col("email").alias("lead_email"), F.col("opportunity_id").alias("lead_opp"), "lead_created_datetime_pstpdt"
     )
@@ -257,8 +259,19 @@ def _dropouts(tables: Tables, leads: DataFrame, definition: LeadDefinition) -> D
 
 
 def _home_views(tables: Tables, time_bound: Column, path: str) -> DataFrame:
+    """The days each user saw the page, with the smallest and largest device name of the day."""
     day = trunc(to_pacific(F.col("time")), "day").alias("view_day")
-    return tables["pageviews"].filter((F.col("path") == path) & time_bound).select("user_id", day, "device_type")
+    pages = tables["pageviews"].filter((F.col("path") == path) & time_bound)
+    return pages.groupBy("user_id", day).agg(
+        F.min("device_type").alias("device"), F.max("device_type").alias("last_device")
+    )
+
+
+def _single_device_viewers(views: DataFrame) -> DataFrame:
+    """Users who saw the page on exactly one device, with that device and their view days."""
+    return single_device(
+        views, ["user_id"], "device", "last_device", since=F.min("view_day"), last_view=F.max("view_day")
+    )
 
 
 def _by_key_and_day(
@@ -333,13 +346,10 @@ def ab_funnel_ilike(
     )
     local = to_pacific(F.col("time"))
     views = _home_views(tables, local_since(F.col("time"), trunc(local, "day"), start), path)
-    viewers = single_device(
-        views, ["user_id"], "device_type", since=F.min("view_day"), last_view=F.max("view_day")
-    )
-    people = people.join(viewers, "user_id")
+    people = materialise(people.join(_single_device_viewers(views), "user_id"))
 
-    leads = _known_leads(tables, start)
-    dropouts = _dropouts(tables, leads, definition)
+    leads = materialise(_known_leads(tables, start))
+    dropouts = materialise(_dropouts(tables, leads, definition))
     keys = keyed(people, ["user_id", "since"], [("client", "client_id"), ("email", "email"), ("email", "person_email")])
     addresses = distinct_values((leads, "crm_email"), (dropouts, "email"))
     fold = None
@@ -422,7 +432,7 @@ def _rows_per_person(
     members = null_safe_join(members, sizes, group)
     alone = members.filter("profiles = 1")
     several = members.filter("profiles > 1")
-    user_days = views.select("user_id", "view_day").distinct()
+    user_days = views.select("user_id", "view_day")
 
     # Groups of one profile: leads since a view day, counted once per profile and day.
     per_day = created.groupBy(*profile, "day").agg(F.count(F.lit(1)).alias("n"))
@@ -507,10 +517,10 @@ def ab_funnel_exclusions(
         .select("user_id", "variation_id", "email", "person_email", "client_id")
     )
     views = _home_views(tables, F.col("time") >= F.convert_timezone(F.lit("PST8PDT"), F.lit("UTC"), ts(start)), path)
-    viewers = single_device(views, ["user_id"], "device_type", since=F.min("view_day"))
-    people = people.join(viewers, "user_id")
+    views = materialise(views)
+    people = materialise(people.join(_single_device_viewers(views), "user_id"))
 
-    leads = _known_leads(tables, start)
+    leads = materialise(_known_leads(tables, start))
     dropouts = (
         _dropouts(tables, leads, definition)
         .filter(F.col("created") >= ts(start))
@@ -537,6 +547,7 @@ def ab_funnel_exclusions(
         rows = rows.withColumn("rows", F.lit(1).cast("bigint"))
     else:
         # Only people with a trial or a value add to the sums.
+        by_lead = materialise(by_lead)
         counted = by_lead.filter("trial = 1 OR won_mrr IS NOT NULL").select("user_id")
         retro_opps = tables["opportunity"].filter(
             (F.col("stagename") == "Onboarded with Retro") & (F.col("recordtypeid") == retro_record_type)
@@ -545,7 +556,7 @@ def ab_funnel_exclusions(
             retro_opps.select(F.col("id").alias("opp_id")), "opp_id", "left_semi"
         )
         inflation = _rows_per_person(
-            people.join(counted, "user_id", "left_semi"),
+            materialise(people.join(counted, "user_id", "left_semi")),
             views.join(counted, "user_id", "left_semi"),
             leads, lead_keys, retro, [("client", "client_key"), ("own", "email"), ("crm", "email")], person_keys,
         )

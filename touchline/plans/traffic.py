@@ -242,54 +242,73 @@ class GrowthPatterns:
             "resource": path.ilike("%resources%"),
         }
 
-    def any_view(self) -> Column:
-        return self.refer_view | self.referral_view | self.paid_view
 
+# Column of the wide report and label of the long one.
+_VIEW_ACTIVITIES = {"raf_inapp": "raf_inapp_pv", "raf_lp": "raf_lp_pv", "paid_pv": "paid_pv"}
+_SESSION_ACTIVITIES = ("blog_sup", "blog_resource")
 
-def _growth_inputs(tables: Tables, start: str, patterns: GrowthPatterns) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Single views, session flags and share clicks since the start, each with its Pacific month."""
+
+def _growth_months(
+    tables: Tables, start: str, views: Mapping[str, Column], first_match: bool, patterns: GrowthPatterns
+) -> DataFrame:
+    """Per Pacific month: distinct users of each activity, and whether the activity or its source occurs.
+
+    Views are bounded by the moment, sessions by the month. Both come from one pass
+    over the page views: sessions first, then users, then months.
+    """
     time = F.col("time")
     local = to_pacific(time)
     month = trunc(local, "month")
-    pages = tables["pageviews"]
-    views = pages.filter(local_since(time, local, start) & patterns.any_view()).withColumn("themonth", month)
-    # Sessions are bounded by the month, views by the moment.
-    in_months = pages.filter((month >= ts(start)) & local_since(time, local, start))
-    sessions = session_flags(
-        in_months, [month.alias("themonth"), F.col("user_id"), F.col("session_id")], patterns.session
-    ).withColumns(
-        {
-            "blog_to_signup": F.col("blog") & (F.col("tool") | F.col("signup")),
-            "blog_to_resource": F.col("blog") & F.col("resource"),
-        }
+    pages = tables["pageviews"].filter(local_since(time, local, start))
+    flags = {**views, **{f"in_{n}": c for n, c in patterns.session.items()}}
+    sessions = session_flags(pages, [month.alias("themonth"), F.col("user_id"), F.col("session_id")], flags)
+    counted = F.col("themonth") >= ts(start)
+    to_signup = F.col("in_blog") & (F.col("in_tool") | F.col("in_signup"))
+    to_resource = F.col("in_blog") & F.col("in_resource")
+    if first_match:
+        to_resource = ~F.coalesce(to_signup, F.lit(False)) & to_resource
+    sessions = sessions.withColumns(
+        {"blog_sup": counted & to_signup, "blog_resource": counted & to_resource, "any_session": counted}
+    )
+    names = [*views, *_SESSION_ACTIVITIES]
+    users = session_flags(
+        sessions, [F.col("themonth"), F.col("user_id")], {n: F.col(n) for n in [*names, "any_session"]}
+    )
+    known = F.col("user_id").isNotNull()
+    return users.groupBy("themonth").agg(
+        *[F.count_if(F.col(n) & known).alias(n) for n in names],
+        *[F.coalesce(F.bool_or(n), F.lit(False)).alias(f"has_{n}") for n in names],
+        F.bool_or("any_session").alias("any_session"),
+    )
+
+
+def _share_clicks(tables: Tables, start: str) -> DataFrame:
+    local = to_pacific(F.col("time"))
+    clicks = tables["share_clicks"].filter(local_since(F.col("time"), local, start))
+    return clicks.groupBy(trunc(local, "month").alias("click_month")).agg(
+        F.countDistinct("user_id").alias("raf_clicks")
     )
-    clicks = tables["share_clicks"].filter(local_since(time, local, start)).withColumn("themonth", month)
-    return views, sessions, clicks
 
 
 def growth_web_long(
     tables: Tables, *, start: str = "1996-01-01", patterns: GrowthPatterns | None = None
 ) -> DataFrame:
     """Distinct users per month and activity; a view or session counts for its first matching activity."""
-    patterns = patterns or GrowthPatterns()
-    views, sessions, clicks = _growth_inputs(tables, start, patterns)
-    view_activity = (
-        F.when(patterns.refer_view, "raf_inapp_pv")
-        .when(patterns.referral_view, "raf_lp_pv")
-        .when(patterns.paid_view, "paid_pv")
-    )
-    session_activity = F.when(F.col("blog_to_signup"), "blog_sup").when(F.col("blog_to_resource"), "blog_resource")
-
-    def users(df: DataFrame, activity: Column) -> DataFrame:
-        counted = df.groupBy("themonth", activity.alias("web_activity"))
-        return counted.agg(F.countDistinct("user_id").alias("count")).select("themonth", "count", "web_activity")
-
-    parts = [
-        users(views, view_activity),
-        users(sessions, session_activity).filter(F.col("web_activity").isNotNull()),
-        users(clicks, F.lit("raf_clicks")),
+    p = patterns or GrowthPatterns()
+    no = F.lit(False)
+    refer, referral = F.coalesce(p.refer_view, no), F.coalesce(p.referral_view, no)
+    views = {"raf_inapp": refer, "raf_lp": ~refer & referral, "paid_pv": ~refer & ~referral & p.paid_view}
+    months = _growth_months(tables, start, views, True, p)
+    labels = {**_VIEW_ACTIVITIES, **{n: n for n in _SESSION_ACTIVITIES}}
+    entries = [
+        F.struct(F.col(f"has_{n}").alias("present"), F.col(n).alias("count"), F.lit(label).alias("web_activity"))
+        for n, label in labels.items()
     ]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2]).distinct()
+    activities = months.select("themonth", F.inline(F.array(*entries))).filter("present").drop("present")
+    clicks = _share_clicks(tables, start)
+    return activities.unionAll(
+        clicks.select(F.col("click_month").alias("themonth"), F.col("raf_clicks").alias("count"), F.lit("raf_clicks"))
+    )
 
 
 def growth_web_wide(
@@ -297,35 +316,23 @@ def growth_web_wide(
 ) -> DataFrame:
     """The activities as columns; here a view counts for every activity it matches.
 
-    Clicks hang on the session months: a month without sessions has no click count.
+    A month without a listed view has no view counts, and one without sessions has
+    neither session counts nor clicks.
     """
-    patterns = patterns or GrowthPatterns()
-    views, sessions, clicks = _growth_inputs(tables, start, patterns)
-    single = funnel_counts(
-        views,
-        ["themonth"],
-        {
-            "raf_inapp": ("user_id", patterns.refer_view),
-            "raf_lp": ("user_id", patterns.referral_view),
-            "paid_pv": ("user_id", patterns.paid_view),
-        },
-    ).withColumnRenamed("themonth", "view_month")
-    multi = funnel_counts(
-        sessions,
-        ["themonth"],
-        {
-            "blog_sup": ("user_id", F.col("blog_to_signup")),
-            "blog_resource": ("user_id", F.col("blog_to_resource")),
-        },
-    ).withColumnRenamed("themonth", "session_month")
-    clicked = funnel_counts(clicks, ["themonth"], {"raf_clicks": ("user_id", None)}).withColumnRenamed(
-        "themonth", "click_month"
-    )
+    p = patterns or GrowthPatterns()
+    views = {"raf_inapp": p.refer_view, "raf_lp": p.referral_view, "paid_pv": p.paid_view}
+    months = _growth_months(tables, start, views, False, p)
+    any_view = F.col("has_raf_inapp") | F.col("has_raf_lp") | F.col("has_paid_pv")
+    any_session = F.col("any_session")
+    clicks = _share_clicks(tables, start)
     return (
-        multi.join(single, F.col("session_month") == F.col("view_month"), "full")
-        .join(clicked, F.col("session_month") == F.col("click_month"), "left")
+        months.filter(any_view | any_session)
+        .join(clicks, any_session & (F.col("themonth") == F.col("click_month")), "left")
         .select(
-            F.coalesce("session_month", "view_month").alias("themonth"),
-            "raf_inapp", "raf_lp", "raf_clicks", "paid_pv", "blog_sup", "blog_resource",
+            "themonth",
+            *[F.when(any_view, F.col(n)).alias(n) for n in ("raf_inapp", "raf_lp")],
+            "raf_clicks",
+            F.when(any_view, F.col("paid_pv")).alias("paid_pv"),
+            *[F.when(any_session, F.col(n)).alias(n) for n in _SESSION_ACTIVITIES],
         )
-    )
+    )

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings; all of them can be changed on a live session.
 SQL_SETTINGS = {
@@ -40,3 +43,34 @@ def local_session(cores: str = "*", app: str = "touchline", **extra: str) -> Spa
     spark = configure(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_own_folders: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
+
+    Only a local session without that setting gets a temporary folder of its own.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder:
+        return folder
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _own_folders:
+        _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="touchline-")
+    return _own_folders[context.applicationId]
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write a result that several later steps read, and continue from the written table.
+
+    Unlike a cached result it outlives executors, and the readers prune columns and
+    skip row groups. The folder is left to the retention rule of the shared folder.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/touchline/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
