@@ -6,12 +6,13 @@ the definitions of the tables it uses in front of it.
 
 from __future__ import annotations
 
-from oracle import ads, email, experiments, leads, referrals, traffic
+from oracle import ads, attribution, email, experiments, leads, referrals, traffic
 from touchline.sources import testdata
 
 QUERIES: dict[str, str] = {
     **traffic.QUERIES,
     **experiments.QUERIES,
+    **attribution.QUERIES,
     **email.QUERIES,
     **leads.QUERIES,
     **ads.QUERIES,

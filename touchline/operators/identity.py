@@ -35,13 +35,17 @@ def _literal(parked: Column) -> Column:
 
 
 def _like(text: Column, parked: Column) -> Column:
-    """Case-insensitive pattern match that accepts any pattern, also one ending in a backslash."""
     p = parked
     for char, escaped in ((_BACKSLASH, "\\\\"), (_UNDERSCORE, "\\_"), (_PERCENT, "\\%")):
         p = F.replace(p, F.lit(char), F.lit(escaped))
     return F.like(F.lower(text), p)
 
 
+def ilike_column(text: Column, pattern: Column) -> Column:
+    """``text ILIKE pattern`` for a pattern column, also where a pattern ends in a backslash."""
+    return _like(text, _parked(pattern))
+
+
 def pattern_pairs(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """All pairs ``(text, pattern)`` with ``text ILIKE pattern``.
 
@@ -119,7 +123,7 @@ class Key:
         elif self.kind == "exact_ci":
             test = F.lower(left) == F.lower(right)
         else:
-            test = _like(left, _parked(right))
+            test = ilike_column(left, right)
         return F.coalesce(test, F.lit(False))
 
 

@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame
 
-from touchline.plans import experiments, traffic
+from touchline.plans import ads, attribution, email, experiments, leads, referrals, traffic
 
 JOBS: dict[str, Callable[..., DataFrame]] = {
     "channel_uniques": traffic.channel_uniques,
@@ -23,4 +23,36 @@ JOBS: dict[str, Callable[..., DataFrame]] = {
     "ab_funnel_ilike": experiments.ab_funnel_ilike,
     "ab_funnel_exclusions": experiments.ab_funnel_exclusions,
     "ab_exposure_attribution": experiments.ab_exposure_attribution,
+    "keyword_conversions": attribution.keyword_conversions,
+    "conversions_by_channel_device": attribution.conversions_by_channel_device,
+    "bottom_funnel_actuals": attribution.bottom_funnel_actuals,
+    "reallocation_buckets": attribution.reallocation_buckets,
+    "quiz_campaign_attribution": attribution.quiz_campaign_attribution,
+    "contact_details_credit": attribution.contact_details_credit,
+    "email_campaign_metrics": email.email_campaign_metrics,
+    "email_channel_conversions": email.email_channel_conversions,
+    "email_leads": email.email_leads,
+    "email_to_sales_within": email.email_to_sales_within,
+    "email_contacted": email.email_contacted,
+    "email_engaged": email.email_engaged,
+    "email_unengaged": email.email_unengaged,
+    "email_frequency": email.email_frequency,
+    "email_zero_sends": email.email_zero_sends,
+    "email_totals": email.email_totals,
+    "email_contactable": email.email_contactable,
+    "email_prospect": email.email_prospect,
+    "email_utm_funnel": email.email_utm_funnel,
+    "mailing_audience": email.mailing_audience,
+    "contactable": email.contactable,
+    "form_fills": email.form_fills,
+    "form_fill_funnel": email.form_fill_funnel,
+    "chat_cohort_funnel": leads.chat_cohort_funnel,
+    "nurtured_lead_events": leads.nurtured_lead_events,
+    "score_at_assignment": leads.score_at_assignment,
+    "account_group_map": leads.account_group_map,
+    "lead_definition_audit": leads.lead_definition_audit,
+    "paid_ads_daily": ads.paid_ads_daily,
+    "referral_page_conversions": referrals.referral_page_conversions,
+    "referral_lead_sources": referrals.referral_lead_sources,
+    "referring_accounts": referrals.referring_accounts,
 }
