@@ -12,6 +12,7 @@ from touchline.functions.times import to_pacific, trunc, ts
 from touchline.operators.funnel import LeadDefinition, conversion_rate, funnel_counts, milestones_long, same_month
 from touchline.operators.grouped import with_group_values
 from touchline.operators.history import fallback_enrich, nearest_change, sibling_structure
+from touchline.session import materialise
 
 Tables = Mapping[str, DataFrame]
 
@@ -23,6 +24,7 @@ def chat_cohort_funnel(tables: Tables, *, source: str = "Live Chat") -> DataFram
         F.col("id").alias("opp"), "trial_call_booked__c", "closedate", "stagename", "iswon"
     )
     leads = tables["lead_data"].filter(F.col("leadsource") == source)
+    leads = leads.select("id", "opp_id", "lead_created_datetime_pstpdt")
     won = same_month(created, F.col("closedate")) & (F.col("stagename") == "Client") & F.col("iswon")
     cohort = leads.join(opps, F.col("opp_id") == F.col("opp"), "left").withColumn("month", trunc(created, "month"))
     return funnel_counts(
@@ -159,7 +161,7 @@ def account_group_map(
     leads = tables["lead_data"].select(
         "accountid", F.col("channel_allocation_stamp__c").alias("channel"), "leadsource", "closedate"
     )
-    placed = children.join(leads, F.col("id") == F.col("accountid"), "left").drop("accountid")
+    placed = materialise(children.join(leads, F.col("id") == F.col("accountid"), "left").drop("accountid"))
     checked = sibling_structure(placed, "parentid", "client_key", F.col("channel"), follow_up_channel)
 
     # Only accounts with a row that has no closing date have a fallback; it then applies to all their rows.

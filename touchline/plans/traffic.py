@@ -28,6 +28,7 @@ from touchline.operators.touch import (
     session_flags,
     within_limits,
 )
+from touchline.session import materialise
 
 Tables = Mapping[str, DataFrame]
 
@@ -153,10 +154,12 @@ def core_traffic_last_touch(
         _lead_conversions(tables, lead_type),
         "unique_id", "time", "conversion_date", keep_limits=True,
     )
-    distinct_visits = visits.select(
-        "thedate", "theweek", "time", "unique_id", "total_touch_count", "medium", "submedium", "utm_medium",
-        "source", "utm_campaign", "landing_page", "__last", "__undated",
-    ).distinct()
+    distinct_visits = materialise(
+        visits.select(
+            "thedate", "theweek", "time", "unique_id", "total_touch_count", "medium", "submedium", "utm_medium",
+            "source", "utm_campaign", "landing_page", "__last", "__undated",
+        ).distinct()
+    )
 
     wanted = distinct_visits.select("unique_id", "total_touch_count", "thedate", "__last", "__undated").distinct()
     before = prior_touch(wanted, touches, "unique_id", "total_touch_count", "thedate", how="inner")
