@@ -37,8 +37,8 @@ _WITHIN = """
 
 _SENT = """
     WITH sent AS (
-        SELECT *, (contains(lower(primary_attribute_value), 'syllabus')
-                   OR contains(lower(primary_attribute_value), '_opr_')) AS triggered,
+        SELECT *, coalesce(contains(lower(primary_attribute_value), 'syllabus')
+                           OR contains(lower(primary_attribute_value), '_opr_'), FALSE) AS triggered,
                CASE WHEN contains(lower(link), 'unsub') AND NOT contains(lower(primary_attribute_value), '_opr_')
                     THEN sent_id END AS unsub
         FROM $mail_dashboard WHERE date_trunc('month', email_sent) = TIMESTAMP '2024-01-01')"""

@@ -23,7 +23,8 @@ _SESSION_LAST_PAGE = f"""
         FROM bucketed WHERE to_signup AND bucket IS NOT NULL GROUP BY ALL),
     chosen AS (
         SELECT b.user_id, b.session_id, b.seen, b.bucket
-        FROM bucketed b JOIN last_signup s ON s.user_id = b.user_id AND s.session_id = b.session_id
+        FROM bucketed b JOIN last_signup s
+          ON s.user_id IS NOT DISTINCT FROM b.user_id AND s.session_id IS NOT DISTINCT FROM b.session_id
         WHERE b.seen <= s.at AND b.bucket <> 'signup'
         QUALIFY row_number() OVER (PARTITION BY b.user_id, b.session_id ORDER BY b.seen DESC, b.path) = 1)
     SELECT c.user_id, c.session_id, c.seen AS pageview_time, i.inferred_email,

@@ -168,7 +168,7 @@ _PARTNER = f"""
                    OVER (PARTITION BY date_trunc('month', time), unique_id) AS first_day
         FROM mine)
     SELECT date_trunc('month', first_day)::TIMESTAMP AS themonth,
-           CASE WHEN day(first_day) <= 15 THEN '1' ELSE '2' END AS semi_month,
+           CASE WHEN day(first_day) <= 15 THEN '1' WHEN day(first_day) > 15 THEN '2' END AS semi_month,
            count(DISTINCT unique_id) AS uniques, count(DISTINCT lead_id) AS leads,
            count(DISTINCT lead_id) FILTER (o.review_call_booked_boolean__c) AS trials,
            count(DISTINCT lead_id) FILTER (o.stagename = 'Client') AS clients
