@@ -72,7 +72,7 @@ _SINGLE_VARIANT = f"""
     firsts AS (
         SELECT p.* FROM people p
         JOIN (SELECT user_id, min(day) AS day, count(DISTINCT variation) AS n FROM people GROUP BY 1) f
-          ON f.user_id = p.user_id AND f.day = p.day AND f.n = 1)
+          ON f.user_id IS NOT DISTINCT FROM p.user_id AND f.day = p.day AND f.n = 1)
     SELECT f.day AS pageview_date, f.user_id, c.id AS client_id, f.inferred_person_id, f.variation,
            l.lead_created_datetime_pstpdt, o.trial_call_booked__c,
            {pacific('o.closedate')} AS closedate_pstpdt, o.stagename, o.iswon,
