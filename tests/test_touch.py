@@ -3,7 +3,7 @@ from __future__ import annotations
 from conftest import at, rows
 from pyspark.sql import functions as F
 
-from touchline.operators.grouped import with_group_values
+from touchline.operators.joins import with_group_values
 from touchline.operators.touch import (
     before_conversion,
     first_qualifying_per_day,

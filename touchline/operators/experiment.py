@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.operators.grouped import null_safe_join
+from touchline.operators.joins import null_safe_join
 
 
 def single_variant(df: DataFrame, user: Sequence[str], variant: str, first_of: str | None = None) -> DataFrame:

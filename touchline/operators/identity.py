@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.operators.grouped import null_safe_join
+from touchline.operators.joins import with_unmatched
 
 # Escaped pattern characters are parked on these private-use characters while wildcards are analysed.
 _UNDERSCORE, _PERCENT, _BACKSLASH = "\ue000", "\ue001", "\ue002"
@@ -166,8 +166,8 @@ def identity_join(
     """Join where any of the keys matches and ``residual`` holds.
 
     A pair that matches by several keys appears once. Column names of the two sides
-    must differ. For a left join ``left_id`` may name columns that identify a left row;
-    without it, rows are told apart by all their columns.
+    must differ. For a left join ``left_id`` may name columns that tell left rows apart;
+    without it all their columns do.
     """
     clash = set(left.columns) & set(right.columns)
     if clash:
@@ -176,9 +176,7 @@ def identity_join(
         return _matches(left, right, keys, residual)
     if how != "left":
         raise ValueError(f"join type {how!r} is not supported")
-    ids = list(left_id or left.columns)
-    pairs = _matches(left if left_id else left.distinct(), right, keys, residual)
-    return null_safe_join(left, pairs.select(*ids, *right.columns), ids, "left")
+    return with_unmatched(left, _matches(left, right, keys, residual), left_id)
 
 
 def keyed(df: DataFrame, keep: Sequence[str], keys: Sequence[tuple[str, str]]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.text import is_true
-from touchline.operators.grouped import null_safe_join
+from touchline.operators.joins import null_safe_join
 
 
 def first_touch(df: DataFrame, keys: Sequence[str], time: str, tie: Sequence[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from touchline.functions.times import period_is, period_since, to_pacific, trunc
 from touchline.operators.channels import channel_group
 from touchline.operators.funnel import credit_by_type
 from touchline.operators.identity import Key, identity_join, ilike_column
+from touchline.operators.joins import split_left_join
 
 Tables = Mapping[str, DataFrame]
 
@@ -141,7 +142,7 @@ def quiz_campaign_attribution(
         .distinct()
     )
     return (
-        camp.join(credits, counted, "left")
+        split_left_join(camp, credits, counted)
         .join(forms, F.col("clean_leadid") == F.col("sfdcleadid"), "left")
         .select(
             "clean_leadid", "lead_created_datetime_pstpdt", "campaign_createddate", "cta", "conversion_date",
@@ -182,8 +183,11 @@ def contact_details_credit(
     leads = tables["lead_data"].select("id", F.col("email").alias("lead_email"))
     credits = tables["attributions_by_channel"].select("lead_id", "channel_1", "credit_1", "channel_2", "credit_2")
     return (
-        identity_join(people, leads, [Key("_email", "lead_email", email_match)])
-        .join(credits.distinct(), F.col("id") == F.col("lead_id"), "left")
+        split_left_join(
+            identity_join(people, leads, [Key("_email", "lead_email", email_match)]),
+            credits.distinct(),
+            F.col("id") == F.col("lead_id"),
+        )
         .select("user_id", "_email", "id", "channel_1", "credit_1", "channel_2", "credit_2")
         .distinct()
     )

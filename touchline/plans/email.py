@@ -19,6 +19,7 @@ from touchline.operators.audience import (
 )
 from touchline.operators.funnel import funnel_counts
 from touchline.operators.identity import distinct_values, fold_case, keyed, pattern_pairs, to_patterns
+from touchline.operators.joins import split_left_join
 
 Tables = Mapping[str, DataFrame]
 
@@ -53,7 +54,7 @@ def email_channel_conversions(
     """Conversions of one type and month with e-mail credit, with the addresses both systems hold."""
     crm = tables["crm_lead"].select(F.col("id").alias("crm_id"), F.col("email").alias("sf_email"))
     mail = tables["mail_leads"].select("sfdcleadid", F.col("email").alias("mkto_email"), "client_key")
-    return (
+    conversions = (
         tables["attributions_translated"]
         .filter(
             (F.col("email") > 0)
@@ -61,8 +62,10 @@ def email_channel_conversions(
             & (F.col("conversion_type_id") == conversion_type)
         )
         .join(crm, F.col("lead_id") == F.col("crm_id"), "left")
-        .join(mail, F.col("lead_id") == F.col("sfdcleadid"), "left")
-        .select("lead_client_id", "lead_id", "opportunity_id", "mkto_email", "sf_email", "email", "client_key")
+        .select("lead_client_id", "lead_id", "opportunity_id", "sf_email", "email")
+    )
+    return split_left_join(conversions, mail, F.col("lead_id") == F.col("sfdcleadid"), ["lead_id"]).select(
+        "lead_client_id", "lead_id", "opportunity_id", "mkto_email", "sf_email", "email", "client_key"
     )
 
 
@@ -167,6 +170,7 @@ def email_totals(tables: Tables, *, month: str = MONTH, rules: MailingRules | No
     kinds = {"sent": "sent_id", "opened": "opened_id", "clicked": "clicked_id", "unsubs": "unsub_id"}
     parts = ids_by_group(sends, MAILING, {kind: F.col(c) for kind, c in kinds.items()})
     days = sends.select("sent_id", F.col(MAILING).alias("mailing"), trunc(F.col("email_sent"), "day").alias("sent_day"))
+    days = days.distinct()
     for kind, table in {"hard_bounces": "mail_bounced", "soft_bounces": "mail_bounced_soft"}.items():
         same_send = (
             (F.col("leadid") == F.col("sent_id"))
@@ -204,6 +208,7 @@ def email_utm_funnel(
             & (F.col("utm_content") == utm_content)
         )
         .select("user_id")
+        .distinct()
     )
     users = tables["web_users"].join(visitors, "user_id", "left_semi")
     leads = tables["lead_data"].select("id", "email", "opp_id")

@@ -11,7 +11,7 @@ from touchline.functions.text import all_of, external, is_true
 from touchline.functions.times import local_since, period_since, to_pacific, trunc, ts
 from touchline.operators.experiment import several_variants, single_device, single_variant
 from touchline.operators.funnel import LeadDefinition
-from touchline.operators.grouped import least_row, null_safe_join
+from touchline.operators.joins import least_row, null_safe_join
 from touchline.operators.identity import Key, distinct_values, fold_case, identity_join, keyed, pattern_pairs, to_patterns
 from touchline.operators.touch import last_page_before, session_flags, true_flags
 from touchline.session import materialise
@@ -418,7 +418,7 @@ def _rows_per_person(
     profiles = people.select(*profile).distinct()
     profile_keys = keyed(profiles, profile, person_keys)
     returning = (
-        profile_keys.join(keyed(retro, [], retro_keys), [*_KINDS], "left_semi")
+        profile_keys.join(keyed(retro, [], retro_keys).distinct(), [*_KINDS], "left_semi")
         .select(*profile).distinct().withColumn("returning", F.lit(1))
     )
     profiles = null_safe_join(profiles, returning, profile, "left").fillna(0, ["returning"])

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from touchline.functions.text import short_id
 from touchline.functions.times import to_pacific, trunc, ts
 from touchline.operators.funnel import LeadDefinition, conversion_rate, funnel_counts, milestones_long, same_month
-from touchline.operators.grouped import with_group_values
+from touchline.operators.joins import split_left_join, with_group_values
 from touchline.operators.history import fallback_enrich, nearest_change, sibling_structure
-from touchline.session import materialise
 
 Tables = Mapping[str, DataFrame]
 
@@ -161,11 +160,11 @@ def account_group_map(
     leads = tables["lead_data"].select(
         "accountid", F.col("channel_allocation_stamp__c").alias("channel"), "leadsource", "closedate"
     )
-    placed = materialise(children.join(leads, F.col("id") == F.col("accountid"), "left").drop("accountid"))
+    placed = split_left_join(children, leads, F.col("id") == F.col("accountid"), ["id"]).drop("accountid")
     checked = sibling_structure(placed, "parentid", "client_key", F.col("channel"), follow_up_channel)
 
     # Only accounts with a row that has no closing date have a fallback; it then applies to all their rows.
-    open_accounts = placed.filter(F.col("closedate").isNull()).select(F.col("id").alias("open_account"))
+    open_accounts = placed.filter(F.col("closedate").isNull()).select(F.col("id").alias("open_account")).distinct()
     stamps = tables["crm_lead"].select(
         F.col("convertedopportunityid").alias("lead_opp"), F.col("channel_allocation_stamp__c").alias("channel")
     )

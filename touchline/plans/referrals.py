@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from touchline.functions.text import external, referrer_name, short_id
 from touchline.functions.times import day_diff, local_since, period_since, to_pacific, trunc, ts
+from touchline.operators.joins import latest_before, split_left_join, with_group_values
+from touchline.session import materialise
 
 Tables = Mapping[str, DataFrame]
 
@@ -66,7 +68,7 @@ def referral_page_conversions(
     )
     trial, client = F.col("trial"), F.col("client")
     return (
-        firsts.join(leads, F.col("inferred_email") == F.col("email"), "left")
+        split_left_join(firsts, leads, F.col("inferred_email") == F.col("email"))
         .withColumn("lead", F.when(view <= created, created))
         # What follows hangs on a lead made after the view.
         .join(crm, (F.col("id") == F.col("crm_id")) & lead.isNotNull(), "left")
@@ -92,33 +94,38 @@ def referral_lead_sources(
     """
     raw = F.col("raw_date")
     leads = tables["lead_data"].select(F.col("id").alias("lead_id"), "email", "lead_created_datetime_pstpdt")
-    users = tables["web_users"].select(F.col("user_id").alias("web_user"), "_email")
     sessions = tables["sessions"].select(
         "user_id", to_pacific(F.col("time")).alias("session_time"), "referrer", "landing_page", "utm_medium",
         "utm_content",
     )
-    before = (F.col("web_user") == F.col("user_id")) & (
-        F.col("session_time") <= F.col("lead_created_datetime_pstpdt")
-    )
-    candidates = (
+    sessions = (
+        tables["web_users"].select(F.col("user_id").alias("web_user"), F.col("_email").alias("email"))
+        .join(sessions, F.col("web_user") == F.col("user_id"))
+        .drop("web_user")
+    )
+    base = (
         tables["attributions_crm"]
         .filter((F.col("referrals") == 1) & (F.col("lead_ind") == 1) & period_since(raw, trunc(raw, "month"), start))
         .select("id", "raw_date")
         .distinct()
         .join(leads, F.col("id") == F.col("lead_id"), "left")
-        .join(users, F.col("email") == F.col("_email"), "left")
-        .join(sessions, before, "left")
+        .drop("lead_id")
     )
-    rank = F.rank().over(Window.partitionBy("id").orderBy(F.col("session_time").desc_nulls_last()))
-    last = candidates.withColumn("__rank", rank).filter("__rank = 1")
-    columns = [
-        "id", "email", "lead_created_datetime_pstpdt", "raw_date", "user_id", "session_time", "referrer",
-        "landing_page", "utm_medium", "utm_content",
-    ]
-    return last.select(*columns).distinct().select(
-        "id", "raw_date", trunc(raw, "month").alias("themonth"), "session_time",
-        F.col("session_time").alias("last_session"), referrer_name(F.col("referrer"), referrers).alias("referrer"),
-        "landing_page", "utm_medium", "utm_content",
+    created = F.col("lead_created_datetime_pstpdt")
+    base = latest_before(base, sessions, "email", "lead_created_datetime_pstpdt", "session_time", "latest")
+    base = materialise(with_group_values(base, ["id"], last_session=F.max("latest")).drop("latest"))
+    seen = sessions.withColumnRenamed("email", "session_email")
+    last = base.join(
+        seen,
+        (F.col("email") == F.col("session_email"))
+        & (F.col("session_time") == F.col("last_session"))
+        & (F.col("session_time") <= created),
+    ).drop("session_email")
+    without = base.filter(F.col("last_session").isNull())
+    rows = last.unionByName(without, allowMissingColumns=True).distinct()
+    return rows.select(
+        "id", "raw_date", trunc(raw, "month").alias("themonth"), "session_time", "last_session",
+        referrer_name(F.col("referrer"), referrers).alias("referrer"), "landing_page", "utm_medium", "utm_content",
     )
 
 
@@ -147,14 +154,19 @@ def referring_accounts(
         .agg(F.max("lead_created_datetime_pstpdt").alias("last_referral"))
     )
     accounts = tables["account"].select(F.col("id").alias("account_id"), "client_key")
-    own_leads = leads.select(F.col("client_key").alias("lead_key"), "opp_id")
     opps = tables["opportunity"].filter(F.col("stagename") == stage).select(
         F.col("id").alias("opp"), to_pacific(F.col("closedate")).alias("clientdate")
     )
+    # Only the dates of an account's leads show, also the missing one of a lead without a client.
+    dates = (
+        leads.select(F.col("client_key").alias("lead_key"), "opp_id")
+        .join(opps, F.col("opp_id") == F.col("opp"), "left")
+        .select("lead_key", "clientdate")
+        .distinct()
+    )
     return (
         accounts.join(referrals, short_id(F.col("account_id")) == F.col("referrer_short"))
-        .join(own_leads, F.col("client_key") == F.col("lead_key"), "left")
-        .join(opps, F.col("opp_id") == F.col("opp"), "left")
+        .join(dates, F.col("client_key") == F.col("lead_key"), "left")
         .select(
             "account_id", "client_key", "clientdate", day_diff(ts(as_of), F.col("clientdate")).alias("days_old"),
             "last_referral",

@@ -19,7 +19,7 @@ from touchline.operators.channels import (
     channel_rollup,
 )
 from touchline.operators.funnel import funnel_counts, semi_month
-from touchline.operators.grouped import null_safe_join, with_group_values
+from touchline.operators.joins import null_safe_join, with_group_values
 from touchline.operators.touch import (
     before_conversion,
     first_qualifying_per_day,
