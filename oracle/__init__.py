@@ -6,7 +6,7 @@ the definitions of the tables it uses in front of it.
 
 from __future__ import annotations
 
-from oracle import ads, attribution, email, experiments, leads, referrals, traffic
+from oracle import ads, attribution, blocks, email, experiments, leads, referrals, traffic
 from touchline.sources import testdata
 
 QUERIES: dict[str, str] = {
@@ -17,6 +17,7 @@ QUERIES: dict[str, str] = {
     **leads.QUERIES,
     **ads.QUERIES,
     **referrals.QUERIES,
+    **blocks.QUERIES,
 }
 
 

@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame
 
-from touchline.plans import ads, attribution, email, experiments, leads, referrals, traffic
+from touchline.plans import ads, attribution, blocks, email, experiments, leads, referrals, traffic
 
 JOBS: dict[str, Callable[..., DataFrame]] = {
     "channel_uniques": traffic.channel_uniques,
@@ -55,4 +55,25 @@ JOBS: dict[str, Callable[..., DataFrame]] = {
     "referral_page_conversions": referrals.referral_page_conversions,
     "referral_lead_sources": referrals.referral_lead_sources,
     "referring_accounts": referrals.referring_accounts,
+    "touch_periods": blocks.touch_periods,
+    "touch_channels": blocks.touch_channels,
+    "touches_before_conversion": blocks.touches_before_conversion,
+    "first_touches": blocks.first_touches,
+    "first_touches_of_the_day": blocks.first_touches_of_the_day,
+    "prior_touches": blocks.prior_touches,
+    "session_pages": blocks.session_pages,
+    "last_page_before_pricing": blocks.last_page_before_pricing,
+    "single_variant_users": blocks.single_variant_users,
+    "mixed_variant_emails": blocks.mixed_variant_emails,
+    "single_device_users": blocks.single_device_users,
+    "identity_matches": blocks.identity_matches,
+    "latest_bing_rows": blocks.latest_bing_rows,
+    "lead_scores": blocks.lead_scores,
+    "sessions_before_leads": blocks.sessions_before_leads,
+    "unsent_addresses": blocks.unsent_addresses,
+    "mailing_kinds": blocks.mailing_kinds,
+    "referrer_names": blocks.referrer_names,
+    "outside_addresses": blocks.outside_addresses,
+    "opportunity_values": blocks.opportunity_values,
+    "qualified_dropouts": blocks.qualified_dropouts,
 }
