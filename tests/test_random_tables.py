@@ -31,3 +31,11 @@ def test_same_rows(world, name):
     catalog, con = world
     _, problems = differences(JOBS[name](catalog), con, testdata.render(QUERIES[name]))
     assert problems == []
+
+
+@pytest.mark.parametrize("heavy_from", [0, 2, 5])
+def test_heavy_keys_do_not_change_the_funnel(world, heavy_from):
+    catalog, con = world
+    frame = JOBS["ab_funnel_exclusions"](catalog, heavy_from=heavy_from)
+    _, problems = differences(frame, con, testdata.render(QUERIES["ab_funnel_exclusions"]))
+    assert problems == []

@@ -14,7 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.operators.joins import with_unmatched
+from touchline.functions.times import trunc
+from touchline.operators.joins import null_safe_join, with_unmatched
 
 # Escaped pattern characters are parked on these private-use characters while wildcards are analysed.
 _UNDERSCORE, _PERCENT, _BACKSLASH = "\ue000", "\ue001", "\ue002"
@@ -200,3 +201,52 @@ def fold_case(rows: DataFrame, kind: str) -> DataFrame:
     """Keys of one kind in lower case."""
     folded = F.when(F.col("key_kind") == kind, F.lower("key")).otherwise(F.col("key"))
     return rows.withColumn("key", folded)
+
+
+def distinct_times_since(
+    units: DataFrame, asked: DataFrame, times: DataFrame, unit: Sequence[str], heavy_from: int = 10_000
+) -> DataFrame:
+    """How many different times any key of a unit has on or after a day.
+
+    ``units`` holds the keys of each unit (a person or group of people), ``asked`` the
+    days to count from, ``times`` distinct ``created`` times per key. Gives ``unit``,
+    ``view_day`` and ``n`` where there are any.
+
+    Keys with more than ``heavy_from`` times are united once per combination of such
+    keys, which the units share; only the times of the other keys are listed per unit,
+    without those a heavy key already has. The result does not depend on the limit.
+    """
+    key = ["key_kind", "key"]
+    unit = list(unit)
+    days = F.col("created_day") >= F.col("view_day")
+    times = times.withColumn("created_day", trunc(F.col("created"), "day"))
+    heavy = times.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > heavy_from)
+    marked = units.join(heavy, key, "left")
+    # At most as many heavy keys per unit as fit into all times.
+    sets = (
+        marked.filter("__n IS NOT NULL")
+        .groupBy(*unit)
+        .agg(F.array_sort(F.collect_set(F.struct(*key))).alias("heavy_keys"))
+    )
+    united = sets.select("heavy_keys").distinct().select("heavy_keys", F.inline("heavy_keys"))
+    heavy_times = united.join(times, key).select("heavy_keys", "created", "created_day").distinct()
+    heavy_days = heavy_times.groupBy("heavy_keys", "created_day").agg(F.count(F.lit(1)).alias("n"))
+
+    listed = marked.filter("__n IS NULL").join(times, key).select(*unit, "created", "created_day").distinct()
+    listed = null_safe_join(listed, sets, unit, "left")
+    light_times = listed.join(heavy_times.select("heavy_keys", "created"), ["heavy_keys", "created"], "left_anti")
+    light_days = light_times.groupBy(*unit, "created_day").agg(F.count(F.lit(1)).alias("n"))
+
+    asked = null_safe_join(asked, sets, unit, "left")
+    heavy_since = (
+        asked.select("heavy_keys", "view_day").distinct().join(heavy_days, "heavy_keys").filter(days)
+        .groupBy("heavy_keys", "view_day").agg(F.sum("n").alias("__heavy"))
+    )
+    light_since = (
+        null_safe_join(asked, light_days, unit).filter(days)
+        .groupBy(*unit, "view_day").agg(F.sum("n").alias("__light"))
+    )
+    counted = asked.join(heavy_since, ["heavy_keys", "view_day"], "left")
+    counted = null_safe_join(counted, light_since, [*unit, "view_day"], "left")
+    total = F.coalesce("__heavy", F.lit(0)) + F.coalesce("__light", F.lit(0))
+    return counted.select(*unit, "view_day", total.cast("bigint").alias("n")).filter("n > 0")

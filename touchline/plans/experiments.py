@@ -12,7 +12,16 @@ from touchline.functions.times import local_since, period_since, to_pacific, tru
 from touchline.operators.experiment import several_variants, single_device, single_variant
 from touchline.operators.funnel import LeadDefinition
 from touchline.operators.joins import least_row, null_safe_join
-from touchline.operators.identity import Key, distinct_values, fold_case, identity_join, keyed, pattern_pairs, to_patterns
+from touchline.operators.identity import (
+    Key,
+    distinct_times_since,
+    distinct_values,
+    fold_case,
+    identity_join,
+    keyed,
+    pattern_pairs,
+    to_patterns,
+)
 from touchline.operators.touch import last_page_before, session_flags, true_flags
 from touchline.session import materialise
 
@@ -407,68 +416,63 @@ def ab_funnel_ilike(
 def _rows_per_person(
     people: DataFrame, views: DataFrame, leads: DataFrame, lead_keys: Sequence[tuple[str, str]],
     retro: DataFrame, retro_keys: Sequence[tuple[str, str]], person_keys: Sequence[tuple[str, str]],
+    heavy_from: int,
 ) -> DataFrame:
     """How many distinct (address, returning flag, view day, lead creation time) each user and variation has.
 
-    A view day without a later lead counts as one row without a creation time.
-    People with the same addresses and client are one profile; creation times are
-    looked up and counted per profile and day, not per person and lead.
+    A view day without a later lead counts as one row without a creation time. People
+    with the same addresses and client are one profile; creation times are counted per
+    profile and day, and never listed per person.
     """
     profile = ["client_id", "person_email", "email"]
     profiles = people.select(*profile).distinct()
-    profile_keys = keyed(profiles, profile, person_keys)
+    profile_keys = keyed(profiles, profile, person_keys).distinct()
     returning = (
         profile_keys.join(keyed(retro, [], retro_keys).distinct(), [*_KINDS], "left_semi")
         .select(*profile).distinct().withColumn("returning", F.lit(1))
     )
     profiles = null_safe_join(profiles, returning, profile, "left").fillna(0, ["returning"])
-    lead_times = keyed(leads, ["created"], lead_keys).distinct()
-    created = profile_keys.join(lead_times, [*_KINDS]).select(*profile, "created").distinct()
-    created = created.withColumn("day", trunc(F.col("created"), "day"))
+    times = keyed(leads, ["created"], lead_keys).distinct()
 
     group = ["user_id", "variation_id", "person_email", "returning"]
     members = null_safe_join(people.select("user_id", "variation_id", *profile).distinct(), profiles, profile)
     sizes = members.groupBy(*group).agg(F.count(F.lit(1)).alias("profiles"))
     members = null_safe_join(members, sizes, group)
-    alone = members.filter("profiles = 1")
-    several = members.filter("profiles > 1")
     user_days = views.select("user_id", "view_day")
 
-    # Groups of one profile: leads since a view day, counted once per profile and day.
-    per_day = created.groupBy(*profile, "day").agg(F.count(F.lit(1)).alias("n"))
-    asked = alone.join(user_days, "user_id").select(*profile, "view_day").distinct()
-    later = (
-        null_safe_join(asked, per_day, profile)
-        .filter(F.col("day") >= F.col("view_day"))
-        .groupBy(*profile, "view_day").agg(F.sum("n").alias("n"))
-    )
+    # A group of one profile has as many rows per view day as later creation times, at least one.
+    alone = members.filter("profiles = 1").join(user_days, "user_id")
+    asked = alone.select(*profile, "view_day").distinct()
+    since = distinct_times_since(profile_keys, asked, times, profile, heavy_from)
     alone_rows = (
-        null_safe_join(alone.join(user_days, "user_id"), later, [*profile, "view_day"], "left")
+        null_safe_join(alone, since, [*profile, "view_day"], "left")
         .groupBy("user_id", "variation_id")
         .agg(F.sum(F.coalesce("n", F.lit(1))).alias("n"))
     )
 
-    # Groups of several profiles: a creation time found through two of them counts once, and a view
-    # day has a row without one as soon as any profile has no later lead.
-    times = null_safe_join(several.select(*group, *[c for c in profile if c not in group]), created, profile)
-    per_group = times.select(*group, "created", "day").distinct().groupBy(*group, "day").agg(F.count(F.lit(1)).alias("n"))
+    # In a group of several profiles a time found through two of them counts once, and a view day has
+    # a row without a time as soon as one profile has no later lead.
+    several = members.filter("profiles > 1").drop("profiles")
+    rest = [c for c in profile if c not in group]
+    group_keys = null_safe_join(several.select(*group, *rest), profile_keys, profile)
     group_days = several.select(*group).distinct().join(user_days, "user_id")
-    matched = null_safe_join(group_days, per_group, group).filter(F.col("day") >= F.col("view_day"))
-    last_days = created.groupBy(*profile).agg(F.max("day").alias("last_day"))
+    matched = distinct_times_since(
+        group_keys.select(*group, *_KINDS).distinct(), group_days, times, group, heavy_from
+    )
+    key_ends = times.groupBy(*_KINDS).agg(F.max(trunc(F.col("created"), "day")).alias("last_day"))
+    profile_ends = profile_keys.join(key_ends, [*_KINDS]).groupBy(*profile).agg(F.max("last_day").alias("last_day"))
     ends = (
-        null_safe_join(several, last_days, profile, "left")
+        null_safe_join(several, profile_ends, profile, "left")
         .groupBy(*group)
-        .agg(F.min("last_day").alias("earliest_end"), F.bool_or(F.col("last_day").isNull()).alias("endless"))
+        .agg(F.min("last_day").alias("earliest_end"), F.bool_or(F.col("last_day").isNull()).alias("never"))
     )
     unmatched = null_safe_join(group_days, ends, group).filter(
-        F.col("endless") | (F.col("view_day") > F.col("earliest_end"))
+        F.col("never") | (F.col("view_day") > F.col("earliest_end"))
     )
-    several_rows = (
-        matched.select("user_id", "variation_id", "n")
-        .unionAll(unmatched.select("user_id", "variation_id", F.lit(1).cast("bigint").alias("n")))
-        .groupBy("user_id", "variation_id").agg(F.sum("n").alias("n"))
-    )
-    return alone_rows.unionAll(several_rows).groupBy("user_id", "variation_id").agg(F.sum("n").alias("rows"))
+    parts = alone_rows.unionAll(matched.select("user_id", "variation_id", "n")).unionAll(
+        unmatched.select("user_id", "variation_id", F.lit(1).cast("bigint").alias("n"))
+    )
+    return parts.groupBy("user_id", "variation_id").agg(F.sum("n").alias("rows"))
 
 
 def ab_funnel_exclusions(
@@ -482,6 +486,7 @@ def ab_funnel_exclusions(
     definition: LeadDefinition | None = None,
     strict_exclusions: bool = False,
     per_user: bool = False,
+    heavy_from: int = 10_000,
 ) -> DataFrame:
     """Dropouts, viewers, leads, trials and clients by variation and device, by equal addresses.
 
@@ -559,6 +564,7 @@ def ab_funnel_exclusions(
             materialise(people.join(counted, "user_id", "left_semi")),
             views.join(counted, "user_id", "left_semi"),
             leads, lead_keys, retro, [("client", "client_key"), ("own", "email"), ("crm", "email")], person_keys,
+            heavy_from,
         )
         rows = rows.join(inflation, ["user_id", "variation_id"], "left")
     return (
