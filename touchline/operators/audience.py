@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchline.operators.joins import join_groups
+
 
 def suppressed_by_address(df: DataFrame, email: str, rules: Mapping[str, Column]) -> DataFrame:
     """Add one 0/1 column per rule: does any record with the same address meet it?
@@ -16,9 +18,8 @@ def suppressed_by_address(df: DataFrame, email: str, rules: Mapping[str, Column]
     marked = df.filter(F.col(email).isNotNull()).withColumns(
         {name: F.when(rule, 1).otherwise(0) for name, rule in rules.items()}
     )
-    addresses = marked.groupBy(F.col(email).alias("__address")).agg(*[F.max(n).alias(n) for n in rules])
-    kept = marked.drop(*rules)
-    return kept.join(addresses, kept[email] == addresses["__address"]).drop("__address")
+    addresses = marked.groupBy(email).agg(*[F.max(n).alias(n) for n in rules])
+    return join_groups(marked.drop(*rules), addresses, [email], "inner")
 
 
 def audience_difference(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -38,10 +39,6 @@ def ids_by_group(df: DataFrame, group: str, ids: Mapping[str, Column]) -> DataFr
     return df.select(group, F.inline(F.array(*entries)))
 
 
-def first_known(*columns: str) -> Column:
-    return F.coalesce(*columns)
-
-
 def joined_text(columns: Sequence[str], remove: str) -> Column:
     """Texts put together, without a filler word; missing ones are empty."""
     parts = [F.coalesce(F.replace(F.col(c), F.lit(remove), F.lit("")), F.lit("")) for c in columns]

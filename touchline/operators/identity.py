@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.times import trunc
-from touchline.operators.joins import null_safe_join, with_unmatched
+from touchline.operators.joins import join_groups, null_safe_join, with_unmatched
 
 # Escaped pattern characters are parked on these private-use characters while wildcards are analysed.
 _UNDERSCORE, _PERCENT, _BACKSLASH = "\ue000", "\ue001", "\ue002"
@@ -221,7 +221,7 @@ def distinct_times_since(
     days = F.col("created_day") >= F.col("view_day")
     times = times.withColumn("created_day", trunc(F.col("created"), "day"))
     heavy = times.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > heavy_from)
-    marked = units.join(heavy, key, "left")
+    marked = join_groups(units, heavy, key)
     # At most as many heavy keys per unit as fit into all times.
     sets = (
         marked.filter("__n IS NOT NULL")
@@ -246,7 +246,7 @@ def distinct_times_since(
         null_safe_join(asked, light_days, unit).filter(days)
         .groupBy(*unit, "view_day").agg(F.sum("n").alias("__light"))
     )
-    counted = asked.join(heavy_since, ["heavy_keys", "view_day"], "left")
+    counted = join_groups(asked, heavy_since, ["heavy_keys", "view_day"])
     counted = null_safe_join(counted, light_since, [*unit, "view_day"], "left")
     total = F.coalesce("__heavy", F.lit(0)) + F.coalesce("__light", F.lit(0))
     return counted.select(*unit, "view_day", total.cast("bigint").alias("n")).filter("n > 0")

@@ -21,7 +21,12 @@ from touchline.session import materialise
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on equally named keys where NULL equals NULL; the keys of the left side remain."""
+    """Join on equally named keys where NULL equals NULL; the keys of the left side remain.
+
+    Such keys are compared through expressions, so both sides get a shuffle for the
+    join even if one is an aggregate over the same keys. Adaptive execution needs
+    that: it does not split a hot key against a side without a shuffle of its own.
+    """
     marked = right.withColumnsRenamed({k: f"__{k}" for k in keys})
     matches = [left[k].eqNullSafe(marked[f"__{k}"]) for k in keys]
     return left.join(marked, matches, how).drop(*[f"__{k}" for k in keys])
@@ -33,6 +38,14 @@ def with_group_values(df: DataFrame, keys: Sequence[str], **values: Column) -> D
     return null_safe_join(df, groups, keys)
 
 
+def join_groups(df: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join rows to one row per key, where NULL keys match nothing.
+
+    For groups made by an aggregate over ``keys``: the hot keys of ``df`` stay splittable.
+    """
+    return null_safe_join(df, groups.dropna(subset=list(keys)), keys, how)
+
+
 def least_row(order: Sequence[Column]) -> Column:
     """Aggregate: the smallest combination of the given columns as a struct."""
     return F.min(F.struct(*order))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.text import is_true
-from touchline.operators.joins import null_safe_join
+from touchline.operators.joins import join_groups, null_safe_join
 
 
 def first_touch(df: DataFrame, keys: Sequence[str], time: str, tie: Sequence[str]) -> DataFrame:
@@ -24,7 +24,7 @@ def first_touch(df: DataFrame, keys: Sequence[str], time: str, tie: Sequence[str
 
 def conversion_limits(conversions: DataFrame, user: str, date: str) -> DataFrame:
     """Per visitor: the last conversion, and whether one has no date."""
-    return conversions.groupBy(F.col(user).alias("__user")).agg(
+    return conversions.groupBy(user).agg(
         F.max(date).alias("__last"), F.bool_or(F.col(date).isNull()).alias("__undated")
     )
 
@@ -44,8 +44,8 @@ def before_conversion(
     and no touch meets each of its conversions.
     """
     limits = conversion_limits(conversions, user, date)
-    kept = df.join(limits, df[user] == limits["__user"], "left").filter(within_limits(F.col(time)))
-    return kept if keep_limits else kept.drop("__user", "__last", "__undated")
+    kept = join_groups(df, limits, [user]).filter(within_limits(F.col(time)))
+    return kept if keep_limits else kept.drop("__last", "__undated")
 
 
 def first_qualifying_per_day(df: DataFrame, user: str, day: str, time: str) -> DataFrame:

@@ -19,7 +19,7 @@ from touchline.operators.audience import (
 )
 from touchline.operators.funnel import funnel_counts
 from touchline.operators.identity import distinct_values, fold_case, keyed, pattern_pairs, to_patterns
-from touchline.operators.joins import split_left_join
+from touchline.operators.joins import join_groups, split_left_join
 
 Tables = Mapping[str, DataFrame]
 
@@ -169,15 +169,12 @@ def email_totals(tables: Tables, *, month: str = MONTH, rules: MailingRules | No
     sends = _sends(tables, month).withColumn("unsub_id", rules.unsub_id())
     kinds = {"sent": "sent_id", "opened": "opened_id", "clicked": "clicked_id", "unsubs": "unsub_id"}
     parts = ids_by_group(sends, MAILING, {kind: F.col(c) for kind, c in kinds.items()})
-    days = sends.select("sent_id", F.col(MAILING).alias("mailing"), trunc(F.col("email_sent"), "day").alias("sent_day"))
-    days = days.distinct()
+    sent = sends.select(
+        F.col("sent_id").alias("leadid"), MAILING, trunc(F.col("email_sent"), "day").alias("sent_day")
+    ).distinct()
     for kind, table in {"hard_bounces": "mail_bounced", "soft_bounces": "mail_bounced_soft"}.items():
-        same_send = (
-            (F.col("leadid") == F.col("sent_id"))
-            & (F.col(MAILING) == F.col("mailing"))
-            & (trunc(to_pacific(F.col("activitydate")), "day") == F.col("sent_day"))
-        )
-        bounced = tables[table].join(days, same_send, "left_semi")
+        bounces = tables[table].withColumn("sent_day", trunc(to_pacific(F.col("activitydate")), "day"))
+        bounced = join_groups(bounces, sent, ["leadid", MAILING, "sent_day"], "left_semi")
         parts = parts.unionAll(bounced.select(MAILING, F.lit(kind).alias("kind"), F.col("leadid").alias("id")))
     # Sends without an id stay so that a month with sends differs from one without.
     ids = parts.filter(F.col("id").isNotNull() | (F.col("kind") == "sent")).distinct()

@@ -11,7 +11,7 @@ from touchline.functions.text import all_of, external, is_true
 from touchline.functions.times import local_since, period_since, to_pacific, trunc, ts
 from touchline.operators.experiment import several_variants, single_device, single_variant
 from touchline.operators.funnel import LeadDefinition
-from touchline.operators.joins import least_row, null_safe_join
+from touchline.operators.joins import join_groups, least_row, null_safe_join
 from touchline.operators.identity import (
     Key,
     distinct_times_since,
@@ -312,7 +312,7 @@ def _since(people: DataFrame, by_day: DataFrame, *values: Column) -> DataFrame:
         .groupBy(*_KINDS, "since")
         .agg(F.min("first").alias("first"), *values)
     )
-    users = people.join(found, [*_KINDS, "since"]).groupBy("user_id")
+    users = join_groups(people, found, [*_KINDS, "since"], "inner").groupBy("user_id")
     return users.agg(F.min("first").getField("id").alias("first_id"), *values)
 
 
@@ -428,7 +428,7 @@ def _rows_per_person(
     profiles = people.select(*profile).distinct()
     profile_keys = keyed(profiles, profile, person_keys).distinct()
     returning = (
-        profile_keys.join(keyed(retro, [], retro_keys).distinct(), [*_KINDS], "left_semi")
+        join_groups(profile_keys, keyed(retro, [], retro_keys).distinct(), [*_KINDS], "left_semi")
         .select(*profile).distinct().withColumn("returning", F.lit(1))
     )
     profiles = null_safe_join(profiles, returning, profile, "left").fillna(0, ["returning"])
@@ -460,7 +460,7 @@ def _rows_per_person(
         group_keys.select(*group, *_KINDS).distinct(), group_days, times, group, heavy_from
     )
     key_ends = times.groupBy(*_KINDS).agg(F.max(trunc(F.col("created"), "day")).alias("last_day"))
-    profile_ends = profile_keys.join(key_ends, [*_KINDS]).groupBy(*profile).agg(F.max("last_day").alias("last_day"))
+    profile_ends = join_groups(profile_keys, key_ends, [*_KINDS], "inner").groupBy(*profile).agg(F.max("last_day").alias("last_day"))
     ends = (
         null_safe_join(several, profile_ends, profile, "left")
         .groupBy(*group)

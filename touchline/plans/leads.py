@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from touchline.functions.text import short_id
 from touchline.functions.times import to_pacific, trunc, ts
 from touchline.operators.funnel import LeadDefinition, conversion_rate, funnel_counts, milestones_long, same_month
-from touchline.operators.joins import split_left_join, with_group_values
+from touchline.operators.joins import join_groups, split_left_join, with_group_values
 from touchline.operators.history import fallback_enrich, nearest_change, sibling_structure
 
 Tables = Mapping[str, DataFrame]
@@ -164,7 +164,7 @@ def account_group_map(
     checked = sibling_structure(placed, "parentid", "client_key", F.col("channel"), follow_up_channel)
 
     # Only accounts with a row that has no closing date have a fallback; it then applies to all their rows.
-    open_accounts = placed.filter(F.col("closedate").isNull()).select(F.col("id").alias("open_account")).distinct()
+    open_accounts = placed.filter(F.col("closedate").isNull()).select(F.col("id").alias("accountid")).distinct()
     stamps = tables["crm_lead"].select(
         F.col("convertedopportunityid").alias("lead_opp"), F.col("channel_allocation_stamp__c").alias("channel")
     )
@@ -176,7 +176,9 @@ def account_group_map(
             & ~F.col("leadsource").isin(*excluded_sources)
         )
         .select("id", "accountid", "leadsource")
-        .join(open_accounts, F.col("accountid") == F.col("open_account"), "left_semi")
+    )
+    won = (
+        join_groups(won, open_accounts, ["accountid"], "left_semi")
         .join(stamps, F.col("id") == F.col("lead_opp"), "left")
         .select("id", "accountid", "leadsource", "channel")
         .distinct()
