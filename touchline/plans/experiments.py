@@ -426,18 +426,18 @@ def _rows_per_person(
     """
     profile = ["client_id", "person_email", "email"]
     profiles = people.select(*profile).distinct()
-    profile_keys = keyed(profiles, profile, person_keys).distinct()
+    profile_keys = materialise(keyed(profiles, profile, person_keys).distinct())
     returning = (
         join_groups(profile_keys, keyed(retro, [], retro_keys).distinct(), [*_KINDS], "left_semi")
         .select(*profile).distinct().withColumn("returning", F.lit(1))
     )
     profiles = null_safe_join(profiles, returning, profile, "left").fillna(0, ["returning"])
-    times = keyed(leads, ["created"], lead_keys).distinct()
+    times = materialise(keyed(leads, ["created"], lead_keys).distinct())
 
     group = ["user_id", "variation_id", "person_email", "returning"]
     members = null_safe_join(people.select("user_id", "variation_id", *profile).distinct(), profiles, profile)
     sizes = members.groupBy(*group).agg(F.count(F.lit(1)).alias("profiles"))
-    members = null_safe_join(members, sizes, group)
+    members = materialise(null_safe_join(members, sizes, group))
     user_days = views.select("user_id", "view_day")
 
     # A group of one profile has as many rows per view day as later creation times, at least one.

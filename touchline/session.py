@@ -22,10 +22,26 @@ SQL_SETTINGS = {
 }
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Apply the settings the jobs need to a running session."""
+# Rows of one shuffle partition should fit in a task's memory with room to sort.
+SHUFFLE_PARTITION_BYTES = 256 * 1024**2
+SCAN_PARTITION_BYTES = 512 * 1024**2
+
+
+def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
+    """Apply the settings the jobs need to a running session.
+
+    With the size of the largest input, shuffles start with enough partitions for it
+    (adaptive execution merges small ones) and large scans use fewer, larger splits.
+    """
     for key, value in SQL_SETTINGS.items():
         spark.conf.set(key, value)
+    if input_bytes:
+        partitions = -(-input_bytes // SHUFFLE_PARTITION_BYTES)
+        now = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # Beyond this many, the blocks between mappers and reducers become too small.
+        spark.conf.set("spark.sql.shuffle.partitions", str(max(now, min(partitions, 100_000))))
+        if input_bytes > 10 * 1024**4:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(SCAN_PARTITION_BYTES))
     return spark
 
 
