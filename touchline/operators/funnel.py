@@ -46,7 +46,10 @@ def credit_by_type(
 
 
 def milestones_long(
-    df: DataFrame, keep_before: Sequence[str], keep_after: Sequence[str], events: Mapping[str, tuple[str, Column | None]]
+    df: DataFrame,
+    keep_before: Sequence[str],
+    keep_after: Sequence[str],
+    events: Mapping[str, tuple[str, Column | None]],
 ) -> DataFrame:
     """Dates as events: ``{label: (date column, condition or None)}``; events without a date are dropped."""
     entries = []

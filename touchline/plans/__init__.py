@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Mapping
 from functools import partial
 
 from pyspark.sql import DataFrame
@@ -77,3 +77,17 @@ JOBS: dict[str, Callable[..., DataFrame]] = {
     "opportunity_values": blocks.opportunity_values,
     "qualified_dropouts": blocks.qualified_dropouts,
 }
+
+
+def create_views(tables: Mapping[str, DataFrame], names: Iterable[str], prefix: str = "") -> None:
+    """Expose reports as temporary views, for SQL on top of them."""
+    for name in names:
+        JOBS[name](tables).createOrReplaceTempView(f"{prefix}{name}")
+
+
+def write_report(
+    tables: Mapping[str, DataFrame], name: str, path: str, partition_by: str | None = None, **options
+) -> None:
+    """Write a report as parquet; ``options`` are its parameters."""
+    writer = JOBS[name](tables, **options).write.mode("overwrite")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)

@@ -7,8 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.functions.text import all_of, external, is_true
-from touchline.functions.times import local_since, period_since, to_pacific, trunc, ts
+from touchline.functions.text import all_of, external
+from touchline.functions.times import local_since, to_pacific, to_utc, trunc, ts
 from touchline.operators.experiment import several_variants, single_device, single_variant
 from touchline.operators.funnel import LeadDefinition
 from touchline.operators.joins import join_groups, least_row, null_safe_join
@@ -521,7 +521,7 @@ def ab_funnel_exclusions(
         .join(clients, F.col("person_id") == F.col("principalpersonid"), "left")
         .select("user_id", "variation_id", "email", "person_email", "client_id")
     )
-    views = _home_views(tables, F.col("time") >= F.convert_timezone(F.lit("PST8PDT"), F.lit("UTC"), ts(start)), path)
+    views = _home_views(tables, F.col("time") >= to_utc(ts(start)), path)
     views = materialise(views)
     people = materialise(people.join(_single_device_viewers(views), "user_id"))
 

@@ -91,7 +91,9 @@ def score_at_assignment(
     assigned = F.coalesce("lead_assignment_date__c", "first_lead_assignment_date__c")
     qualified = F.coalesce("mql_first_date_time__c", "mql_last_date_time__c")
     crm = tables["crm_lead"].select(
-        short_id(F.col("id")).alias("crm_short"), F.col("test_1__c").alias("cta"), *[c.alias(n) for n, c in dates.items()]
+        short_id(F.col("id")).alias("crm_short"),
+        F.col("test_1__c").alias("cta"),
+        *[c.alias(n) for n, c in dates.items()],
     )
     anchors = (
         tables["scored_funnel"]

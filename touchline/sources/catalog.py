@@ -60,6 +60,11 @@ class Catalog(Mapping[str, DataFrame]):
         """Metastore tables: ``{logical name: schema.table}``."""
         return cls({n: (lambda t=t: spark.table(t)) for n, t in names.items()}, renames)
 
+    def add(self, name: str, table: DataFrame | Callable[[], DataFrame]) -> None:
+        """Add or replace a table, for example the stored result of another report."""
+        self._tables[name] = table
+        self._resolved.pop(name, None)
+
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._resolved:
             table = self._tables[name]

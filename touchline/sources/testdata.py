@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from touchline.sources.catalog import Catalog
 
-BASE_TABLES = ("customer", "orders", "lineitem", "part", "events", "conversations")
+BASE_TABLES = ("customer", "orders", "lineitem", "events", "conversations", "nation")
 
 SITE = "site.example"
 PRICING = f"{SITE}/pricing/"
@@ -515,11 +515,7 @@ def _frame(spark: SparkSession, catalog: Catalog, sql: str) -> DataFrame:
 
 def catalog(spark: SparkSession, root: str) -> Catalog:
     """All logical tables, derived lazily from the parquet files under ``root``."""
-    tables: dict = {}
-    for name in (*BASE_TABLES, "nation"):
-        tables[name] = partial(spark.read.parquet, f"{root.rstrip('/')}/{name}.parquet")
-    result = Catalog({})
+    result = Catalog({n: partial(spark.read.parquet, f"{root.rstrip('/')}/{n}.parquet") for n in BASE_TABLES})
     for name, sql in definitions(SPARK).items():
-        tables[name] = partial(_frame, spark, result, sql)
-    result._tables.update(tables)
+        result.add(name, partial(_frame, spark, result, sql))
     return result
