@@ -22,11 +22,6 @@ def ilike_any(col: Column, patterns: Sequence[str]) -> Column:
     return any_of([col.ilike(p) for p in patterns])
 
 
-def ilike_none(col: Column, patterns: Sequence[str]) -> Column:
-    """NULL stays NULL, so a filter drops it."""
-    return all_of([~col.ilike(p) for p in patterns])
-
-
 def external(email: Column, patterns: Sequence[str], keep_null: bool, match_case: bool = False) -> Column:
     """Address is not one of our own or a test address.
 

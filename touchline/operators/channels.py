@@ -13,56 +13,72 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.functions.text import all_of, any_of, ilike_any, ilike_none
+from touchline.functions.text import all_of, any_of
 from touchline.functions.times import ts
 
-Test = Callable[[Column], Column]
+# Columns that rules match without regard to case; each is put in lower case once per touch.
+FOLDED = ("utm_medium", "utm_campaign", "landing_page")
+
+
+@dataclass(frozen=True)
+class Text:
+    """A column as it is and, where rules need it, in lower case."""
+
+    exact: Column
+    lower: Column
+
+
+def text(name: str) -> Text:
+    return Text(F.col(name), F.col(f"__lower_{name}" if name in FOLDED else name))
+
+
+Test = Callable[[Text], Column]
 
 
 def equals(value: str) -> Test:
-    return lambda c: c == value
+    return lambda t: t.exact == value
 
 
 def differs(value: str) -> Test:
-    return lambda c: c != value
+    return lambda t: t.exact != value
 
 
 def among(*values: str) -> Test:
-    return lambda c: c.isin(*values)
+    return lambda t: t.exact.isin(*values)
 
 
 def like(*patterns: str) -> Test:
     """Matches one of the patterns, in any case."""
-    return lambda c: ilike_any(c, patterns)
+    return lambda t: any_of([t.lower.like(p.lower()) for p in patterns])
 
 
 def unlike(*patterns: str) -> Test:
     """Matches none of the patterns, in any case; unknown for NULL."""
-    return lambda c: ilike_none(c, patterns)
+    return lambda t: all_of([~t.lower.like(p.lower()) for p in patterns])
 
 
 def either(*tests: Test) -> Test:
-    return lambda c: any_of([t(c) for t in tests])
+    return lambda t: any_of([test(t) for test in tests])
 
 
 def both(*tests: Test) -> Test:
-    return lambda c: all_of([t(c) for t in tests])
+    return lambda t: all_of([test(t) for test in tests])
 
 
-def absent(c: Column) -> Column:
-    return c.isNull()
+def absent(t: Text) -> Column:
+    return t.exact.isNull()
 
 
 def without_text(*texts: str) -> Test:
     """Contains none of the texts, in exactly this case; unknown for NULL."""
-    return lambda c: all_of([~c.contains(t) for t in texts])
+    return lambda t: all_of([~t.exact.contains(part) for part in texts])
 
 
 Alternative = Mapping[str, Test]
 
 
 def matches(alternatives: Sequence[Alternative]) -> Column:
-    return any_of([all_of([test(F.col(name)) for name, test in alt.items()]) for alt in alternatives])
+    return any_of([all_of([test(text(name)) for name, test in alt.items()]) for alt in alternatives])
 
 
 @dataclass(frozen=True)
@@ -198,18 +214,14 @@ class ChannelRules:
         return section | ((period <= ts(s.legacy_until)) & page.isin(*s.legacy_pages))
 
     def _organic(self, any_source: bool) -> Column:
-        not_social = ~F.coalesce(F.col("utm_medium"), F.lit("NULL")).ilike("social")
+        not_social = F.coalesce(text("utm_medium").lower, F.lit("")) != "social"
         organic = (F.col("medium") == ORGANIC) & not_social
         return organic if any_source else organic & F.col("source").isin(*ORGANIC_ENGINES)
 
     def search_core(self, period: Column) -> Column:
-        """Organic visit that lands on the core part of the site."""
-        page = F.col("landing_page")
-        return (
-            self._organic(self.any_organic_core)
-            & ~self._content_page(period)
-            & ~page.ilike(self.settings.careers)
-        )
+        """Organic visit that lands on the core part of the site (needs ``fold_case``)."""
+        on_careers = like(self.settings.careers)(text("landing_page"))
+        return self._organic(self.any_organic_core) & ~self._content_page(period) & ~on_careers
 
     def search_content(self, period: Column) -> Column:
         """Organic visit that lands on the content part of the site."""
@@ -220,6 +232,11 @@ class ChannelRules:
         return (self._organic(False) | promoted) & self._content_page(period)
 
 
+def fold_case(df: DataFrame) -> DataFrame:
+    """Add the lower-case columns the rules read."""
+    return df.withColumns({f"__lower_{c}": F.lower(c) for c in FOLDED})
+
+
 def _flag(condition: Column) -> Column:
     return F.when(condition, 1).otherwise(0)
 
@@ -235,7 +252,7 @@ def channel_flags(df: DataFrame, period: str, rules: ChannelRules | None = None)
     flags = {name: matches(alternatives) for name, alternatives in {**rules.paid(), **rules.owned()}.items()}
     flags["search_core"] = rules.search_core(at)
     flags["search_content"] = rules.search_content(at)
-    df = df.withColumns({name: _flag(cond) for name, cond in flags.items()})
+    df = fold_case(df).withColumns({name: _flag(cond) for name, cond in flags.items()})
 
     searched = F.col("search_core") + F.col("search_content") == 1
     source = F.col("source")
@@ -248,7 +265,7 @@ def channel_flags(df: DataFrame, period: str, rules: ChannelRules | None = None)
         }
     )
     parts = [F.col(c) for c in (*PAID_CHANNELS, *OWNED_CHANNELS, *REST_CHANNELS)]
-    return df.withColumn("total", sum(parts[1:], parts[0]))
+    return df.withColumn("total", sum(parts[1:], parts[0])).drop(*[f"__lower_{c}" for c in FOLDED])
 
 
 def channel_rollup(df: DataFrame, period: str, flags: Sequence[str]) -> DataFrame:

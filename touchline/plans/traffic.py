@@ -17,6 +17,7 @@ from touchline.operators.channels import (
     ChannelRules,
     channel_flags,
     channel_rollup,
+    fold_case,
 )
 from touchline.operators.funnel import funnel_counts, semi_month
 from touchline.operators.joins import with_group_values
@@ -147,7 +148,7 @@ def core_traffic_last_touch(
             & _real_landing(ignored)
         )
     )
-    core = touches.filter(rules.search_core(F.col("thedate")))
+    core = fold_case(touches).filter(rules.search_core(F.col("thedate"))).select(*touches.columns)
     # As in _first_touches, the first of the day decides before conversions are looked up.
     visits = before_conversion(
         first_qualifying_per_day(core, "unique_id", "thedate", "time"),
@@ -169,11 +170,14 @@ def core_traffic_last_touch(
         *[F.col(f"prior_{c}").alias(c) for c in touches.columns],
     )
     channels = (*PAID_CHANNELS, "search_content", *[c for c in OWNED_CHANNELS if c != "search"], *REST_CHANNELS)
-    # Flags without a column in the report still tell two earlier touches apart.
-    every_flag = (*PAID_CHANNELS, *OWNED_CHANNELS, *REST_CHANNELS, *SEARCH_SPLITS, "search_core", "search_content")
+    # Flags without a column in the report still tell two earlier touches apart; the search splits
+    # are one value here.
+    source = F.col("source")
+    engine = F.when(source.isin("GOOGLE", "BING"), source).when(source.isNotNull(), "OTHER")
     flagged = channel_flags(before, "thedate", rules).select(
-        "thedate", "theweek", "visitor", "visit_number", "landing_page", *every_flag
-    )
+        "thedate", "theweek", "visitor", "visit_number", "landing_page", *channels, "search", "search_core",
+        F.when(F.col("search") == 1, engine).alias("engine"),
+    )
     last_touch = channel_rollup(flagged.distinct(), "theweek", channels)
     visits_per_period = distinct_visits.groupBy("theweek").agg(F.count(F.lit(1)).alias("core"))
     return visits_per_period.join(last_touch, "theweek", "left").select("theweek", "core", *channels)
