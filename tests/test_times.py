@@ -9,6 +9,7 @@ from touchline.functions.times import (
     period,
     period_is,
     period_since,
+    period_until,
     second_diff,
     to_pacific,
     to_utc,
@@ -66,16 +67,22 @@ def test_differences_count_boundaries(make):
     assert [(d, s) for _, d, s in found] == [(0, 1), (1, 7200)]
 
 
-def test_implied_bounds_remove_nothing(spark):
+def test_bounds_on_the_stored_column(spark):
+    """Every way to write a bound keeps the same hours as the comparison it stands for."""
     hours = spark.range(24 * 400).select(
-        (F.lit("2021-01-01").cast("timestamp_ntz") + F.expr("INTERVAL '1' HOUR") * F.col("id")).alias("t")
+        (F.lit("2021-01-01 00:30:00").cast("timestamp_ntz") + F.expr("INTERVAL '1' HOUR") * F.col("id")).alias("t")
     )
     t, local = F.col("t"), to_pacific(F.col("t"))
-    for start in ("2021-03-14", "2021-07-01", "2021-11-07", "2021-12-31"):
+    checks = {}
+    for start in ("2021-03-14", "2021-03-14 02:30:00", "2021-07-01", "2021-11-07", "2021-11-07 01:30:00", "2021-12-31"):
         bound = F.lit(start).cast("timestamp_ntz")
-        assert hours.filter(local_since(t, local, start)).count() == hours.filter(local >= bound).count()
-        month = trunc(t, "month")
-        assert hours.filter(period_since(t, month, start)).count() == hours.filter(month >= bound).count()
+        checks[f"local {start}"] = (local_since(t, start), local >= bound)
+        for scope in ("day", "month", "saturday_week"):
+            checks[f"local {scope} {start}"] = (local_since(t, start, scope), period(local, scope) >= bound)
+            checks[f"since {scope} {start}"] = (period_since(t, start, scope), period(t, scope) >= bound)
+            checks[f"until {scope} {start}"] = (period_until(t, start, scope), period(t, scope) <= bound)
     for scope, start in (("month", "2021-02-01"), ("day", "2021-02-28"), ("saturday_week", "2021-01-02")):
-        direct = hours.filter(period(t, scope) == F.lit(start).cast("timestamp_ntz")).count()
-        assert hours.filter(period_is(t, scope, start)).count() == direct > 0
+        checks[f"is {scope}"] = (period_is(t, scope, start), period(t, scope) == F.lit(start).cast("timestamp_ntz"))
+    differing = [F.count_if(ours != theirs).alias(name) for name, (ours, theirs) in checks.items()]
+    found = hours.agg(*differing).first().asDict()
+    assert {name: n for name, n in found.items() if n} == {}

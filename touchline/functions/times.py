@@ -52,26 +52,53 @@ def second_diff(end: Column, start: Column) -> Column:
     return F.timestamp_diff("SECOND", F.date_trunc("second", start), F.date_trunc("second", end))
 
 
-def local_since(utc: Column, local: Column, start: str) -> Column:
-    """``local >= start`` for a Pacific value, with an implied bound on the stored column.
+def period_start(start: str, scope: str) -> datetime:
+    """First start of a period that is not before ``start``."""
+    moment = datetime.fromisoformat(start)
+    day = datetime(moment.year, moment.month, moment.day)
+    if day < moment:
+        day += timedelta(days=1)
+    if scope == "month":
+        return day if day.day == 1 else (day.replace(day=1) + timedelta(days=32)).replace(day=1)
+    if scope == "saturday_week":
+        return day + timedelta(days=(5 - day.weekday()) % 7)
+    return day
+
+
+def period_end(start: datetime, scope: str) -> datetime:
+    """Start of the period after the one that begins at ``start``."""
+    if scope == "month":
+        return (start.replace(day=1) + timedelta(days=32)).replace(day=1)
+    return start + timedelta(days=7 if scope == "saturday_week" else 1)
 
-    The second condition never removes a row the first one keeps; it is the one a
-    parquet scan can use to skip row groups.
-    """
-    floor = datetime.fromisoformat(start) + PACIFIC_MIN_LAG
-    return (local >= ts(start)) & (utc >= ts(floor.isoformat()))
 
+def period_since(raw: Column, start: str, scope: str) -> Column:
+    """``period(raw, scope) >= start``, as a bound on the stored column that a scan can use."""
+    return raw >= ts(period_start(start, scope).isoformat())
 
-def period_since(raw: Column, truncated: Column, start: str) -> Column:
-    """``truncated >= start`` with the same bound on the raw column (truncation only lowers a value)."""
-    return (truncated >= ts(start)) & (raw >= ts(start))
+
+def period_until(raw: Column, end: str, scope: str) -> Column:
+    """``period(raw, scope) <= end``, likewise."""
+    after = period_start(end, scope)
+    if after == datetime.fromisoformat(end):
+        after = period_end(after, scope)
+    return raw < ts(after.isoformat())
 
 
 def period_is(raw: Column, scope: str, start: str) -> Column:
-    """Raw value falls in the period that begins at ``start``, written as a range the scan can use."""
+    """``period(raw, scope) = start`` for the start of a period, likewise."""
     begin = datetime.fromisoformat(start)
-    if scope == "month":
-        end = (begin.replace(day=1) + timedelta(days=32)).replace(day=1)
-    else:
-        end = begin + timedelta(days=7 if scope == "saturday_week" else 1)
-    return (raw >= ts(start)) & (raw < ts(end.isoformat()))
+    return (raw >= ts(start)) & (raw < ts(period_end(begin, scope).isoformat()))
+
+
+def local_since(utc: Column, start: str, scope: str | None = None) -> Column:
+    """Pacific value of a stored UTC time is at or after ``start``; with a scope, its period is.
+
+    Clocks change at two in the morning, so a bound at midnight is one moment in UTC
+    and needs no conversion of the rows.
+    """
+    moment = period_start(start, scope) if scope else datetime.fromisoformat(start)
+    bound = ts(moment.isoformat())
+    if moment == datetime(moment.year, moment.month, moment.day):
+        return utc >= to_utc(bound)
+    return (to_pacific(utc) >= bound) & (utc >= ts((moment + PACIFIC_MIN_LAG).isoformat()))

@@ -25,7 +25,7 @@ def keyword_conversions(
     month = trunc(date, "month")
     rows = tables["attributions"].filter(
         F.col("utm_term").isNotNull()
-        & period_since(date, month, start)
+        & period_since(date, start, "month")
         & (F.col("conversion_type") != excluded_type)
     )
     columns = {"leads": "LEAD", "trials": "TRIAL", "clients": "CLIENT"}
@@ -172,7 +172,7 @@ def contact_details_credit(
         tables["contact_events"]
         .filter(
             F.col("landing_page").ilike(landing)
-            & period_since(time, trunc(time, "day"), start)
+            & period_since(time, start, "day")
             & (utm.ilike(campaign) | utm.isNull())
         )
         .select("user_id")

@@ -120,9 +120,9 @@ def mixed_variant_emails(tables: Tables, *, experiment: str = "experiment_b") ->
 
 def single_device_users(tables: Tables, *, start: str = "1996-01-01") -> DataFrame:
     """Users on one device, with that device and their first Pacific day."""
-    local = to_pacific(F.col("time"))
-    views = tables["pageviews"].filter(local_since(F.col("time"), local, start))
-    return single_device(views, ["user_id"], "device_type", first_day=F.min(trunc(local, "day")))
+    views = tables["pageviews"].filter(local_since(F.col("time"), start))
+    first_day = F.min(trunc(to_pacific(F.col("time")), "day"))
+    return single_device(views, ["user_id"], "device_type", first_day=first_day)
 
 
 def identity_matches(tables: Tables, *, email_match: str = "pattern") -> DataFrame:

@@ -64,7 +64,7 @@ def ab_session_last_page(
     )
     pages = (
         tables["pageviews"]
-        .filter(local_since(time, local, start))
+        .filter(local_since(time, start))
         .select(
             "user_id", "session_id", "path", local.alias("pageview_time"), bucket.alias("bucket"),
             F.coalesce(signup, F.lit(False)).alias("signup_page"),
@@ -132,7 +132,7 @@ def ab_single_variant(
         )
 
     sessions = session_flags(
-        tables["pageviews"].filter(local_since(time, local, start)),
+        tables["pageviews"].filter(local_since(time, start)),
         [F.col("user_id"), F.col("session_id"), day],
         {"blog": F.col("path").ilike("%blog%"), "signup": F.col("path").ilike("%signup%")},
     ).filter(true_flags("blog", "signup"))
@@ -144,7 +144,7 @@ def ab_single_variant(
             F.col("page_name").ilike(page_name)
             & (F.col("view_name") == page_name)
             & F.col("landing_page").ilike("%blog%")
-            & local_since(time, local, start)
+            & local_since(time, start)
         )
         .select(day, "user_id")
     )
@@ -196,7 +196,7 @@ def ab_exposure_attribution(
     people = tables["identity_map"].select("heap_user_id", "inferred_email")
     views = (
         tables["experiment_views"]
-        .filter((F.lower("campaignid") == campaign.lower()) & local_since(F.col("time"), local, start))
+        .filter((F.lower("campaignid") == campaign.lower()) & local_since(F.col("time"), start))
         .select("user_id", local.alias("pageview_date"), "experimentvariant")
         .distinct()
         .join(people, F.col("user_id") == F.col("heap_user_id"), "left")
@@ -353,8 +353,7 @@ def ab_funnel_ilike(
         .join(clients, F.col("person_id") == F.col("principalpersonid"), "left")
         .select("user_id", "variation_id", "email", "person_email", "client_id")
     )
-    local = to_pacific(F.col("time"))
-    views = _home_views(tables, local_since(F.col("time"), trunc(local, "day"), start), path)
+    views = _home_views(tables, local_since(F.col("time"), start, "day"), path)
     people = materialise(people.join(_single_device_viewers(views), "user_id"))
 
     leads = materialise(_known_leads(tables, start))

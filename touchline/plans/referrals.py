@@ -41,7 +41,7 @@ def referral_page_conversions(
     # Only the earliest view of an address counts, so a session is its first view.
     views = (
         tables["pageviews"]
-        .filter(F.col("landing_page").ilike(landing) & local_since(F.col("time"), local, start))
+        .filter(F.col("landing_page").ilike(landing) & local_since(F.col("time"), start))
         .groupBy("user_id", "session_id")
         .agg(F.min(local).alias("view_day"))
         .join(people, F.col("user_id") == F.col("heap_user_id"))
@@ -105,7 +105,7 @@ def referral_lead_sources(
     )
     base = (
         tables["attributions_crm"]
-        .filter((F.col("referrals") == 1) & (F.col("lead_ind") == 1) & period_since(raw, trunc(raw, "month"), start))
+        .filter((F.col("referrals") == 1) & (F.col("lead_ind") == 1) & period_since(raw, start, "month"))
         .select("id", "raw_date")
         .distinct()
         .join(leads, F.col("id") == F.col("lead_id"), "left")

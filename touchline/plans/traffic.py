@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.text import ilike_any, is_true
-from touchline.functions.times import local_since, period, period_since, to_pacific, trunc, ts
+from touchline.functions.times import local_since, period, period_since, period_until, to_pacific, trunc, ts
 from touchline.operators.channels import (
     OWNED_CHANNELS,
     PAID_CHANNELS,
@@ -60,9 +60,7 @@ def _first_touches(
     the conversions are looked up after the reduction to one row per visitor.
     """
     touches = tables["touches"].select(*_TOUCH_COLUMNS).withColumn("thedate", period(F.col("time"), scope))
-    touches = touches.filter(
-        period_since(F.col("time"), F.col("thedate"), start) & _real_landing(ignored)
-    )
+    touches = touches.filter(period_since(F.col("time"), start, scope) & _real_landing(ignored))
     if extra is not None:
         touches = touches.filter(extra)
     firsts = first_touch(touches, ["thedate", "unique_id"], "time", ["touch_id"])
@@ -110,7 +108,7 @@ def search_core_daily(
 ) -> DataFrame:
     """First touches of the period that are core search visits, by the day they happened."""
     time = F.col("time")
-    recent = period_since(time, trunc(time, "day"), first_day)
+    recent = period_since(time, first_day, "day")
     firsts = channel_flags(
         _first_touches(tables, scope, start, ignored, lead_type, recent), "thedate", rules
     )
@@ -142,10 +140,7 @@ def core_traffic_last_touch(
         .select(*[c for c in _TOUCH_COLUMNS if c != "touch_id"])
         .withColumns({"thedate": trunc(time, "day"), "theweek": period(time, scope)})
         .filter(
-            period_since(time, F.col("thedate"), start)
-            & (F.col("thedate") <= ts(end))
-            & (time < ts(end) + F.expr("INTERVAL '1' DAY"))
-            & _real_landing(ignored)
+            period_since(time, start, "day") & period_until(time, end, "day") & _real_landing(ignored)
         )
     )
     core = fold_case(touches).filter(rules.search_core(F.col("thedate"))).select(*touches.columns)
@@ -266,7 +261,7 @@ def _growth_months(
     time = F.col("time")
     local = to_pacific(time)
     month = trunc(local, "month")
-    pages = tables["pageviews"].filter(local_since(time, local, start))
+    pages = tables["pageviews"].filter(local_since(time, start))
     flags = {**views, **{f"in_{n}": c for n, c in patterns.session.items()}}
     sessions = session_flags(pages, [month.alias("themonth"), F.col("user_id"), F.col("session_id")], flags)
     counted = F.col("themonth") >= ts(start)
@@ -290,9 +285,8 @@ def _growth_months(
 
 
 def _share_clicks(tables: Tables, start: str) -> DataFrame:
-    local = to_pacific(F.col("time"))
-    clicks = tables["share_clicks"].filter(local_since(F.col("time"), local, start))
-    return clicks.groupBy(trunc(local, "month").alias("click_month")).agg(
+    clicks = tables["share_clicks"].filter(local_since(F.col("time"), start))
+    return clicks.groupBy(trunc(to_pacific(F.col("time")), "month").alias("click_month")).agg(
         F.countDistinct("user_id").alias("raf_clicks")
     )
 
