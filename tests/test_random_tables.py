@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import duckdb
 import pyarrow.parquet as pq
 import pytest
@@ -39,3 +41,44 @@ def test_heavy_keys_do_not_change_the_funnel(world, heavy_from):
     frame = JOBS["ab_funnel_exclusions"](catalog, heavy_from=heavy_from)
     _, problems = differences(frame, con, testdata.render(QUERIES["ab_funnel_exclusions"]))
     assert problems == []
+
+
+def equal_in_any_case(sql: str) -> str:
+    """The plain SQL with pattern matches between columns replaced by equality in any case."""
+    return re.sub(r"([\w.]+) ILIKE ((?:l|d)\.(?:crm_)?email)", r"lower(\1) = lower(\2)", sql)
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["ab_single_variant", "ab_exposure_attribution", "ab_funnel_ilike", "contact_details_credit", "email_utm_funnel",
+     "identity_matches"],
+)
+def test_equality_in_any_case(world, name):
+    catalog, con = world
+    sql = equal_in_any_case(testdata.render(QUERIES[name]))
+    assert sql != testdata.render(QUERIES[name])
+    _, problems = differences(JOBS[name](catalog, email_match="exact_ci"), con, sql)
+    assert problems == []
+
+
+def test_each_user_once(world):
+    catalog, con = world
+    sql = testdata.render(QUERIES["ab_funnel_exclusions"])
+    once = "SELECT DISTINCT user_id, variation_id FROM joined"
+    sql = re.sub(r"SELECT DISTINCT user_id, person_email[^)]*FROM joined", once, sql)
+    assert once in sql
+    _, problems = differences(JOBS["ab_funnel_exclusions"](catalog, per_user=True), con, sql)
+    assert problems == []
+
+
+def test_strict_exclusions(world):
+    catalog, con = world
+    sql = testdata.render(QUERIES["ab_funnel_exclusions"])
+    strict = """FROM people
+        WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.email IN (people.email, people.person_email)) AND (person_email"""
+    start = sql.index("FROM people\n        WHERE person_email")
+    end = sql.index("views AS (", start)
+    clause = sql[start:end].replace("FROM people\n        WHERE person_email", strict, 1).rstrip().rstrip(",")
+    sql = sql[:start] + clause + "),\n    " + sql[end:]
+    _, problems = differences(JOBS["ab_funnel_exclusions"](catalog, strict_exclusions=True), con, sql)
+    assert problems == []

@@ -47,6 +47,25 @@ def ilike_column(text: Column, pattern: Column) -> Column:
     return _like(text, _parked(pattern))
 
 
+def _positions(mask: Column) -> Column:
+    """Positions of the wildcards in a mask, from 1."""
+    return F.filter(F.sequence(F.lit(1), F.length(mask)), lambda i: F.substr(mask, i, F.lit(1)) == "_")
+
+
+def _blanked(text: Column, mask: Column, blanks: Column) -> Column:
+    """Text with ``_`` at the positions of the mask.
+
+    Up to four positions are written one after the other, which compiled code does
+    fast; texts with more go through arrays of characters.
+    """
+    few = text
+    for i in range(4):
+        written = F.overlay(few, F.lit("_"), F.get(blanks, F.lit(i)), F.lit(1))
+        few = F.when(F.size(blanks) > i, written).otherwise(few)
+    many = F.zip_with(F.split(text, ""), F.split(mask, ""), lambda c, m: F.when(m == "_", F.lit("_")).otherwise(c))
+    return F.when(F.size(blanks) <= 4, few).otherwise(F.array_join(many, ""))
+
+
 def pattern_pairs(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """All pairs ``(text, pattern)`` with ``text ILIKE pattern``.
 
@@ -65,23 +84,14 @@ def pattern_pairs(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     plain = p.filter(~has_percent & ~has_blank).withColumn("__low", _literal(parked))
     equal = t.join(plain, "__low").select("text", "pattern")
 
-    blanked = p.filter(~has_percent & has_blank).select(
-        "pattern",
-        F.regexp_replace(parked, "[^_]", "x").alias("__mask"),
-        _literal(parked).alias("__shape"),
-    )
-    masks = blanked.select(F.col("__mask").alias("mask"), F.length("__mask").alias("size")).distinct()
-    shaped = t.join(masks, F.length("__low") == F.col("size")).select(
-        "text",
-        F.col("mask").alias("__mask"),
-        F.array_join(
-            F.zip_with(
-                F.split("__low", ""), F.split("mask", ""), lambda c, m: F.when(m == "_", F.lit("_")).otherwise(c)
-            ),
-            "",
-        ).alias("__shape"),
-    )
-    by_shape = shaped.join(blanked, ["__mask", "__shape"]).select("text", "pattern")
+    # Mask and shape travel as one number; a pair that only shares the number fails the test at the end.
+    blanked = p.filter(~has_percent & has_blank).withColumn("mask", F.regexp_replace(parked, "[^_]", "x"))
+    coded = blanked.select("pattern", "__parked", F.xxhash64("mask", _literal(parked)).alias("__code"))
+    masks = blanked.select("mask").distinct()
+    masks = masks.withColumns({"size": F.length("mask"), "blanks": _positions(F.col("mask"))})
+    shape = _blanked(F.col("__low"), F.col("mask"), F.col("blanks"))
+    shaped = t.join(masks, F.length("__low") == F.col("size")).select("text", F.xxhash64("mask", shape).alias("__code"))
+    by_shape = shaped.join(coded, "__code").filter(_like(text, parked)).select("text", "pattern")
 
     run = F.array_max(
         F.transform(F.split(parked, "[%_]+"), lambda r: F.struct(F.length(r).alias("n"), r.alias("run")))
