@@ -80,8 +80,9 @@ def latest_before(
     """
     moments = asked.select(F.col(key).alias("__key"), F.col(at).alias("__at")).distinct()
     moments = moments.filter(F.col("__key").isNotNull() & F.col("__at").isNotNull())
-    happened = events.select(F.col(key).alias("__key"), F.col(time).alias("__time")).distinct()
-    happened = happened.filter(F.col("__key").isNotNull() & F.col("__time").isNotNull())
+    happened = events.select(F.col(key).alias("__key"), F.col(time).alias("__time"))
+    happened = join_groups(happened, moments.select("__key").distinct(), ["__key"], "left_semi")
+    happened = happened.filter(F.col("__time").isNotNull()).distinct()
 
     per_day = happened.groupBy("__key", trunc(F.col("__time"), "day").alias("__event_day")).agg(
         F.max("__time").alias("__time")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.text import external, referrer_name, short_id
 from touchline.functions.times import day_diff, local_since, period_since, to_pacific, trunc, ts
-from touchline.operators.joins import latest_before, split_left_join, with_group_values
+from touchline.operators.joins import join_groups, latest_before, split_left_join, with_group_values
 from touchline.session import materialise
 
 Tables = Mapping[str, DataFrame]
@@ -98,12 +98,7 @@ def referral_lead_sources(
         "user_id", to_pacific(F.col("time")).alias("session_time"), "referrer", "landing_page", "utm_medium",
         "utm_content",
     )
-    sessions = (
-        tables["web_users"].select(F.col("user_id").alias("web_user"), F.col("_email").alias("email"))
-        .join(sessions, F.col("web_user") == F.col("user_id"))
-        .drop("web_user")
-    )
-    base = (
+    base = materialise(
         tables["attributions_crm"]
         .filter((F.col("referrals") == 1) & (F.col("lead_ind") == 1) & period_since(raw, start, "month"))
         .select("id", "raw_date")
@@ -111,9 +106,13 @@ def referral_lead_sources(
         .join(leads, F.col("id") == F.col("lead_id"), "left")
         .drop("lead_id")
     )
+    # Only the sessions of people with the address of such a lead are needed.
+    users = tables["web_users"].select(F.col("user_id").alias("web_user"), F.col("_email").alias("email"))
+    users = join_groups(users, base.select("email").distinct(), ["email"], "left_semi")
+    sessions = materialise(users.join(sessions, F.col("web_user") == F.col("user_id")).drop("web_user"))
     created = F.col("lead_created_datetime_pstpdt")
     base = latest_before(base, sessions, "email", "lead_created_datetime_pstpdt", "session_time", "latest")
-    base = materialise(with_group_values(base, ["id"], last_session=F.max("latest")).drop("latest"))
+    base = with_group_values(base, ["id"], last_session=F.max("latest")).drop("latest")
     seen = sessions.withColumnRenamed("email", "session_email")
     last = base.join(
         seen,
