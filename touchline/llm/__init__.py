@@ -6,17 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import quality, secrets
+from touchline.llm import ownership, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per operator, over its whole table."""
     return {
-        "op1_secret_scan": secrets.op1_secret_scan,
+        "op1_secret_scan": ownership.op1_secret_scan,
         "op3_quality_rules": quality.op3_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op1_secret_scan": secrets.ORACLE, "op3_quality_rules": quality.ORACLE}
+    return {"op1_secret_scan": ownership.ORACLE, "op3_quality_rules": quality.ORACLE}
