@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import ownership, quality
+from touchline.llm import language, neardup, ownership, packing, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": ownership.op1_secret_scan,
         "op3_quality_rules": quality.op3_quality_rules,
+        "op4_best_fit_packing": packing.op4_best_fit_packing,
+        "op8_near_duplicates": neardup.op8_near_duplicates,
+        "op9_language_id": language.op9_language_id,
     }
 
 
