@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import language, neardup, ownership, packing, quality
+from touchline.llm import bpe, language, neardup, ownership, packing, quality, sketch
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,11 +15,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_scan": ownership.op1_secret_scan,
         "op3_quality_rules": quality.op3_quality_rules,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
+        "op6_bpe_round_trip": bpe.op6_bpe_round_trip,
         "op8_near_duplicates": neardup.op8_near_duplicates,
         "op9_language_id": language.op9_language_id,
+        "op10_fingerprints": sketch.op10_fingerprints,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op1_secret_scan": ownership.ORACLE, "op3_quality_rules": quality.ORACLE}
+    return {
+        "op1_secret_scan": ownership.ORACLE,
+        "op3_quality_rules": quality.ORACLE,
+        "op10_fingerprints": sketch.ORACLE,
+    }
