@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import bpe, language, neardup, ownership, packing, quality, sketch
+from touchline.llm import bpe, language, licenses, neardup, ownership, packing, quality, sketch
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_scan": ownership.op1_secret_scan,
         "op3_quality_rules": quality.op3_quality_rules,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
+        "op5_license_scan": licenses.op5_license_scan,
         "op6_bpe_round_trip": bpe.op6_bpe_round_trip,
         "op8_near_duplicates": neardup.op8_near_duplicates,
         "op9_language_id": language.op9_language_id,
@@ -27,5 +28,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_secret_scan": ownership.ORACLE,
         "op3_quality_rules": quality.ORACLE,
+        "op5_license_scan": licenses.ORACLE,
         "op10_fingerprints": sketch.ORACLE,
     }
