@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import bpe, language, licenses, neardup, ownership, packing, quality, sketch
+from touchline.llm import bpe, language, licenses, neardup, ownership, packing, pages, quality, sketch
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_license_scan": licenses.op5_license_scan,
         "op6_bpe_round_trip": bpe.op6_bpe_round_trip,
+        "op7_main_text": pages.op7_main_text,
         "op8_near_duplicates": neardup.op8_near_duplicates,
         "op9_language_id": language.op9_language_id,
         "op10_fingerprints": sketch.op10_fingerprints,
