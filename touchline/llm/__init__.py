@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import bpe, language, licenses, neardup, ownership, packing, pages, quality, sketch
+from touchline.llm import bpe, language, licenses, neardup, ownership, packing, pages, quality, sketch, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per operator, over its whole table."""
     return {
         "op1_secret_scan": ownership.op1_secret_scan,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_quality_rules": quality.op3_quality_rules,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_license_scan": licenses.op5_license_scan,
