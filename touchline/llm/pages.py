@@ -201,10 +201,11 @@ def extract(items: list[Item], learned: dict[tuple[str, str], float]) -> str:
             keep.append(False)
             score = 0.0 if item.inside and item.furniture else learned.get(("tag", item.key), -0.05)
         else:
-            known = learned.get(("word", item.key), -2.0 if item.furniture else 1.0)
+            known = learned.get(("word", item.key), 1.0)
             keep.append(not item.furniture and (known > 0 or item.inside))
-            # Furniture inside the labelled content is left out, but does not tear the region apart.
-            weight = 0.0 if item.inside and not keep[-1] else -abs(known) if not keep[-1] else max(known, 0.25)
+            # Furniture is left out in any case; so that it does not tear a region apart, its words count little, and
+            # nothing inside the labelled content. It is the tags that part regions.
+            weight = max(known, 0.25) if keep[-1] else 0.0 if item.inside else -0.25
             score = weight * len(item.text.split())
         if total <= 0:
             total, begin = 0.0, k
