@@ -16,7 +16,7 @@ import duckdb
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 import __spark_entry__ as spark_entry  # noqa: E402
-from touchline.session import local_session  # noqa: E402
+from touchline.session import intermediate_tables, local_session  # noqa: E402
 
 
 def duck(root: str) -> duckdb.DuckDBPyConnection:
@@ -66,10 +66,11 @@ def main() -> None:
     con = duck(root)
     sqls, jobs = spark_entry.oracle_sql(), spark_entry.queries()
     print("without counterpart:", sorted(set(jobs) ^ set(sqls)))
-    for name in args or jobs:
+    for name in args or [name for name in jobs if name in sqls]:
         begin = time.time()
         try:
-            count, problems = differences(jobs[name](spark, root), con, sqls[name])
+            with intermediate_tables():
+                count, problems = differences(jobs[name](spark, root), con, sqls[name])
         except Exception as error:  # noqa: BLE001
             count, problems = -1, [str(error)[:1500]]
         verdict = "ok" if not problems and count else "EMPTY" if not problems else "DIFFERS"

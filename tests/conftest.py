@@ -8,8 +8,9 @@ from touchline.session import local_session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("8", app="touchline-tests")
+def spark(tmp_path_factory):
+    shared = str(tmp_path_factory.mktemp("shared"))
+    session = local_session("8", app="touchline-tests", **{"spark.checkpoint.dir": shared})
     yield session
     session.stop()
 

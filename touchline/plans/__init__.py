@@ -8,6 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame
 
 from touchline.plans import ads, attribution, blocks, email, experiments, leads, referrals, traffic
+from touchline.session import intermediate_tables
 
 JOBS: dict[str, Callable[..., DataFrame]] = {
     "channel_uniques": traffic.channel_uniques,
@@ -80,7 +81,10 @@ JOBS: dict[str, Callable[..., DataFrame]] = {
 
 
 def create_views(tables: Mapping[str, DataFrame], names: Iterable[str], prefix: str = "") -> None:
-    """Expose reports as temporary views, for SQL on top of them."""
+    """Expose reports as temporary views, for SQL on top of them.
+
+    Steps that a report writes run now, so a view shows the data of this moment; call again to renew it.
+    """
     for name in names:
         JOBS[name](tables).createOrReplaceTempView(f"{prefix}{name}")
 
@@ -88,6 +92,7 @@ def create_views(tables: Mapping[str, DataFrame], names: Iterable[str], prefix:
 def write_report(
     tables: Mapping[str, DataFrame], name: str, path: str, partition_by: str | None = None, **options
 ) -> None:
-    """Write a report as parquet; ``options`` are its parameters."""
-    writer = JOBS[name](tables, **options).write.mode("overwrite")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    """Write a report as parquet; ``options`` are its parameters. Its intermediate tables go when it is done."""
+    with intermediate_tables():
+        writer = JOBS[name](tables, **options).write.mode("overwrite")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,27 +26,42 @@ SQL_SETTINGS = {
 
 # Rows of one shuffle partition should fit in a task's memory with room to sort.
 SHUFFLE_PARTITION_BYTES = 256 * 1024**2
-SCAN_PARTITION_BYTES = 512 * 1024**2
 
 
-def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
-    """Apply the settings the jobs need to a running session.
+def configure(
+    spark: SparkSession,
+    input_bytes: int | None = None,
+    partition_bytes: int = SHUFFLE_PARTITION_BYTES,
+    scan_bytes: int | None = None,
+) -> SparkSession:
+    """Apply the settings the jobs need to a running session, for good; ``configured`` puts them back.
 
-    With the size of the largest input, shuffles start with enough partitions for it
-    (adaptive execution merges small ones) and large scans use fewer, larger splits.
+    With the size of the largest input, shuffles start with a partition for every
+    ``partition_bytes`` of it; adaptive execution merges small ones. ``scan_bytes`` is
+    the size of a scan's splits, where the session's own is not wanted.
     """
     for key, value in SQL_SETTINGS.items():
         spark.conf.set(key, value)
     if input_bytes:
-        partitions = -(-input_bytes // SHUFFLE_PARTITION_BYTES)
         now = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        # Beyond this many, the blocks between mappers and reducers become too small.
-        spark.conf.set("spark.sql.shuffle.partitions", str(max(now, min(partitions, 100_000))))
-        if input_bytes > 10 * 1024**4:
-            spark.conf.set("spark.sql.files.maxPartitionBytes", str(SCAN_PARTITION_BYTES))
+        spark.conf.set("spark.sql.shuffle.partitions", str(max(now, -(-input_bytes // partition_bytes))))
+    if scan_bytes:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(scan_bytes))
     return spark
 
 
+@contextmanager
+def configured(spark: SparkSession, **sizes: int) -> Iterator[SparkSession]:
+    """The settings of ``configure`` for the reports that run inside."""
+    keys = [*SQL_SETTINGS, "spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes"]
+    before = {key: spark.conf.get(key, None) for key in keys}
+    try:
+        yield configure(spark, **sizes)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def local_session(cores: str = "*", app: str = "touchline", **extra: str) -> SparkSession:
     """A local session for tests and benchmarks."""
     builder = (
@@ -61,32 +78,49 @@ def local_session(cores: str = "*", app: str = "touchline", **extra: str) -> Spa
     return spark
 
 
-_own_folders: dict[str, str] = {}
+#: Intermediate tables that were written and not yet deleted, each with its way to delete it.
+_written: dict[str, object] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
-
-    Only a local session without that setting gets a temporary folder of its own.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder:
-        return folder
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if context.applicationId not in _own_folders:
-        _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="touchline-")
-    return _own_folders[context.applicationId]
+    """Folder for intermediate tables: ``spark.checkpoint.dir``, or where that is unset, the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return folder or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write a result that several later steps read, and continue from the written table.
 
     Unlike a cached result it outlives executors, and the readers prune columns and
-    skip row groups. The folder is left to the retention rule of the shared folder.
+    skip row groups. The table is written when the report is built, not when it is
+    read. It is deleted at the end of the enclosing ``intermediate_tables``, or when
+    the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/touchline/{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    # Taken now, since the files may have to go after the session has ended.
+    _written[path] = (target.getFileSystem(spark._jsc.hadoopConfiguration()), target)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(paths: list[str]) -> None:
+    for path in paths:
+        files, target = _written.pop(path)
+        files.delete(target, True)
+
+
+@contextmanager
+def intermediate_tables() -> Iterator[None]:
+    """Delete, at the end, the tables that ``materialise`` wrote inside; read the reports before that."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        _delete([path for path in _written if path not in before])
+
+
+@atexit.register
+def _delete_all() -> None:
+    _delete(list(_written))
