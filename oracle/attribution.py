@@ -29,7 +29,7 @@ _ACTUALS = f"""
     SELECT DISTINCT conversion_date, date_trunc('month', conversion_date)::TIMESTAMP AS themonth, client_key,
            lead_id, opp_id, channel, conversion_credit, conversion_type,
            CASE WHEN list_contains({PAID!r}, channel) THEN 'Paid'
-                WHEN channel = 'email' OR channel = 'social' OR starts_with(channel, 'search_') THEN 'Inbound'
+                WHEN channel IN ('email', 'search_content', 'search_core', 'social') THEN 'Inbound'
                 ELSE channel END AS channel1
     FROM $attributions_channel WHERE conversion_date >= TIMESTAMP '2024-01-05'"""
 

@@ -123,9 +123,15 @@ _KINDS = """
 
 _REFERRERS = """
     SELECT CASE WHEN referrer IS NULL THEN 'null'
-                ELSE coalesce(nullif(regexp_extract(lower(referrer),
-                        '(facebook|corp\\.example|bing|youtube|ebay|google|reddit|slack)'), ''),
-                     rtrim(split_part(referrer, '?', 1), '/')) END AS referrer, count(*) AS sessions
+                ELSE CASE WHEN contains(lower(referrer), 'facebook') THEN 'facebook'
+                     WHEN contains(lower(referrer), 'corp.example') THEN 'corp.example'
+                     WHEN contains(lower(referrer), 'bing') THEN 'bing'
+                     WHEN contains(lower(referrer), 'youtube') THEN 'youtube'
+                     WHEN contains(lower(referrer), 'ebay') THEN 'ebay'
+                     WHEN contains(lower(referrer), 'google') THEN 'google'
+                     WHEN contains(lower(referrer), 'reddit') THEN 'reddit'
+                     WHEN contains(lower(referrer), 'slack') THEN 'slack'
+                     ELSE regexp_replace(split_part(referrer, '?', 1), '/$', '') END END AS referrer, count(*) AS sessions
     FROM $sessions GROUP BY 1"""
 
 _OUTSIDE = """

@@ -118,7 +118,7 @@ _CONTACTABLE_ROWS = """
                     'Partner', 'Terminated'), FALSE)
                OR coalesce(contains(lower(email), 'corp.example'), FALSE)
                OR coalesce(leadsource IN ('Partner List', 'List Upload', 'Test Lead'), FALSE)
-               OR coalesce(lower(email_opt_out__c) IN ('true', 'yes'), FALSE)
+               OR coalesce(email_opt_out__c IN ('True', 'true', 'yes'), FALSE)
                OR coalesce(leadsource = 'Freshbooks' AND (reseller__c = 'TRUE' OR reseller_lead__c = 'TRUE'), FALSE)
                AS blocked
         FROM base),

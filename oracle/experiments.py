@@ -111,7 +111,7 @@ def lead_rules(prefix: str = "") -> dict[str, str]:
         "source_ok": f"""({p}leadsource IS NOT NULL AND {p}leadsource NOT IN ('Outbound', 'Test Lead',
             'Outbound Referral', 'Radius', 'Equity Structure Change', 'Unassigned: Merged',
             'Inbound Partnership Interest', 'Partnership Prospecting', 'Content', 'Re-engaged Contact',
-            'List Upload'))""",
+            'List Upload', 'NULL'))""",
         "content_ok": f"""({p}leadsource IN ('Content', 'List Upload') AND ({p}providedemail__c IS NOT NULL
             OR {p}providedcompanydetails__c IS NOT NULL OR {p}createdaccount__c IS NOT NULL
             OR coalesce({p}isconverted, FALSE)))""",

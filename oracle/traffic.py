@@ -24,7 +24,7 @@ _TESTS = """
     regexp_matches(landing_page, '(?is)blog|syllabus') AS l_words,
     (contains(landing_page, 'site.example/blog') OR contains(landing_page, 'site.example/syllabus')
      OR ({day} <= TIMESTAMP '2024-01-15' AND landing_page IN
-         ('site.example/ecommerce/', 'site.example/fitness/', 'site.example/healthcare/'))) AS l_content,
+         ('site.example/ecommerce/', 'site.example/fitness/', 'site.example/healthcare/', 'site.example/ecommerce/how-to-reduce-shipping-costs/', 'site.example/ecommerce/omnichannel-retailing-guide/', 'site.example/ecommerce/sales-tax-guide-online-sellers/', 'site.example/ecommerce/sales-tax-nexus-guide/', 'site.example/ecommerce/subscription-box-business/', 'site.example/ecommerce/tax-deductions-ecommerce/', 'site.example/ecommerce/sales-tax-basics/', 'site.example/fitness/how-to-find-more-clients-crossfit/', 'site.example/healthcare/tax-reductions-therapists/'))) AS l_content,
     (utm_medium IS NULL OR lower(utm_medium) <> 'social') AS not_social,
     source IN ('GOOGLE', 'BING', 'UNIDENTIFIABLE SEARCH ENGINE', 'SYLLABUS') AS known_engine
 """

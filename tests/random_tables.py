@@ -54,7 +54,7 @@ POOLS = {
     "title": ["Funnel 2.0 page", "Page"], "utm_medium": ["cpc", "display", "marketing_email", "social"],
     "utm_source": ["nurture_email", "partner"], "utm_campaign": ["salesnurture", "ads_rd"],
     "utm_content": ["nurturelead", "lead-referral-page"],
-    "referrer": ["https://google.example/?q=a", "https://partner.example/", "https://x.example/a?b"],
+    "referrer": ["https://google.example/?q=a", "https://google.example/facebook-ads", "https://y.example/a//", "https://partner.example/", "https://x.example/a?b"],
     "page_name": ["1 - Sign Up Page"], "view_name": ["1 - Sign Up Page", "2"],
     "experimentvariant": ["control", "test", "other"], "campaignid": ["campaign-x", "Campaign-X", "CAMPAIGN_1"],
     "experiment_a": [1, 2], "experiment_b": [0, 1], "experiment_c": [1], "experiment_d": [1],

@@ -88,8 +88,21 @@ class ChannelSettings:
     content_sections: tuple[str, ...] = ("%site.example/blog%", "%site.example/syllabus%")
     content_words: tuple[str, ...] = ("%blog%", "%syllabus%")
     careers: str = "%/careers%"
-    # Pages that counted as content up to a date, before they moved.
-    legacy_pages: tuple[str, ...] = ("site.example/ecommerce/", "site.example/fitness/", "site.example/healthcare/")
+    # Pages that counted as content up to a date, before they moved.
+    legacy_pages: tuple[str, ...] = (
+        "site.example/ecommerce/",
+        "site.example/fitness/",
+        "site.example/healthcare/",
+        "site.example/ecommerce/how-to-reduce-shipping-costs/",
+        "site.example/ecommerce/omnichannel-retailing-guide/",
+        "site.example/ecommerce/sales-tax-guide-online-sellers/",
+        "site.example/ecommerce/sales-tax-nexus-guide/",
+        "site.example/ecommerce/subscription-box-business/",
+        "site.example/ecommerce/tax-deductions-ecommerce/",
+        "site.example/ecommerce/sales-tax-basics/",
+        "site.example/fitness/how-to-find-more-clients-crossfit/",
+        "site.example/healthcare/tax-reductions-therapists/",
+    )
     legacy_until: str = "2024-01-15"
     brand_campaign: str = "Bing - Search Brand USA (Engine)"
     non_brand_campaign: str = "Bing - Search Non-Brand USA (Engine)"

@@ -69,7 +69,7 @@ def same_month(a: Column, b: Column) -> Column:
 
 
 def won_value(stage: Column, base: Column, tax: Column, add_on_stage: Column, add_on: Column) -> Column:
-    """Recurring revenue of a client; an add-on that is sold but has no value makes it unknown."""
+    """Monthly value of a client; an add-on that is sold but has no value makes it unknown."""
     extra = F.when(add_on_stage == "Client", add_on).otherwise(F.lit(0.0))
     return F.when(stage == "Client", F.coalesce(base, F.lit(0.0)) + F.coalesce(tax, F.lit(0.0)) + extra)
 

@@ -36,7 +36,6 @@ from touchline.operators.touch import (
 )
 from touchline.plans.email import MailingRules
 from touchline.plans.referrals import REFERRERS
-from touchline.session import materialise
 
 Tables = Mapping[str, DataFrame]
 
@@ -134,7 +133,7 @@ def identity_matches(tables: Tables, *, email_match: str = "pattern") -> DataFra
     )
     leads = tables["lead_data"].select(F.col("id").alias("lead_id"), F.col("email").alias("lead_email"), "client_key")
     keys = [Key("inferred_email", "lead_email", email_match), Key("client_id", "client_key")]
-    return identity_join(materialise(people), leads, keys)
+    return identity_join(people, leads, keys)
 
 
 def latest_bing_rows(tables: Tables) -> DataFrame:
@@ -202,7 +201,7 @@ def outside_addresses(
 
 
 def opportunity_values(tables: Tables) -> DataFrame:
-    """Recurring revenue of every opportunity that became a client."""
+    """Monthly value of every opportunity that became a client."""
     value = won_value(
         F.col("stagename"), F.col("bookkeeping_mrr__c"), F.col("tax_mrr__c"), F.col("pro_opp_status__c"),
         F.col("pro_mrr__c"),
