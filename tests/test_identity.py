@@ -55,7 +55,7 @@ def test_pattern_test_on_a_row(make):
     assert sorted(map(tuple, hits.collect())) == expected(TEXTS, PATTERNS)
 
 
-words = st.lists(st.text("aB_%\\.", max_size=5), min_size=1, max_size=25)
+words = st.lists(st.text("aB_%\\.\ue000\ue001\ue002", max_size=5), min_size=1, max_size=25)
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))

@@ -6,20 +6,22 @@ import contextlib
 import io
 import random
 from datetime import timedelta
+from pathlib import Path
 
 import pytest
 from conftest import at, rows
 from pyspark.sql import functions as F
 
 import __spark_entry__ as spark_entry
+from touchline import plans
 from touchline.operators.audience import suppressed_by_address
 from touchline.operators.identity import distinct_times_since
 from touchline.operators.joins import join_groups, latest_before, split_left_join, with_group_values
 from touchline.operators.touch import before_conversion, last_page_before
-from touchline.session import materialise, shared_folder
+from touchline.session import configured, intermediate_tables, materialise, shared_folder
 
 ROOT = "/root/testdata/sf0.001"
-JOBS = spark_entry.queries()
+JOBS = {name: job for name, job in spark_entry.queries().items() if name in plans.JOBS}
 
 
 def plan(df, mode: str = "formatted") -> str:
@@ -103,7 +105,6 @@ def test_split_left_join_is_a_left_join(make):
     right = make("b int, y string", (1, "one"), (1, "uno"), (None, "null"), (3, None))
     on = F.col("a") == F.col("b")
     assert rows(split_left_join(left, right, on)) == rows(left.join(right, on, "left"))
-    assert rows(split_left_join(left, right, on, ["a"])) == rows(left.join(right, on, "left"))
 
 
 def test_latest_before_against_brute_force(make):
@@ -129,9 +130,9 @@ def test_latest_before_against_brute_force(make):
     assert sorted(map(tuple, found.collect()), key=lambda r: r[0]) == expected
 
 
-@pytest.mark.parametrize("heavy_from", [0, 1, 3, 100])
-def test_distinct_times_against_brute_force(make, heavy_from):
-    rng = random.Random(11)
+@pytest.mark.parametrize("seed", [11, 12, 13])
+def test_distinct_times_against_brute_force(make, seed):
+    rng = random.Random(seed)
     day = at("2024-01-01")
     keys = [("c", "1"), ("c", "2"), ("e", "hot"), ("e", "x"), ("e", "y")]
     times = {(*rng.choice([*keys, *[keys[2]] * 3]), day + timedelta(hours=6 * rng.randrange(40))) for _ in range(60)}
@@ -141,7 +142,7 @@ def test_distinct_times_against_brute_force(make, heavy_from):
         make("unit string, key_kind string, key string", *units),
         make("unit string, view_day timestamp_ntz", *asked),
         make("key_kind string, key string, created timestamp_ntz", *times),
-        ["unit"], heavy_from,
+        ["unit"],
     )
     expected = {}
     for unit, since in asked:
@@ -151,7 +152,18 @@ def test_distinct_times_against_brute_force(make, heavy_from):
     assert {(r["unit"], r["view_day"]): r["n"] for r in found.collect()} == expected
 
 
-def test_written_tables_use_the_shared_folder(spark, make):
+def test_written_tables_go_when_the_report_is_done(spark, make):
     df = make("a int, s struct<t: timestamp_ntz, i: string>", (1, (at("2024-01-01"), "x")), (None, None))
-    assert rows(materialise(df)) == rows(df)
-    assert shared_folder(spark) == shared_folder(spark)
+    folder = Path(shared_folder(spark)) / "touchline"
+    before = set(folder.glob("*"))
+    with intermediate_tables():
+        assert rows(materialise(df)) == rows(df)
+        assert len(set(folder.glob("*")) - before) == 1
+    assert set(folder.glob("*")) == before
+
+
+def test_settings_are_put_back(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    with configured(spark, input_bytes=10**14):
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) > 370_000
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before

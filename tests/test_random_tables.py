@@ -35,14 +35,6 @@ def test_same_rows(world, name):
     assert problems == []
 
 
-@pytest.mark.parametrize("heavy_from", [0, 2, 5])
-def test_heavy_keys_do_not_change_the_funnel(world, heavy_from):
-    catalog, con = world
-    frame = JOBS["ab_funnel_exclusions"](catalog, heavy_from=heavy_from)
-    _, problems = differences(frame, con, testdata.render(QUERIES["ab_funnel_exclusions"]))
-    assert problems == []
-
-
 def equal_in_any_case(sql: str) -> str:
     """The plain SQL with pattern matches between columns replaced by equality in any case."""
     return re.sub(r"([\w.]+) ILIKE ((?:l|d)\.(?:crm_)?email)", r"lower(\1) = lower(\2)", sql)

@@ -11,111 +11,113 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.times import trunc
-from touchline.operators.joins import join_groups, null_safe_join, with_unmatched
+from touchline.operators.joins import ROW, join_groups, null_safe_join, numbered, with_unmatched
+from touchline.session import materialise
 
-# Escaped pattern characters are parked on these private-use characters while wildcards are analysed.
-_UNDERSCORE, _PERCENT, _BACKSLASH = "\ue000", "\ue001", "\ue002"
-_PARKED = _UNDERSCORE + _PERCENT + _BACKSLASH
+def _tokens(pattern: Column) -> Column:
+    """A pattern in lower case as its wildcards and characters; an escaped character keeps its backslash."""
+    return F.regexp_extract_all(F.lower(pattern), F.lit(r"(?s)\\.|."), F.lit(0))
 
 
-def _parked(pattern: Column) -> Column:
-    """Lower-case pattern in which every remaining ``_`` and ``%`` is a wildcard."""
-    p = F.lower(pattern)
-    for escaped, parked in (("\\\\", _BACKSLASH), ("\\_", _UNDERSCORE), ("\\%", _PERCENT)):
-        p = F.replace(p, F.lit(escaped), F.lit(parked))
-    p = F.regexp_replace(p, r"(?s)\\(.)", "$1")
-    return F.replace(p, F.lit("\\"), F.lit(_BACKSLASH))
+def _wild(token: Column) -> Column:
+    return token.isin("%", "_")
 
 
-def _literal(parked: Column) -> Column:
-    return F.translate(parked, _PARKED, "_%\\")
+def _characters(tokens: Column) -> Column:
+    """What literal tokens stand for. A backslash at the end of a pattern stands for itself."""
+    return F.array_join(F.transform(tokens, lambda t: F.right(t, F.lit(1))), "")
 
 
-def _like(text: Column, parked: Column) -> Column:
-    p = parked
-    for char, escaped in ((_BACKSLASH, "\\\\"), (_UNDERSCORE, "\\_"), (_PERCENT, "\\%")):
-        p = F.replace(p, F.lit(char), F.lit(escaped))
-    return F.like(F.lower(text), p)
+def _plain(pattern: Column) -> Column:
+    """The pattern in lower case with every literal ``_``, ``%`` and backslash escaped, and nothing else."""
+
+    def spelt(token: Column) -> Column:
+        char = F.right(token, F.lit(1))
+        return F.when(char.isin("%", "_", "\\"), F.concat(F.lit("\\"), char)).otherwise(char)
+
+    return F.array_join(F.transform(_tokens(pattern), lambda t: F.when(_wild(t), t).otherwise(spelt(t))), "")
 
 
 def ilike_column(text: Column, pattern: Column) -> Column:
     """``text ILIKE pattern`` for a pattern column, also where a pattern ends in a backslash."""
-    return _like(text, _parked(pattern))
+    return F.like(F.lower(text), _plain(pattern))
 
 
-def _positions(mask: Column) -> Column:
-    """Positions of the wildcards in a mask, from 1."""
-    return F.filter(F.sequence(F.lit(1), F.length(mask)), lambda i: F.substr(mask, i, F.lit(1)) == "_")
+def _inner_runs(tokens: Column) -> Column:
+    """The literal runs between wildcards."""
 
+    def step(runs: Column, token: Column) -> Column:
+        grown = F.concat(F.element_at(runs, -1), F.right(token, F.lit(1)))
+        return F.when(_wild(token), F.concat(runs, F.array(F.lit("")))).otherwise(
+            F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(grown))
+        )
 
-def _blanked(text: Column, mask: Column, blanks: Column) -> Column:
-    """Text with ``_`` at the positions of the mask.
+    runs = F.aggregate(tokens, F.array(F.lit("")), step)
+    return F.array_distinct(F.filter(runs, lambda r: r != ""))
 
-    Up to four positions are written one after the other, which compiled code does
-    fast; texts with more go through arrays of characters.
-    """
-    few = text
-    for i in range(4):
-        written = F.overlay(few, F.lit("_"), F.get(blanks, F.lit(i)), F.lit(1))
-        few = F.when(F.size(blanks) > i, written).otherwise(few)
-    many = F.zip_with(F.split(text, ""), F.split(mask, ""), lambda c, m: F.when(m == "_", F.lit("_")).otherwise(c))
-    return F.when(F.size(blanks) <= 4, few).otherwise(F.array_join(many, ""))
+
+def _pieces(texts: DataFrame, sizes: DataFrame, piece: Column) -> DataFrame:
+    """``text`` and ``a``: a piece of the text for each length in ``sizes`` that it has, ``piece`` in terms of ``size``."""
+    # One row per length of a literal run: bounded by the longest pattern.
+    spread = texts.withColumn("size", F.explode(F.sequence(F.lit(0), F.length("low"))))
+    return spread.join(F.broadcast(sizes.distinct()), "size", "left_semi").select("text", piece.alias("a"))
 
 
 def pattern_pairs(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """All pairs ``(text, pattern)`` with ``text ILIKE pattern``.
 
-    Each input has one column of distinct values without NULL. Patterns without a
-    wildcard are equality. Patterns whose only wildcard is ``_`` fix the length and
-    all other positions, so a text, blanked at the same positions, equals them.
-    Patterns with ``%`` must contain their longest literal run, which is looked up
-    among the pieces of the text and then checked.
+    Each input has one column of distinct values without NULL. A pattern without wildcards is equality. Any other must
+    hold what stands before its first and after its last wildcard at the text's ends, both at once, and each run of
+    literals between. Texts and patterns meet on the one of these features that the fewest texts have, and are then
+    tested; a feature that most texts share, such as a domain, is used only by patterns that have no better one.
     """
-    text = F.col("text")
-    t = texts.toDF("text").withColumn("__low", F.lower("text"))
-    p = patterns.toDF("pattern").withColumn("__parked", _parked(F.col("pattern")))
-    parked = F.col("__parked")
-    has_percent, has_blank = parked.contains("%"), parked.contains("_")
-
-    plain = p.filter(~has_percent & ~has_blank).withColumn("__low", _literal(parked))
-    equal = t.join(plain, "__low").select("text", "pattern")
-
-    # Mask and shape travel as one number; a pair that only shares the number fails the test at the end.
-    blanked = p.filter(~has_percent & has_blank).withColumn("mask", F.regexp_replace(parked, "[^_]", "x"))
-    coded = blanked.select("pattern", "__parked", F.xxhash64("mask", _literal(parked)).alias("__code"))
-    masks = blanked.select("mask").distinct()
-    masks = masks.withColumns({"size": F.length("mask"), "blanks": _positions(F.col("mask"))})
-    shape = _blanked(F.col("__low"), F.col("mask"), F.col("blanks"))
-    shaped = t.join(masks, F.length("__low") == F.col("size")).select("text", F.xxhash64("mask", shape).alias("__code"))
-    by_shape = shaped.join(coded, "__code").filter(_like(text, parked)).select("text", "pattern")
-
-    run = F.array_max(
-        F.transform(F.split(parked, "[%_]+"), lambda r: F.struct(F.length(r).alias("n"), r.alias("run")))
-    )["run"]
-    open_ended = p.filter(has_percent).withColumn("__run", _literal(run))
-    # One row per length a literal run can have: bounded by the longest pattern.
-    sizes = F.broadcast(open_ended.select(F.length("__run").alias("__size")).distinct())
-    pieces = (
-        t.withColumn("__size", F.explode(F.sequence(F.lit(0), F.length("__low"))))
-        .join(sizes, "__size", "left_semi")
-        .select(
-            "text",
-            F.explode(
-                F.array_distinct(
-                    F.transform(
-                        F.sequence(F.lit(1), F.length("__low") - F.col("__size") + 1),
-                        lambda i: F.substr(F.col("__low"), i, F.col("__size")),
-                    )
-                )
-            ).alias("__run"),
+    t = texts.toDF("text").withColumn("low", F.lower("text"))
+    p = patterns.toDF("pattern").withColumn("tokens", _tokens(F.col("pattern")))
+    tokens = F.col("tokens")
+    p = p.withColumn("wild", F.transform(tokens, _wild))
+    first = F.array_position("wild", True)
+    last = F.size(tokens) + 1 - F.array_position(F.reverse("wild"), True)
+    plain = p.filter(first == 0).select("pattern", _characters(tokens).alias("low"))
+    equal = t.join(plain, "low").select("text", "pattern")
+
+    ends = p.filter(first > 0).select(
+        "pattern",
+        _characters(F.slice(tokens, F.lit(1), first.cast("int") - 1)).alias("prefix"),
+        _characters(F.slice(tokens, last.cast("int") + 1, F.size(tokens))).alias("suffix"),
+        _inner_runs(F.slice(tokens, first.cast("int"), (last - first).cast("int") + 1)).alias("runs"),
+    )
+    anchored = F.struct(F.lit("ends").alias("kind"), F.col("prefix").alias("a"), F.col("suffix").alias("b"))
+    inner = F.transform("runs", lambda r: F.struct(F.lit("run").alias("kind"), r.alias("a"), F.lit("").alias("b")))
+    sought = materialise(ends.select("pattern", F.inline(F.concat(F.array(anchored), inner))))
+
+    low, size = F.col("low"), F.col("size")
+    heads = sought.filter("kind = 'ends'").select("a").distinct()
+    tails = sought.filter("kind = 'ends'").select(F.col("b").alias("a")).distinct()
+    runs = sought.filter("kind = 'run'").select("a").distinct()
+    lengths = F.length("a").alias("size")
+    starts = _pieces(t, heads.select(lengths), F.left(low, size)).join(heads, "a", "left_semi")
+    stops = _pieces(t, tails.select(lengths), F.right(low, size)).join(tails, "a", "left_semi")
+    both = starts.join(stops.withColumnRenamed("a", "b"), "text").join(
+        sought.filter("kind = 'ends'").select("a", "b").distinct(), ["a", "b"], "left_semi"
+    )
+    places = F.sequence(F.lit(1), F.length(low) - size + 1)
+    every = F.explode(F.array_distinct(F.transform(places, lambda i: F.substr(low, i, size))))
+    within = _pieces(t, runs.select(lengths), every).join(runs, "a", "left_semi")
+    held = materialise(
+        both.select("text", F.lit("ends").alias("kind"), "a", "b").unionAll(
+            within.select("text", F.lit("run").alias("kind"), "a", F.lit("").alias("b"))
         )
     )
-    by_run = pieces.join(open_ended, "__run").filter(_like(text, parked)).select("text", "pattern")
-    return equal.unionAll(by_shape).unionAll(by_run)
+    key = ["kind", "a", "b"]
+    counts = materialise(held.groupBy(*key).agg(F.count(F.lit(1)).alias("n")))
+    best = sought.join(counts, key).groupBy("pattern").agg(F.min(F.struct("n", *key)).alias("best"))
+    chosen = best.select("pattern", *[F.col(f"best.{c}").alias(c) for c in key])
+    found = held.join(chosen, key).filter(ilike_column(F.col("text"), F.col("pattern")))
+    return equal.unionAll(found.select("text", "pattern"))
 
 
 @dataclass(frozen=True)
@@ -172,22 +174,20 @@ def identity_join(
     keys: Sequence[Key],
     residual: Column | None = None,
     how: str = "left",
-    left_id: Sequence[str] | None = None,
 ) -> DataFrame:
     """Join where any of the keys matches and ``residual`` holds.
 
     A pair that matches by several keys appears once. Column names of the two sides
-    must differ. For a left join ``left_id`` may name columns that tell left rows apart;
-    without it all their columns do.
+    must differ. The left side is read once per key, so it is written first.
     """
     clash = set(left.columns) & set(right.columns)
     if clash:
         raise ValueError(f"columns on both sides: {sorted(clash)}")
-    if how == "inner":
-        return _matches(left, right, keys, residual)
-    if how != "left":
+    if how not in ("inner", "left"):
         raise ValueError(f"join type {how!r} is not supported")
-    return with_unmatched(left, _matches(left, right, keys, residual), left_id)
+    left = numbered(left)
+    pairs = _matches(left, right, keys, residual)
+    return pairs.drop(ROW) if how == "inner" else with_unmatched(left, pairs)
 
 
 def keyed(df: DataFrame, keep: Sequence[str], keys: Sequence[tuple[str, str]]) -> DataFrame:
@@ -213,50 +213,48 @@ def fold_case(rows: DataFrame, kind: str) -> DataFrame:
     return rows.withColumn("key", folded)
 
 
-def distinct_times_since(
-    units: DataFrame, asked: DataFrame, times: DataFrame, unit: Sequence[str], heavy_from: int = 10_000
-) -> DataFrame:
+def distinct_times_since(units: DataFrame, asked: DataFrame, times: DataFrame, unit: Sequence[str]) -> DataFrame:
     """How many different times any key of a unit has on or after a day.
 
     ``units`` holds the keys of each unit (a person or group of people), ``asked`` the
     days to count from, ``times`` distinct ``created`` times per key. Gives ``unit``,
     ``view_day`` and ``n`` where there are any.
 
-    Keys with more than ``heavy_from`` times are united once per combination of such
-    keys, which the units share; only the times of the other keys are listed per unit,
-    without those a heavy key already has. The result does not depend on the limit.
+    The keys of a unit are put in a row, the one with the most times first. Each adds
+    the times that none before it has. What it adds depends only on the key and those
+    before it, so units that share a beginning of the row share that work, and a key
+    of very many units and times is counted once, not once per unit.
     """
-    key = ["key_kind", "key"]
+    key, chain = ["key_kind", "key"], ["key_kind", "key", "code", "check", "place"]
     unit = list(unit)
-    days = F.col("created_day") >= F.col("view_day")
-    times = times.withColumn("created_day", trunc(F.col("created"), "day"))
-    heavy = times.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > heavy_from)
-    marked = join_groups(units, heavy, key)
-    # At most as many heavy keys per unit as fit into all times.
-    sets = (
-        marked.filter("__n IS NOT NULL")
-        .groupBy(*unit)
-        .agg(F.array_sort(F.collect_set(F.struct(*key))).alias("heavy_keys"))
+    sizes = times.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
+    held = join_groups(units, sizes, key, "inner")
+    order = Window.partitionBy(*unit).orderBy(F.col("__n").desc(), *key)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    # Two codes of the set of keys before, in any order.
+    held = materialise(
+        held.select(
+            *unit,
+            *key,
+            F.coalesce(F.bit_xor(F.xxhash64(*key)).over(before), F.lit(0)).alias("code"),
+            F.coalesce(F.bit_xor(F.xxhash64(F.lit(1), *key)).over(before), F.lit(0)).alias("check"),
+            F.row_number().over(order).alias("place"),
+        )
     )
-    united = sets.select("heavy_keys").distinct().select("heavy_keys", F.inline("heavy_keys"))
-    heavy_times = united.join(times, key).select("heavy_keys", "created", "created_day").distinct()
-    heavy_days = heavy_times.groupBy("heavy_keys", "created_day").agg(F.count(F.lit(1)).alias("n"))
-
-    listed = marked.filter("__n IS NULL").join(times, key).select(*unit, "created", "created_day").distinct()
-    listed = null_safe_join(listed, sets, unit, "left")
-    light_times = listed.join(heavy_times.select("heavy_keys", "created"), ["heavy_keys", "created"], "left_anti")
-    light_days = light_times.groupBy(*unit, "created_day").agg(F.count(F.lit(1)).alias("n"))
-
-    asked = null_safe_join(asked, sets, unit, "left")
-    heavy_since = (
-        asked.select("heavy_keys", "view_day").distinct().join(heavy_days, "heavy_keys").filter(days)
-        .groupBy("heavy_keys", "view_day").agg(F.sum("n").alias("__heavy"))
-    )
-    light_since = (
-        null_safe_join(asked, light_days, unit).filter(days)
-        .groupBy(*unit, "view_day").agg(F.sum("n").alias("__light"))
+    added = held.select(*chain).distinct().join(times, key).select(*chain, "created")
+    others = held.select(*unit, *[F.col(c).alias(f"other_{c}") for c in (*key, "place")])
+    earlier = null_safe_join(held.filter("place > 1"), others, unit).filter("other_place < place")
+    earlier = earlier.select(*chain, "other_key_kind", "other_key").distinct()
+    had = times.select(*[F.col(c).alias(f"other_{c}") for c in key], "created")
+    known = added.filter("place > 1").join(earlier, chain).join(had, ["other_key_kind", "other_key", "created"], "left_semi")
+    fresh = added.join(known.select(*chain, "created").distinct(), [*chain, "created"], "left_anti")
+    days = fresh.groupBy(*chain, trunc(F.col("created"), "day").alias("created_day")).agg(F.count(F.lit(1)).alias("n"))
+
+    wanted = null_safe_join(asked.select(*unit, "view_day"), held, unit)
+    since = (
+        wanted.select(*chain, "view_day").distinct().join(days, chain)
+        .filter(F.col("created_day") >= F.col("view_day"))
+        .groupBy(*chain, "view_day").agg(F.sum("n").alias("n"))
     )
-    counted = join_groups(asked, heavy_since, ["heavy_keys", "view_day"])
-    counted = null_safe_join(counted, light_since, [*unit, "view_day"], "left")
-    total = F.coalesce("__heavy", F.lit(0)) + F.coalesce("__light", F.lit(0))
-    return counted.select(*unit, "view_day", total.cast("bigint").alias("n")).filter("n > 0")
+    counted = join_groups(wanted, since, [*chain, "view_day"], "inner")
+    return counted.groupBy(*unit, "view_day").agg(F.sum("n").cast("bigint").alias("n"))

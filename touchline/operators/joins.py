@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from touchline.functions.times import trunc
 from touchline.session import materialise
 
+#: Column that numbers the rows of a left side.
+ROW = "__row"
+
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on equally named keys where NULL equals NULL; the keys of the left side remain.
@@ -51,22 +54,26 @@ def least_row(order: Sequence[Column]) -> Column:
     return F.min(F.struct(*order))
 
 
-def with_unmatched(left: DataFrame, pairs: DataFrame, ids: Sequence[str] | None = None) -> DataFrame:
-    """Complete the inner join ``pairs`` to a left join.
+def numbered(left: DataFrame) -> DataFrame:
+    """``left`` with a number for each row, written: it is read for the pairs and for the rows without one."""
+    return materialise(left.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def with_unmatched(left: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Complete the inner join ``pairs`` of a ``numbered`` left side to a left join.
 
-    ``pairs`` has all columns of ``left``; ``ids`` tell left rows apart (all columns
-    by default). The pairs are written once, because they are read as result and as
-    the list of matched rows.
+    The pairs are written once, because they are read as result and as the list of
+    matched rows.
     """
-    ids = list(ids or left.columns)
     pairs = materialise(pairs)
-    matched = pairs.select(*ids).distinct()
-    return pairs.unionByName(null_safe_join(left, matched, ids, "left_anti"), allowMissingColumns=True)
+    matched = pairs.select(ROW).distinct()
+    return pairs.unionByName(null_safe_join(left, matched, [ROW], "left_anti"), allowMissingColumns=True).drop(ROW)
 
 
-def split_left_join(left: DataFrame, right: DataFrame, on: Column, ids: Sequence[str] | None = None) -> DataFrame:
+def split_left_join(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
     """Left join for a right side in which one key may have very many rows."""
-    return with_unmatched(left, left.join(right, on), ids)
+    left = numbered(left)
+    return with_unmatched(left, left.join(right, on))
 
 
 def latest_before(
@@ -74,9 +81,10 @@ def latest_before(
 ) -> DataFrame:
     """Add to each row of ``asked`` the latest event time of its key that is not after ``at``.
 
-    Days before are compared by one value per key and day. Within the day, asked and
-    event times are put in order together. So a key with very many rows on both sides
-    is split by day, and its rows never meet in pairs.
+    Days before are compared by one value per key and day, hours of the same day by one
+    value per key and hour. Within the hour, asked and event times are put in order
+    together. So a key with very many rows on both sides is split by hour, and its rows
+    never meet in pairs.
     """
     moments = asked.select(F.col(key).alias("__key"), F.col(at).alias("__at")).distinct()
     moments = moments.filter(F.col("__key").isNotNull() & F.col("__at").isNotNull())
@@ -84,27 +92,33 @@ def latest_before(
     happened = join_groups(happened, moments.select("__key").distinct(), ["__key"], "left_semi")
     happened = happened.filter(F.col("__time").isNotNull()).distinct()
 
-    per_day = happened.groupBy("__key", trunc(F.col("__time"), "day").alias("__event_day")).agg(
-        F.max("__time").alias("__time")
-    )
-    asked_days = moments.select("__key", trunc(F.col("__at"), "day").alias("__day")).distinct()
-    earlier = (
-        asked_days.join(per_day, "__key")
-        .filter(F.col("__event_day") < F.col("__day"))
-        .groupBy("__key", "__day")
-        .agg(F.max("__time").alias("__earlier"))
-    )
+    def before(span: str, within: str | None) -> DataFrame:
+        """Latest event of an earlier span, of the same longer span if one is given, for every span asked."""
+        same = ["__key"] if within is None else ["__key", "__within"]
+        outer = F.lit(None) if within is None else trunc(F.col("__time"), within)
+        asked_outer = F.lit(None) if within is None else trunc(F.col("__at"), within)
+        latest = happened.groupBy("__key", outer.alias("__within"), trunc(F.col("__time"), span).alias("__event")).agg(
+            F.max("__time").alias("__time")
+        )
+        spans = moments.select("__key", asked_outer.alias("__within"), trunc(F.col("__at"), span).alias("__span"))
+        pairs = spans.distinct().join(latest if within else latest.drop("__within"), same)
+        earlier = pairs.filter(F.col("__event") < F.col("__span")).groupBy("__key", "__span")
+        return earlier.agg(F.max("__time").alias(f"__{span}_max")).withColumnRenamed("__span", f"__{span}")
 
     asks = moments.select("__key", F.col("__at").alias("__moment"), F.lit(None).cast("timestamp_ntz").alias("__time"))
     both = happened.select("__key", F.col("__time").alias("__moment"), "__time").unionAll(asks)
-    both = both.withColumn("__day", trunc(F.col("__moment"), "day"))
+    both = both.withColumns({"__day": trunc(F.col("__moment"), "day"), "__hour": trunc(F.col("__moment"), "hour")})
     # Events sort before questions of the same moment.
-    order = Window.partitionBy("__key", "__day").orderBy("__moment", F.col("__time").asc_nulls_last())
+    order = Window.partitionBy("__key", "__hour").orderBy("__moment", F.col("__time").asc_nulls_last())
     so_far = F.max("__time").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    same_day = both.withColumn("__same_day", so_far).filter(F.col("__time").isNull())
-
-    answers = same_day.join(earlier, ["__key", "__day"], "left").select(
-        "__key", F.col("__moment").alias("__at"), F.coalesce("__same_day", "__earlier").alias(result)
+    same_hour = both.withColumn("__same_hour", so_far).filter(F.col("__time").isNull())
+
+    answers = (
+        join_groups(same_hour, before("hour", "day"), ["__key", "__hour"])
+        .transform(lambda df: join_groups(df, before("day", None), ["__key", "__day"]))
+        .select(
+            "__key", F.col("__moment").alias("__at"), F.coalesce("__same_hour", "__hour_max", "__day_max").alias(result)
+        )
     )
     on = (asked[key] == answers["__key"]) & (asked[at] == answers["__at"])
     return asked.join(answers, on, "left").drop("__key", "__at")

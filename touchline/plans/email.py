@@ -64,7 +64,7 @@ def email_channel_conversions(
         .join(crm, F.col("lead_id") == F.col("crm_id"), "left")
         .select("lead_client_id", "lead_id", "opportunity_id", "sf_email", "email")
     )
-    return split_left_join(conversions, mail, F.col("lead_id") == F.col("sfdcleadid"), ["lead_id"]).select(
+    return split_left_join(conversions, mail, F.col("lead_id") == F.col("sfdcleadid")).select(
         "lead_client_id", "lead_id", "opportunity_id", "mkto_email", "sf_email", "email", "client_key"
     )
 

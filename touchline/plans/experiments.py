@@ -11,7 +11,7 @@ from touchline.functions.text import all_of, external
 from touchline.functions.times import local_since, to_pacific, to_utc, trunc, ts
 from touchline.operators.experiment import several_variants, single_device, single_variant
 from touchline.operators.funnel import LeadDefinition
-from touchline.operators.joins import join_groups, least_row, null_safe_join
+from touchline.operators.joins import join_groups, least_row, null_safe_join, split_left_join
 from touchline.operators.identity import (
     Key,
     distinct_times_since,
@@ -85,13 +85,14 @@ def ab_session_last_page(
     crm = tables["crm_lead"].select(F.col("client_key").alias("crm_key"), "team_suf2__c")
     person = F.col("inferred_person_id")
     created, day = F.col("lead_created_datetime_pstpdt"), trunc(F.col("pageview_time"), "day")
+    named = last.join(users, F.col("user_id") == F.col("web_user"), "left").join(
+        people, F.col("user_id") == F.col("heap_user_id"), "left"
+    )
+    # One person may own very many of these records.
+    for records, key in ((leads, "lead_key"), (opps, "opp_key"), (crm, "crm_key")):
+        named = split_left_join(named, records, person == F.col(key))
     return (
-        last.join(users, F.col("user_id") == F.col("web_user"), "left")
-        .join(people, F.col("user_id") == F.col("heap_user_id"), "left")
-        .join(leads, person == F.col("lead_key"), "left")
-        .join(opps, person == F.col("opp_key"), "left")
-        .join(crm, person == F.col("crm_key"), "left")
-        .select(
+        named.select(
             "user_id",
             "session_id",
             "pageview_time",
@@ -415,7 +416,6 @@ def ab_funnel_ilike(
 def _rows_per_person(
     people: DataFrame, views: DataFrame, leads: DataFrame, lead_keys: Sequence[tuple[str, str]],
     retro: DataFrame, retro_keys: Sequence[tuple[str, str]], person_keys: Sequence[tuple[str, str]],
-    heavy_from: int,
 ) -> DataFrame:
     """How many distinct (address, returning flag, view day, lead creation time) each user and variation has.
 
@@ -442,7 +442,7 @@ def _rows_per_person(
     # A group of one profile has as many rows per view day as later creation times, at least one.
     alone = members.filter("profiles = 1").join(user_days, "user_id")
     asked = alone.select(*profile, "view_day").distinct()
-    since = distinct_times_since(profile_keys, asked, times, profile, heavy_from)
+    since = distinct_times_since(profile_keys, asked, times, profile)
     alone_rows = (
         null_safe_join(alone, since, [*profile, "view_day"], "left")
         .groupBy("user_id", "variation_id")
@@ -456,7 +456,7 @@ def _rows_per_person(
     group_keys = null_safe_join(several.select(*group, *rest), profile_keys, profile)
     group_days = several.select(*group).distinct().join(user_days, "user_id")
     matched = distinct_times_since(
-        group_keys.select(*group, *_KINDS).distinct(), group_days, times, group, heavy_from
+        group_keys.select(*group, *_KINDS).distinct(), group_days, times, group
     )
     key_ends = times.groupBy(*_KINDS).agg(F.max(trunc(F.col("created"), "day")).alias("last_day"))
     profile_ends = join_groups(profile_keys, key_ends, [*_KINDS], "inner").groupBy(*profile).agg(F.max("last_day").alias("last_day"))
@@ -485,7 +485,6 @@ def ab_funnel_exclusions(
     definition: LeadDefinition | None = None,
     strict_exclusions: bool = False,
     per_user: bool = False,
-    heavy_from: int = 10_000,
 ) -> DataFrame:
     """Dropouts, viewers, leads, trials and clients by variation and device, by equal addresses.
 
@@ -563,7 +562,6 @@ def ab_funnel_exclusions(
             materialise(people.join(counted, "user_id", "left_semi")),
             views.join(counted, "user_id", "left_semi"),
             leads, lead_keys, retro, [("client", "client_key"), ("own", "email"), ("crm", "email")], person_keys,
-            heavy_from,
         )
         rows = rows.join(inflation, ["user_id", "variation_id"], "left")
     return (

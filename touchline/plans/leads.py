@@ -162,7 +162,7 @@ def account_group_map(
     leads = tables["lead_data"].select(
         "accountid", F.col("channel_allocation_stamp__c").alias("channel"), "leadsource", "closedate"
     )
-    placed = split_left_join(children, leads, F.col("id") == F.col("accountid"), ["id"]).drop("accountid")
+    placed = split_left_join(children, leads, F.col("id") == F.col("accountid")).drop("accountid")
     checked = sibling_structure(placed, "parentid", "client_key", F.col("channel"), follow_up_channel)
 
     # Only accounts with a row that has no closing date have a fallback; it then applies to all their rows.

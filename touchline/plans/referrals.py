@@ -67,13 +67,15 @@ def referral_page_conversions(
         .distinct()
     )
     trial, client = F.col("trial"), F.col("client")
-    return (
+    led = (
         split_left_join(firsts, leads, F.col("inferred_email") == F.col("email"))
         .withColumn("lead", F.when(view <= created, created))
         # What follows hangs on a lead made after the view.
         .join(crm, (F.col("id") == F.col("crm_id")) & lead.isNotNull(), "left")
         .join(opps, (F.col("convertedopportunityid") == F.col("opp")) & lead.isNotNull(), "left")
-        .join(credits, (F.col("id") == F.col("lead_id")) & lead.isNotNull(), "left")
+    )
+    return (
+        split_left_join(led, credits, (F.col("id") == F.col("lead_id")) & lead.isNotNull())
         .filter(((view <= trial) | trial.isNull()) & ((view <= client) | client.isNull()))
         .select(
             "user_id", "id", "session_id", "view_day", trunc(view, "month").alias("view_month"),
