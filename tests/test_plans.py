@@ -112,7 +112,7 @@ def test_latest_before_against_brute_force(make):
     base = at("2024-01-01")
 
     def moment():
-        return None if rng.random() < 0.1 else base + timedelta(hours=rng.randrange(96))
+        return None if rng.random() < 0.1 else base + timedelta(minutes=20 * rng.randrange(200))
 
     def key():
         return None if rng.random() < 0.1 else rng.choice(["hot", "hot", "a", "b", "none"])

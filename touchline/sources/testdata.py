@@ -79,7 +79,8 @@ def mail(k: str) -> str:
         f" WHEN 4 THEN 'test' || {text} || '@mail.example'"
         f" WHEN 5 THEN 'userx' || cast({k} - 3 as string) || '@mail.example'"
         f" WHEN 6 THEN 'shared' || {shared} || '@mail.example'"
-        f" WHEN 7 THEN CASE WHEN {k} % 44 = 7 THEN 'a%' || {text} || '@mail.example'"
+        f" WHEN 7 THEN CASE {k} % 44 WHEN 7 THEN 'a%' || {text} || '@mail.example'"
+        f" WHEN 18 THEN 'user' || {text} || '%@mail.example'"
         f" ELSE 'abe' || {text} || '@mail.example' END"
         f" ELSE 'user' || {text} || '@mail.example' END"
     )
