@@ -420,55 +420,41 @@ def _rows_per_person(
     """How many distinct (address, returning flag, view day, lead creation time) each user and variation has.
 
     A view day without a later lead counts as one row without a creation time. People
-    with the same addresses and client are one profile; creation times are counted per
-    profile and day, and never listed per person.
+    with the same addresses and client are one profile; a user has a group of profiles
+    per variation, address and flag. Creation times are counted per group and day, and
+    never listed per person.
     """
     profile = ["client_id", "person_email", "email"]
     profiles = people.select(*profile).distinct()
-    profile_keys = materialise(keyed(profiles, profile, person_keys).distinct())
+    profile_keys = keyed(profiles, profile, person_keys).distinct()
     returning = (
         join_groups(profile_keys, keyed(retro, [], retro_keys).distinct(), [*_KINDS], "left_semi")
         .select(*profile).distinct().withColumn("returning", F.lit(1))
     )
     profiles = null_safe_join(profiles, returning, profile, "left").fillna(0, ["returning"])
-    times = materialise(keyed(leads, ["created"], lead_keys).distinct())
+    times = keyed(leads, ["created"], lead_keys).distinct()
 
     group = ["user_id", "variation_id", "person_email", "returning"]
+    rest = [c for c in profile if c not in group]
     members = null_safe_join(people.select("user_id", "variation_id", *profile).distinct(), profiles, profile)
-    sizes = members.groupBy(*group).agg(F.count(F.lit(1)).alias("profiles"))
-    members = materialise(null_safe_join(members, sizes, group))
-    user_days = views.select("user_id", "view_day")
-
-    # A group of one profile has as many rows per view day as later creation times, at least one.
-    alone = members.filter("profiles = 1").join(user_days, "user_id")
-    asked = alone.select(*profile, "view_day").distinct()
-    since = distinct_times_since(profile_keys, asked, times, profile)
-    alone_rows = (
-        null_safe_join(alone, since, [*profile, "view_day"], "left")
-        .groupBy("user_id", "variation_id")
-        .agg(F.sum(F.coalesce("n", F.lit(1))).alias("n"))
-    )
+    members = materialise(members.select(*group, *rest))
 
-    # In a group of several profiles a time found through two of them counts once, and a view day has
-    # a row without a time as soon as one profile has no later lead.
-    several = members.filter("profiles > 1").drop("profiles")
-    rest = [c for c in profile if c not in group]
-    group_keys = null_safe_join(several.select(*group, *rest), profile_keys, profile)
-    group_days = several.select(*group).distinct().join(user_days, "user_id")
-    matched = distinct_times_since(
-        group_keys.select(*group, *_KINDS).distinct(), group_days, times, group
-    )
+    # A time found through two profiles of a group counts once, and a view day has a row without a
+    # time as soon as one profile has no later lead.
+    group_keys = keyed(members, group, person_keys).distinct()
+    group_days = members.select(*group).distinct().join(views.select("user_id", "view_day"), "user_id")
+    matched = distinct_times_since(group_keys, group_days, times, group)
     key_ends = times.groupBy(*_KINDS).agg(F.max(trunc(F.col("created"), "day")).alias("last_day"))
     profile_ends = join_groups(profile_keys, key_ends, [*_KINDS], "inner").groupBy(*profile).agg(F.max("last_day").alias("last_day"))
     ends = (
-        null_safe_join(several, profile_ends, profile, "left")
+        null_safe_join(members, profile_ends, profile, "left")
         .groupBy(*group)
         .agg(F.min("last_day").alias("earliest_end"), F.bool_or(F.col("last_day").isNull()).alias("never"))
     )
     unmatched = null_safe_join(group_days, ends, group).filter(
         F.col("never") | (F.col("view_day") > F.col("earliest_end"))
     )
-    parts = alone_rows.unionAll(matched.select("user_id", "variation_id", "n")).unionAll(
+    parts = matched.select("user_id", "variation_id", "n").unionAll(
         unmatched.select("user_id", "variation_id", F.lit(1).cast("bigint").alias("n"))
     )
     return parts.groupBy("user_id", "variation_id").agg(F.sum("n").alias("rows"))
@@ -559,7 +545,7 @@ def ab_funnel_exclusions(
             retro_opps.select(F.col("id").alias("opp_id")), "opp_id", "left_semi"
         )
         inflation = _rows_per_person(
-            materialise(people.join(counted, "user_id", "left_semi")),
+            people.join(counted, "user_id", "left_semi"),
             views.join(counted, "user_id", "left_semi"),
             leads, lead_keys, retro, [("client", "client_key"), ("own", "email"), ("crm", "email")], person_keys,
         )
