@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from touchline.llm.common import python_workers, table
 
 #: Words whose ids a worker remembers, and characters of text whose new words are encoded together.
-KNOWN_WORDS = 1_500_000
-BATCH_CHARS = 24_000_000
+KNOWN_WORDS = 600_000
+BATCH_CHARS = 8_000_000
 
 _SPACES = regex.compile(r"\s+")
 #: What Python splits a text at, but the tokenizer doesn't.
