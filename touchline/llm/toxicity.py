@@ -226,7 +226,12 @@ def score(docs: DataFrame, labels: DataFrame, fold: Column, text: str = "text",
     """
     marks = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("label_key")).agg(F.max(label).alias("toxic_label"))
     texts = docs.select(F.col(key).alias("label_key"), F.col(text).alias("label_text"), fold.alias("fold"))
-    known = texts.where("fold <> 0").join(marks, "label_key").select("label_key", "label_text", "toxic_label", "fold")
+    # Labels grow with the texts, so both are always dealt by key, also where the labels would still fit a broadcast.
+    known = (
+        texts.where("fold <> 0")
+        .join(marks.hint("shuffle_merge"), "label_key")
+        .select("label_key", "label_text", "toxic_label", "fold")
+    )
     known = materialise(known)
     tuning = known.where("fold = 1")
     share = FIT_ROWS / max(1, tuning.count())
