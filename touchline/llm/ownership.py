@@ -151,7 +151,7 @@ def judge(scanned: DataFrame, owned: DataFrame) -> DataFrame:
     return (
         known.groupBy("row")
         .agg(
-            F.max("carried").alias("carried"),
+            F.first("carried", ignorenulls=True).alias("carried"),
             F.sort_array(F.collect_list(F.when(stays, span))).alias("spans"),
         )
         .select("carried", "spans")
