@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings; all of them can be changed on a live session.
@@ -123,4 +124,5 @@ def intermediate_tables() -> Iterator[None]:
 
 @atexit.register
 def _delete_all() -> None:
-    _delete(list(_written))
+    with suppress(Py4JError, OSError):  # without a JVM there is nothing to delete with
+        _delete(list(_written))
