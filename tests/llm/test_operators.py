@@ -97,6 +97,38 @@ def test_backoff_is_a_distribution():
         assert 0 < sum(known) <= 1 + 1e-9
 
 
+def test_tables_equal_the_models_in_memory(make, monkeypatch):
+    """However rare an n-gram is, it counts, and the words looked up have the ratios of the words joined."""
+    rng = random.Random(17)
+    pool = ["".join(rng.choice("abcdé") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    texts = [(k, " ".join(rng.choices(pool, k=rng.randint(0, 12))), rng.randint(0, 1), k % 3 + 1) for k in range(60)]
+    # Far more ordinary words than toxic ones: "zzyzx" is one in ten million.
+    counts = make("gram string, toxic long, ordinary long", ("^^^^^z", 1, 0), ("^^^^^a", 0, 10_000_000))
+    assert {r["gram"] for r in toxicity.ratio_tables(counts)[0].collect()} == {"^^^^^z", "^^^^^a"}
+    labelled = make("doc_id long, text string, toxic int, fold int", *texts)
+    first, whole = toxicity.class_counts(labelled)
+    for found, folds in ((first, (2, 3)), (whole, (1, 2, 3))):
+        plain = defaultdict(lambda: [0, 0])
+        for _, text, toxic, fold in texts:
+            for word in toxicity.words(text) if fold in folds else ():
+                for gram in toxicity.grams(word):
+                    plain[gram][1 - toxic] += 1
+        held = {r["gram"]: [r["toxic"], r["ordinary"]] for r in found.where("toxic + ordinary > 0").collect()}
+        assert held == plain
+    judge = toxicity.Judge(toxicity.Ratios([(g, *n) for g, n in plain.items()]))
+    rows = [(k, t) for k, t, _, _ in texts] + [(None, None), (7, texts[7][1]), (99, "abcabc new ½ words éé abc " + "ab" * 5000)]
+    docs = make("doc_id long, text string", *rows)
+    tables = toxicity.ratio_tables(whole)
+    for frequent in (0, 5):
+        monkeypatch.setattr(toxicity, "FREQUENT", frequent)
+        found = toxicity.measured(docs, tables, F.lit(None)).collect()
+        got = sorted((r["doc_id"] or -1, r["n_words"], r["mean"], r["highest"], r["strongest"]) for r in found)
+        want = sorted((k or -1, m[3], *m[:3]) for k, t in rows for m in [judge.measure(t)])
+        assert len(got) == len(want)
+        for g, w in zip(got, want, strict=True):
+            assert g == pytest.approx(w, rel=1e-7, abs=1e-7)
+
+
 def test_toxic_texts_are_found(spark, make):
     rng = random.Random(3)
     plain = ["stone", "river", "cloud", "garden", "window", "table", "silver", "morning"]

@@ -5,20 +5,26 @@ Two models of the letters of words, one of toxic and one of ordinary texts, each
 continuation counts. The less a class has seen of a context, the more the shared model speaks for it, so a rare
 expression speaks for neither class. The log-likelihoods are compared per word: as the mean over the text, for the
 word that speaks most for toxic, and as the mean of the ``STRONGEST`` such words.
+
+The models are tables that keep every n-gram, however rare, and grow with the labelled texts: counts, contexts, the
+levels of the shared model and the ratios are groupings and joins. Every different word of the corpus meets its n-grams
+in a join. Texts meet the ratios of their words in a join, too; only the most frequent words are looked up on the way,
+with the same values, since one of them would be a hot key. ``Ratios`` and ``Judge`` are the same models in memory,
+which the tests hold the tables against.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import uuid
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from touchline.llm.common import crc_rest, python_workers, table
 from touchline.session import materialise
@@ -26,8 +32,6 @@ from touchline.session import materialise
 #: Letters of an n-gram.
 ORDER = 6
 DISCOUNT = 0.75
-#: An n-gram stays in the models if it is this share of a class's n-grams; that bounds them to 1 / share for a class.
-SHARE = 2e-7
 #: Occurrences that the shared model counts for in every context of a class.
 STRENGTH = 20.0
 #: Words whose ratios are averaged beside the highest and the mean.
@@ -36,10 +40,16 @@ STRONGEST = 3
 FIT_ROWS = 20_000
 #: Words whose log-likelihood ratio a worker remembers.
 KNOWN_WORDS = 500_000
+#: The most frequent words, whose ratios the workers look up; all others meet theirs in a join. Changes no result.
+FREQUENT = 50_000
+#: Letters of such a word at most.
+FREQUENT_LETTERS = 40
+#: Different words that a worker counts before it hands them on.
+COUNTED_WORDS = 200_000
 
 START, END = "^", "$"
 _WORDS = re.compile(r"[^\W\d_]+")
-_FEATURES = "doc_id long, label int, mean double, highest double, strongest double, n_words long"
+_LOOKED = "doc_id long, label int, total double, top array<double>, n_words long, others array<struct<word: string, times: bigint>>"
 
 
 def words(text: str | None) -> list[str]:
@@ -131,60 +141,188 @@ class Judge:
         return float(values.mean()), float(top.max()), float(top.sum()) / STRONGEST, len(found)
 
 
-def class_counts(labelled: DataFrame, text: str = "text", label: str = "toxic") -> DataFrame:
-    """``gram``, ``toxic`` and ``ordinary``: how often the words of each class's texts hold each n-gram.
+def word_counts(texts: DataFrame) -> DataFrame:
+    """``word``, ``part`` and ``n``: how often each word stands in the column ``text`` of the rows of each ``part``."""
+    python_workers(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int | None, Counter] = defaultdict(Counter)
+
+        def counted() -> pa.RecordBatch:
+            rows = [(w, part, n) for part, c in counts.items() for w, n in c.items()]
+            counts.clear()
+            columns = zip(*rows, strict=True) if rows else ([],) * 3
+            kinds = (pa.string(), pa.int32(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["word", "part", "n"])
+
+        for batch in batches:
+            for text, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts[part].update(words(text))
+            if sum(map(len, counts.values())) > COUNTED_WORDS:
+                yield counted()
+        yield counted()
+
+    found = texts.select("text", F.col("part").cast("int")).mapInArrow(run, "word string, part int, n long")
+    return found.groupBy("word", "part").agg(F.sum("n").alias("n"))
+
+
+def class_counts(labelled: DataFrame, text: str = "text", label: str = "toxic", fold: str = "fold") -> tuple[DataFrame, DataFrame]:
+    """``gram``, ``toxic`` and ``ordinary``: how often the words of each class's texts hold each n-gram, in the texts
+    beyond fold 1 and in all.
 
-    Words are counted first, so an n-gram is spelt out once per different word. Rare n-grams are dropped by their share
-    of a class, after all were counted.
+    Words are counted first, so an n-gram is spelt out once per different word.
     """
-    lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
-    split = F.explode(F.split(lowered, r"[^\p{L}]+")).alias("word")
-    toxic = F.when(F.col(label) == 1, 1).otherwise(0)
-    counted = (
-        labelled.select(split, toxic.alias("t"))
-        .where("word <> ''")
-        .groupBy("word")
-        .agg(F.sum("t").alias("toxic"), F.count("*").alias("n"))
-    )
-    padded = F.concat(F.lit(START * (ORDER - 1)), "word", F.lit(END))
-    places = F.sequence(F.lit(1), F.length("word") + 1)
-    spelt = F.explode(F.transform(places, lambda k: F.substring(F.col("padded"), k, F.lit(ORDER)))).alias("gram")
-    summed = materialise(
-        counted.select(padded.alias("padded"), "word", "toxic", (F.col("n") - F.col("toxic")).alias("ordinary"))
-        .select("toxic", "ordinary", spelt)
-        .groupBy("gram")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    part = 2 * (F.col(fold) == 1).cast("int") + (F.col(label) == 1).cast("int")
+    by_part = word_counts(labelled.select(F.col(text).alias("text"), part.alias("part")))
+    kinds = ("ordinary", "toxic", "ordinary_1", "toxic_1")
+    wide = by_part.groupBy("word").agg(*[F.sum(F.when(F.col("part") == k, F.col("n")).otherwise(0)).alias(c) for k, c in enumerate(kinds)])
+    summed = materialise(spelt(wide).groupBy("gram").agg(*[F.sum(c).alias(c) for c in kinds]))
+    whole = summed.select("gram", *[(F.col(c) + F.col(f"{c}_1")).alias(c) for c in ("toxic", "ordinary")])
+    return summed.select("gram", "toxic", "ordinary"), whole
+
+
+def spelt(given: DataFrame) -> DataFrame:
+    """Each row once for every n-gram of its ``word``: the other columns and ``gram``. The word itself stays behind."""
+    python_workers(given.sparkSession)
+    others = [f for f in given.schema.fields if f.name != "word"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [grams(w) for w in batch.column(0).to_pylist()]
+            rows = pa.array(np.repeat(np.arange(len(found)), [len(g) for g in found]))
+            columns = [c.take(rows) for c in batch.columns[1:]]
+            spelling = pa.array([g for f in found for g in f], pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, spelling], names=[*batch.schema.names[1:], "gram"])
+
+    schema = StructType([*others, StructField("gram", StringType())])
+    return given.select("word", *[f.name for f in others]).mapInArrow(run, schema)
+
+
+def backoff(types: DataFrame) -> DataFrame:
+    """``gram`` and ``p`` of the sequences of ``ORDER - 1`` letters: ``shared_backoff`` of the different n-grams."""
+    letters = types.select(F.right("gram", F.lit(1)).alias("last")).distinct().count() + 1
+    levels = [types.select("gram")]
+    for _ in range(ORDER - 1):
+        shorter = F.substring("gram", 2, ORDER).alias("gram")
+        levels.append(materialise(levels[-1].groupBy(shorter).agg(F.count("*").alias("n"))))
+    below = None
+    for length, level in enumerate(reversed(levels[1:]), 1):
+        level = level.withColumn("context", F.substring("gram", 1, length - 1))
+        seen = materialise(level.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")))
+        level = level.join(seen, "context")
+        if below is None:
+            level = level.withColumn("lower", F.lit(1 / letters))
+        else:
+            level = level.withColumn("suffix", F.substring("gram", 2, ORDER)).join(
+                below.select(F.col("gram").alias("suffix"), F.col("p").alias("lower")), "suffix"
+            )
+        p = (F.col("n") - DISCOUNT) / F.col("total") + DISCOUNT * F.col("kinds") / F.col("total") * F.col("lower")
+        below = materialise(level.select("gram", p.alias("p")))
+    return below
+
+
+def ratio_tables(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``gram`` and ``ratio``, and ``context`` and ``ratio``: the values of ``Ratios``.
+
+    ``counts`` is ``gram``, ``toxic`` and ``ordinary``, written; an n-gram that neither class has is left out.
+    """
+    counts = counts.where("toxic + ordinary > 0")
+    below = backoff(counts)
+
+    def left(of: str) -> Column:
+        return (DISCOUNT * F.col(f"{of}_kinds") + STRENGTH) / (F.col(f"{of}_seen") + STRENGTH)
+
+    counts = counts.withColumn("context", F.substring("gram", 1, ORDER - 1)).withColumn("suffix", F.substring("gram", 2, ORDER))
+    seen = counts.groupBy("context").agg(
+        F.sum("toxic").alias("toxic_seen"),
+        F.sum("ordinary").alias("ordinary_seen"),
+        F.sum((F.col("toxic") > 0).cast("long")).alias("toxic_kinds"),
+        F.sum((F.col("ordinary") > 0).cast("long")).alias("ordinary_kinds"),
+        F.count("*").alias("kinds"),
     )
-    total = summed.agg(F.sum("toxic").alias("t"), F.sum("ordinary").alias("o")).first()
-    often = (F.col("toxic") >= SHARE * (total["t"] or 0)) & (F.col("toxic") > 0)
-    often |= (F.col("ordinary") >= SHARE * (total["o"] or 0)) & (F.col("ordinary") > 0)
-    return summed.where(often)
+    seen = materialise(seen.withColumn("ratio", F.log(left("toxic") / left("ordinary"))))
+    joined = counts.join(seen.drop("ratio"), "context").join(below.withColumnRenamed("gram", "suffix"), "suffix")
+    both = F.col("toxic") + F.col("ordinary")
+    shared = (both - DISCOUNT + DISCOUNT * F.col("kinds") * F.col("p")) / (F.col("toxic_seen") + F.col("ordinary_seen"))
+
+    def likely(of: str) -> Column:
+        own = F.greatest(F.col(of) - DISCOUNT, F.lit(0.0)) / (F.col(f"{of}_seen") + STRENGTH)
+        return own + left(of) * shared
 
+    by_gram = materialise(joined.select("gram", F.log(likely("toxic") / likely("ordinary")).alias("ratio")))
+    return by_gram, seen.select("context", "ratio")
 
-_judges: dict[str, Judge] = {}
 
+def word_ratios(vocabulary: DataFrame, tables: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """``word``, ``n`` and ``ratio`` of each word. ``vocabulary`` is ``word``, ``n`` and a key ``id``, written."""
+    by_gram, by_context = tables
+    found = materialise(spelt(vocabulary.select("word", "id")).join(by_gram, "gram", "left"))
+    new = found.where("ratio is null").select("id", F.substring("gram", 1, ORDER - 1).alias("context"))
+    parts = found.where("ratio is not null").select("id", "ratio").union(new.join(by_context, "context").select("id", "ratio"))
+    # Added up in a fixed order, so that a word's ratio is the same in every run.
+    total = F.aggregate(F.array_sort(F.collect_list("ratio")), F.lit(0.0), lambda a, x: a + x)
+    summed = materialise(parts.groupBy("id").agg(total.alias("ratio")))
+    return vocabulary.join(summed, "id", "left").select("word", "n", F.coalesce("ratio", F.lit(0.0)).alias("ratio"))
 
-def measured(docs: DataFrame, counts: list[tuple[str, int, int]], label: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
+
+def measured(docs: DataFrame, tables: tuple[DataFrame, DataFrame], label: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: the key, the label given, and the measures of the text; 0 for a text that is null or has no words."""
     spark = docs.sparkSession
     python_workers(spark)
-    shared = spark.sparkContext.broadcast(counts)
-    name = uuid.uuid4().hex
+    corpus = word_counts(docs.select(F.col(text).alias("text"), F.lit(0).alias("part"))).select("word", "n")
+    vocabulary = materialise(corpus.withColumn("id", F.monotonically_increasing_id()))
+    ratios = materialise(word_ratios(vocabulary, tables))
+    often = ratios.where(F.length("word") <= FREQUENT_LETTERS).orderBy(F.desc("n"), "word").limit(FREQUENT)
+    shared = spark.sparkContext.broadcast({r["word"]: r["ratio"] for r in often.select("word", "ratio").collect()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value.get
         for batch in batches:
-            if name not in _judges:
-                _judges.clear()
-                _judges[name] = Judge(Ratios(shared.value))
-            judge = _judges[name]
-            rows = [judge.measure(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *[pa.array(c) for c in (zip(*rows, strict=True) if rows else ([],) * 4)]],
-                names=["doc_id", "label", "mean", "highest", "strongest", "n_words"],
-            )
+            totals, tops, numbers, others = [], [], [], []
+            for given in batch.column(2).to_pylist():
+                found = words(given)
+                values = np.array([known(w, math.nan) for w in found], float)
+                absent = np.isnan(values)
+                rare = Counter(found[k] for k in np.flatnonzero(absent))
+                values = values[~absent]
+                top = np.partition(values, -STRONGEST)[-STRONGEST:] if len(values) > STRONGEST else values
+                totals.append(float(values.sum()))
+                tops.append(top.tolist())
+                numbers.append(len(found))
+                others.append([{"word": w, "times": n} for w, n in rare.items()])
+            kinds = (pa.float64(), pa.list_(pa.float64()), pa.int64(), pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())])))
+            columns = [pa.array(c, k) for c, k in zip((totals, tops, numbers, others), kinds, strict=True)]
+            names = ["doc_id", "label", "total", "top", "n_words", "others"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=names)
 
     given = docs.select(F.col(key).cast("long").alias("doc_id"), label.cast("int").alias("label"), F.col(text))
-    return given.mapInArrow(run, _FEATURES)
+    looked = materialise(given.mapInArrow(run, _LOOKED).withColumn("row", F.monotonically_increasing_id()))
+    rare = looked.select("row", F.inline("others")).join(ratios.select("word", "ratio").hint("shuffle_merge"), "word")
+    by_row = rare.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("ratio", "times")), False).alias("met"))
+    rows = looked.drop("others").join(by_row.hint("shuffle_merge"), "row", "left")
+    total = F.col("total") + F.coalesce(
+        F.aggregate("met", F.lit(0.0), lambda a, x: a + x["ratio"] * x["times"]), F.lit(0.0)
+    )
+    repeated = F.flatten(
+        F.transform(
+            F.slice("met", 1, STRONGEST),
+            lambda x: F.array_repeat(x["ratio"], F.least(x["times"], F.lit(STRONGEST)).cast("int")),
+        )
+    )
+    top = F.concat("top", F.coalesce(repeated, F.array().cast("array<double>")))
+    rows = rows.select(
+        "doc_id", "label", "n_words", total.alias("total"), F.slice(F.sort_array(top, False), 1, STRONGEST).alias("top")
+    )
+    strongest = F.aggregate("top", F.lit(0.0), lambda a, x: a + x) / STRONGEST
+    some = F.col("n_words") > 0
+    return rows.select(
+        "doc_id",
+        "label",
+        F.when(some, F.col("total") / F.col("n_words")).otherwise(0.0).alias("mean"),
+        F.when(some, F.get("top", F.lit(0))).otherwise(0.0).alias("highest"),
+        F.when(some, strongest).otherwise(0.0).alias("strongest"),
+        "n_words",
+    )
 
 
 #: What the decision looks at: the ratios, and the length, on which the highest of many words depends.
@@ -213,10 +351,6 @@ def fit(rows: list) -> list[float]:
     return [float(factors[0] - scaled @ middle), *map(float, scaled)]
 
 
-def _collected(counts: DataFrame) -> list[tuple[str, int, int]]:
-    return sorted((r["gram"], r["toxic"], r["ordinary"]) for r in counts.collect())
-
-
 def score(docs: DataFrame, labels: DataFrame, fold: Column, text: str = "text", key: str = "doc_id", label: str = "toxic") -> DataFrame:
     """Per row: the key, ``held_out`` (its fold is 0), ``score`` and ``predicted``.
 
@@ -236,10 +370,10 @@ def score(docs: DataFrame, labels: DataFrame, fold: Column, text: str = "text",
     tuning = known.where("fold = 1")
     share = FIT_ROWS / max(1, tuning.count())
     drawn = tuning.where(F.pmod(F.xxhash64("label_key"), F.lit(1 << 30)) < share * (1 << 30))
-    first = _collected(class_counts(known.where("fold <> 1"), "label_text", "toxic_label"))
-    factors = fit(measured(drawn, first, F.col("toxic_label"), "label_text", "label_key").where("n_words > 0").collect())
-    counts = _collected(class_counts(known, "label_text", "toxic_label"))
-    judged = measured(docs, counts, F.lit(None), text, key)
+    first, counts = class_counts(known, "label_text", "toxic_label")
+    drawn_measures = measured(drawn, ratio_tables(first), F.col("toxic_label"), "label_text", "label_key")
+    factors = fit(drawn_measures.where("n_words > 0").orderBy("doc_id").collect())
+    judged = measured(docs, ratio_tables(counts), F.lit(None), text, key)
     logit = F.lit(factors[0])
     for factor, value in zip(factors[1:], _INPUTS, strict=True):
         logit = logit + F.lit(factor) * F.expr(value)
