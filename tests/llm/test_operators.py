@@ -342,6 +342,29 @@ def test_blocks_lose_no_link(spark, make, monkeypatch):
     assert set(found.values()) == {(0,)}
 
 
+def test_stage_takes_texts_that_share_four_fifths(make):
+    """Pairs at 0.80 to 0.85 are near copies for the stage, though not for the query; brute force on full sets."""
+    rng = random.Random(23)
+    rows = []
+    for k in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+        other = [*words]
+        for at in ((20, 70), (20, 40, 60), (50,))[k % 3]:
+            other[at] = "changed"
+        rows += [(2 * k, " ".join(words), "s", "en"), (2 * k + 1, " ".join(other), "s", "en")]
+    docs = make("doc_id long, text string, source string, lang string", *rows)
+    near = {}
+    for (a, s, *_), (b, t, *_) in zip(rows[::2], rows[1::2], strict=True):
+        x, y = shingles(s), shingles(t)
+        near[b] = 100 * len(x & y) / len(x | y)
+    assert any(80 <= v < 85 for v in near.values()) and any(v < 80 for v in near.values())
+    kept = {r["doc_id"] for r in neardup.stage(docs.sparkSession, docs, SF).collect()}
+    assert kept == {k for k, *_ in rows if near.get(k, 0) < 80}
+    assert [neardup.halves_for(limit) for limit in (85, 80)] == [10, 13]
+    query = {r["doc_id"] for r in neardup.near_duplicates(docs).collect() if r["kept"]}
+    assert query == {k for k, *_ in rows if near.get(k, 0) < 85}
+
+
 def test_one_of_each_component_stays(spark):
     kept = neardup.stage(spark, documents(spark), SF).collect()
     wordy = [r for r in kept if shingles(r["text"])]

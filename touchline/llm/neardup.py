@@ -1,9 +1,9 @@
 """Near duplicates by MinHash with tensored banding.
 
-Two collections of ``HALVES`` half keys are made per text, each of ``ROWS`` minimum hashes. Every pair of a half from
-the first and a half from the second is the key of one table: ``HALVES`` squared tables from ``2 * HALVES * ROWS``
-hashes, where independent tables would need ``HALVES`` times as many. Texts at the limit of similarity meet in a
-table with probability ``(1 - (1 - 0.85**ROWS)**HALVES)**2``, 0.9998 with the values below, and higher above it.
+Two collections of ``n`` half keys are made per text, each of ``ROWS`` minimum hashes. Every pair of a half from
+the first and a half from the second is the key of one table: ``n`` squared tables from ``2 * n * ROWS`` hashes, where
+independent tables would need ``n`` times as many. Texts at the limit of similarity ``s`` meet in a table with
+probability ``(1 - (1 - s**ROWS)**n)**2``; ``n`` follows from the limit so that this is at least ``MEET``.
 
 Texts that meet are compared on their full shingle sets, all with all, in blocks of bounded size: a block tells
 which of its texts hang together, never the pairs. So a group costs rows in proportion to its size, and no link
@@ -12,7 +12,9 @@ between texts that met is lost. Equal word sequences are one class before all th
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,28 +27,39 @@ from touchline.llm.graph import components
 from touchline.llm.shingles import shingle_set, split
 from touchline.session import materialise
 
-#: Similarity: at least this many hundredths of the union are shared.
-SHARED = 85
-#: Half keys in each of the two collections, and minimum hashes in a half key.
-HALVES = 10
+#: Similarity: at least this many hundredths of the union are shared. The contract of the query op 8 sets its own limit.
+SHARED = 80
+OP8_SHARED = 85
+#: Minimum hashes in a half key, and the least probability that two texts at the limit meet.
 ROWS = 3
+MEET = 0.9998
 #: A block of texts to compare holds about this many shingles and texts.
 BLOCK_SHINGLES = 500_000
 BLOCK_TEXTS = 1_000
 #: Shingles that are hashed at once.
 PIECE = 1 << 17
 
-_random = np.random.default_rng(8)
-_FLIPS = _random.integers(0, 1 << 63, 2 * HALVES * ROWS, dtype=np.uint64)
-_FACTORS = _random.integers(0, 1 << 63, 2 * HALVES * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _JOIN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def half_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """``2 * HALVES`` half keys for each set, none of them empty."""
+def halves_for(shared: int) -> int:
+    """Half keys of a collection: 10 for a limit of 85, 13 for 80."""
+    return math.ceil(math.log(1 - math.sqrt(MEET)) / math.log(1 - (min(shared, 99) / 100) ** ROWS))
+
+
+@cache
+def _hashes(n: int) -> tuple[np.ndarray, np.ndarray]:
+    random = np.random.default_rng(8)
+    flips = random.integers(0, 1 << 63, n, dtype=np.uint64)
+    return flips, random.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def half_keys(sets: list[np.ndarray], n_halves: int) -> np.ndarray:
+    """``2 * n_halves`` half keys for each set, none of them empty."""
+    flips, factors = _hashes(2 * n_halves * ROWS)
     lengths = np.array([len(s) for s in sets])
     ends = np.cumsum(lengths)
-    least = np.full((2 * HALVES * ROWS, len(sets)), np.uint64(2**64 - 1))
+    least = np.full((2 * n_halves * ROWS, len(sets)), np.uint64(2**64 - 1))
     first = 0
     while first < len(sets):
         begin = ends[first] - lengths[first]
@@ -54,23 +67,23 @@ def half_keys(sets: list[np.ndarray]) -> np.ndarray:
         flat = np.concatenate(sets[first:last])
         starts = ends[first:last] - lengths[first:last] - begin
         for k in range(len(least)):
-            least[k, first:last] = np.minimum.reduceat((flat ^ _FLIPS[k]) * _FACTORS[k], starts)
+            least[k, first:last] = np.minimum.reduceat((flat ^ flips[k]) * factors[k], starts)
         first = last
-    keys = np.repeat(np.arange(2 * HALVES, dtype=np.uint64)[:, None], len(sets), 1)
+    keys = np.repeat(np.arange(2 * n_halves, dtype=np.uint64)[:, None], len(sets), 1)
     for k in range(ROWS):
         keys = (keys ^ least[k :: ROWS]) * _JOIN
         keys ^= keys >> np.uint64(31)
     return keys.T
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch], n_halves: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words = [split(t) for t in batch.column("text").to_pylist()]
         sets = [shingle_set(w) for w in words]
         some = [k for k, s in enumerate(sets) if len(s)]
         halves: list[np.ndarray | None] = [None] * len(sets)
         if some:
-            for k, keys in zip(some, half_keys([sets[k] for k in some]).view(np.int64), strict=True):
+            for k, keys in zip(some, half_keys([sets[k] for k in some], n_halves).view(np.int64), strict=True):
                 halves[k] = keys
         same = [xxhash.xxh3_128_digest(b" ".join(w)) if w else None for w in words]
         yield pa.RecordBatch.from_arrays(
@@ -97,7 +110,7 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _joined(sets: list[np.ndarray], sides: np.ndarray) -> np.ndarray:
+def _joined(sets: list[np.ndarray], sides: np.ndarray, limit: int) -> np.ndarray:
     """For each set the first set that links reach. Sets of different sides are compared, or all if there is one side."""
     sizes = np.array([len(s) for s in sets], np.int64)
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
@@ -115,7 +128,7 @@ def _joined(sets: list[np.ndarray], sides: np.ndarray) -> np.ndarray:
         held[owner[a:b], column[a:b] - low] = 1
         shared += held @ held.T
     inter = shared.astype(np.int64)
-    linked = 100 * inter >= SHARED * (sizes[:, None] + sizes[None, :] - inter)
+    linked = 100 * inter >= limit * (sizes[:, None] + sizes[None, :] - inter)
     if sides.min() != sides.max():
         linked &= sides[:, None] != sides[None, :]
     np.fill_diagonal(linked, True)
@@ -128,14 +141,14 @@ def _joined(sets: list[np.ndarray], sides: np.ndarray) -> np.ndarray:
         label = least
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compared(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     """Links that join the texts of each block; the rows of a block follow each other."""
 
     def links(group: list[tuple]) -> tuple[list[bytes], list[bytes]]:
         if len(group) < 2:
             return [], []
         sides = np.array([side for _, side, _ in group])
-        label = _joined([s for _, _, s in group], sides)
+        label = _joined([s for _, _, s in group], sides, limit)
         moved = np.flatnonzero(label != np.arange(len(group)))
         return [group[k][0] for k in moved], [group[label[k]][0] for k in moved]
 
@@ -154,23 +167,24 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in links(group)], names=["a", "b"])
 
 
-def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id", shared: int = SHARED) -> DataFrame:
     """Per row: ``doc_id``, ``row`` (hash of key and text), ``n_shingles``, ``same`` (128 bits of the words), ``halves``."""
     python_workers(docs.sparkSession)
+    n_halves = halves_for(shared)
     rows = docs.select(
         F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text")
     )
     return rows.mapInArrow(
-        _signed, "doc_id long, row long, n_shingles long, same binary, halves array<bigint>"
+        lambda batches: _signed(batches, n_halves), "doc_id long, row long, n_shingles long, same binary, halves array<bigint>"
     )
 
 
-def meetings(classes: DataFrame) -> DataFrame:
+def meetings(classes: DataFrame, n_halves: int) -> DataFrame:
     """``frame`` and ``same``: classes that share a table key with the class ``frame``, which is the least under that key.
 
     Classes that share no half of the first collection share no key; they drop out before the keys are spelt out.
     """
-    halves = classes.select("same", F.posexplode(F.slice("halves", 1, HALVES)).alias("i", "u"), F.slice("halves", HALVES + 1, HALVES).alias("vs"))
+    halves = classes.select("same", F.posexplode(F.slice("halves", 1, n_halves)).alias("i", "u"), F.slice("halves", n_halves + 1, n_halves).alias("vs"))
     # What is joined with a table that was grouped by the same key is written first: only where both sides have a
     # shuffle of their own can adaptive execution split a hot key.
     busy = materialise(halves.groupBy("i", "u").agg(F.count("*").alias("n")).where("n > 1").select("i", "u"))
@@ -196,17 +210,17 @@ def _blocks(met: DataFrame, sizes: DataFrame) -> DataFrame:
     )
 
 
-def near_links(docs: DataFrame, signed: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_links(docs: DataFrame, signed: DataFrame, text: str = "text", key: str = "doc_id", shared: int = SHARED) -> DataFrame:
     """Links ``a``, ``b`` between classes, enough to join all classes that links of the full sets join.
 
-    ``signed`` is ``signatures(docs)``, written.
+    ``signed`` is ``signatures(docs)`` for the same limit ``shared``, written.
     """
     classes = materialise(
         signed.where("n_shingles > 0")
         .groupBy("same")
         .agg(F.min("row").alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("halves").alias("halves"))
     )
-    met = materialise(meetings(classes))
+    met = materialise(meetings(classes, halves_for(shared)))
     rows = classes.join(met.select("same").distinct(), "same", "left_semi").select("row")
     texts = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text"))
     sets = (
@@ -218,14 +232,14 @@ def near_links(docs: DataFrame, signed: DataFrame, text: str = "text", key: str
     blocks = _blocks(met, classes.select("same", "n_shingles"))
     whole = blocks.join(materialise(sets), "same").select("frame", "low", "high", "side", "same", "shingles")
     dealt = whole.repartition("frame", "low", "high").sortWithinPartitions("frame", "low", "high")
-    return dealt.mapInArrow(_compared, "a binary, b binary")
+    return dealt.mapInArrow(lambda batches: _compared(batches, shared), "a binary, b binary")
 
 
-def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", shared: int = SHARED) -> DataFrame:
     """Rows with words, each with ``doc_id``, ``row``, ``n_shingles``, ``root`` (128 bits that name its component) and
     ``component_id``; rows without words have no root and are their own component."""
-    signed = materialise(signatures(docs, text, key))
-    links = materialise(near_links(docs, signed, text, key))
+    signed = materialise(signatures(docs, text, key, shared))
+    links = materialise(near_links(docs, signed, text, key, shared))
     rooted = components(links).select(F.col("node").alias("same"), "root")
     ids = signed.where("n_shingles > 0").groupBy("same").agg(F.min("doc_id").alias("least"))
     placed = materialise(ids.join(rooted, "same", "left").select("same", "least", F.coalesce("root", "same").alias("root")))
@@ -238,7 +252,7 @@ def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     return some.drop("same").unionByName(none)
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shared: int = OP8_SHARED) -> DataFrame:
     """Per row: ``doc_id``, ``n_shingles``, ``component_id`` and ``kept``.
 
     The component is the smallest key that links reach, itself included. A null or empty text has no shingles and is
@@ -247,12 +261,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     component's.
     """
     same = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    return grouped(docs, text, key).select("doc_id", "n_shingles", "component_id", same.alias("kept"))
+    return grouped(docs, text, key, shared).select("doc_id", "n_shingles", "component_id", same.alias("kept"))
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component of near duplicates."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), shared=OP8_SHARED)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -260,7 +274,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of repeated rows one stays. Texts without words are in no component and all stay.
     """
-    rows = grouped(docs).where("root is not null")
+    rows = grouped(docs, shared=SHARED).where("root is not null")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
     chosen = rows.groupBy("root").agg(first.alias("first")).select("first.row")
     wordy = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
