@@ -49,7 +49,9 @@ _TOKEN = re.compile(
     r"|<(?P<close2>/?)(?P<name2>[A-Za-z][^\s/>]*)(?P<rest2>[^>]*)(?:>|\Z)",
     re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+_MARKED = (_BLOCKS | frozenset("td th".split())) - frozenset("html body hgroup h1 h2 h3 h4 h5 h6".split())
+#: An attribute's name and value; values are consumed whole, so that nothing in them is taken for a name.
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
 @dataclass(slots=True)
@@ -63,6 +65,13 @@ class Item:
     breaks: int = 0  # of a tag: 2 ends a block, 1 is a space
 
 
+@dataclass(slots=True)
+class _Mark:
+    """An element that attributes call furniture, or a form. It isn't if it holds the page's article or main element."""
+
+    withdrawn: bool = False
+
+
 @dataclass(slots=True)
 class _Open:
     name: str
@@ -71,22 +80,27 @@ class _Open:
     inside: bool
     section: str
     block: str
+    marks: tuple[_Mark, ...] = ()
 
 
-def _marks(rest: str) -> tuple[bool, bool, str]:
-    """Whether an element's attributes say that it is furniture, that it is the content, and its first class."""
+def _marks(name: str, rest: str) -> tuple[bool, bool, str]:
+    """Whether an element's attributes say that it is furniture, that it is the content, and the first part of its class.
+
+    Only whole classes, ids and roles of containers speak for furniture; ``hidden`` does on any element below the body.
+    """
     furniture = content = False
     first = ""
-    for name, *values in _ATTRIBUTE.findall(rest) if rest else ():
-        name, value = name.lower(), next((v for v in values if v), "").lower()
-        if name == "hidden":
-            furniture = True
-            continue
-        parts = re.findall(r"[a-z0-9]+", value)
-        furniture |= not _MARKS.isdisjoint(parts)
-        content |= (name == "role" and value == "main") or (name == "itemprop" and value == "articlebody")
-        if name == "class" and parts and not first:
-            first = parts[0]
+    for key, *values in _ATTRIBUTE.findall(rest) if rest else ():
+        key, value = key.lower(), next((v for v in values if v), "").lower()
+        if key == "hidden":
+            furniture |= name not in ("html", "body")
+        elif key in ("class", "id", "role"):
+            furniture |= name in _MARKED and not _MARKS.isdisjoint(value.split())
+            content |= key == "role" and value == "main"
+            if key == "class" and not first:
+                first = next(iter(re.findall(r"[a-z0-9]+", value)), "")
+        elif key == "itemprop":
+            content |= value == "articlebody"
     return furniture, content, first
 
 
@@ -94,16 +108,21 @@ def parse(page: str | None) -> list[Item]:
     """Runs and tags of a page in order, without what is never shown. Any text parses; a cut-off tag at the end is dropped."""
     page = page or ""
     items: list[Item] = []
+    under: list[tuple[_Mark, ...]] = []  # of each item
+    mains: list[tuple[_Mark, ...]] = []  # marks around what is certainly the content
+    articles: list[tuple[_Mark, ...]] = []  # marks around each article
     stack = [_Open("", False, False, False, "", "body")]
 
     def run(text: str) -> None:
         top = stack[-1]
         if text and not top.hidden:
             items.append(Item(html.unescape(text), f"{top.section} {top.block}", top.furniture, top.inside))
+            under.append(top.marks)
 
     def tag(name: str, breaks: int, top: _Open) -> None:
         if not top.hidden:
             items.append(Item(None, name, top.furniture, top.inside, breaks))
+            under.append(top.marks)
 
     def close(k: int) -> None:
         for _ in range(len(stack) - k):
@@ -148,9 +167,12 @@ def parse(page: str | None) -> list[Item]:
             if k and stack[k].name in same:
                 close(k)
         top = stack[-1]
-        furniture, content, first = _marks(rest)
+        marked, content, first = _marks(name, rest)
+        if content or name in _CONTENT:
+            (articles if name == "article" and not content else mains).append(top.marks)
         content |= name in _CONTENT
-        furniture |= name in _FURNITURE or (name == "header" and not top.inside)
+        furniture = (name in _FURNITURE and name != "form") or (name == "header" and not top.inside)
+        marked |= name == "form"
         opened = _Open(
             name,
             top.hidden or name in _HIDDEN,
@@ -158,10 +180,17 @@ def parse(page: str | None) -> list[Item]:
             top.inside or content,
             top.section if content else f"{name}.{first}" if first else name if name in _SECTIONS else top.section,
             "body" if content else name if name in _BLOCKS else top.block,
+            (*top.marks, _Mark()) if marked and not content else top.marks,
         )
         tag(name, 2 if name in _BLOCKS else int(name in _SPACING), opened)
         if name not in _VOID and not rest.endswith("/"):
             stack.append(opened)
+    # Several articles are teasers as often as not; a single one is the page's.
+    for marks in mains or (articles if len(articles) == 1 else []):
+        for mark in marks:
+            mark.withdrawn = True
+    for item, marks in zip(items, under, strict=True):
+        item.furniture |= any(not m.withdrawn for m in marks)
     return items
 
 
