@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from touchline.llm import neardup
 from touchline.llm.common import python_workers, table, word_list
 from touchline.session import materialise
 
@@ -66,9 +67,11 @@ def _packed(capacity: int):
     return pack
 
 
-def pieces(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", cluster: Column | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", cluster: Column | None = None, capacity: int = CAPACITY, roots: DataFrame | None = None) -> DataFrame:
     """The pieces of every document. The cluster is the column given, else the word sequence with A to Z in lower case.
 
+    ``roots`` holds clusters of rows: ``hash`` of key and text, once each, and ``root``. It comes before the others.
+
     A null or empty text is one piece of no words. Null sources are one source. Repeated rows are documents each.
     """
     lowered = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -77,6 +80,7 @@ def pieces(docs: DataFrame, text: str = "text", source: str = "source", key: str
         F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"),
         (F.lit(None) if cluster is None else cluster).cast("string").alias("given"),
         word_list(lowered).alias("words"),
+        F.xxhash64(F.col(key), F.col(text)).alias("hash"),
     )
     sized = words.select(
         "doc_id",
@@ -84,7 +88,12 @@ def pieces(docs: DataFrame, text: str = "text", source: str = "source", key: str
         F.coalesce("given", F.md5(F.array_join("words", " ").cast("binary"))).alias("cluster"),
         F.size("words").cast("long").alias("size"),
         F.monotonically_increasing_id().alias("row"),
+        "hash",
     )
+    if roots is not None:
+        # Sizes are dealt by the hash, not texts. They are written first, since the row's number may not change.
+        sized = materialise(sized).join(roots.hint("shuffle_merge"), "hash", "left")
+        sized = sized.withColumn("cluster", F.coalesce(F.hex("root"), "cluster"))
     last = F.greatest(F.ceil(F.col("size") / capacity), F.lit(1)).cast("int") - 1
     cut = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
     first = F.col("piece").cast("long") * capacity
@@ -94,6 +103,12 @@ def pieces(docs: DataFrame, text: str = "text", source: str = "source", key: str
     )
 
 
+def near_roots(docs: DataFrame) -> DataFrame:
+    """``hash`` and ``root``: the component of near duplicates of every different row with words."""
+    found = neardup.grouped(docs, shared=neardup.SHARED).where("root is not null")
+    return materialise(found.groupBy(F.col("row").alias("hash")).agg(F.min("root").alias("root")))
+
+
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Each piece with its bin, its place in the bin and the words the bin has left over.
 
@@ -108,10 +123,11 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The place of every piece of every document."""
-    return pack(pieces(table(spark, sf_dir, "documents")))
+    """The place of every piece of every document. Near duplicates, linked at a similarity of 0.8, are one cluster."""
+    docs = table(spark, sf_dir, "documents")
+    return pack(pieces(docs, roots=near_roots(docs)))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every piece of the documents that the stages before kept."""
+    """The place of every piece of the documents that the stages before kept; near duplicates are gone by then."""
     return pack(pieces(docs))
