@@ -21,6 +21,31 @@ from touchline.llm.common import python_workers, table
 #: Phrases that are looked for in any case, and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
+_ITEM = "<<var;min=0;max=1>>"  # the number of a clause, or nothing
+_BSD = f"""Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: {_ITEM} Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer. {_ITEM} Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+distribution. <<third>> THIS SOFTWARE IS PROVIDED BY <<var;min=1;max=12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL <<var;min=1;max=12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR
+PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+POSSIBILITY OF SUCH DAMAGE."""
+_THIRD = f"""{_ITEM} Neither the name of <<var;min=1;max=12>> nor the names of its contributors may be used to endorse or
+promote products derived from this software without specific prior written permission."""
+
+
+def _header(name: str, version: str) -> str:
+    """The header that the FSF's licenses give for source files, from "free software" to "for more details"."""
+    return f"""free software: you can redistribute it and/or modify it under the terms of
+the GNU {name} Public License as published by the Free Software Foundation, <<beginOptional>>either <<endOptional>>
+version {version} of the License<<beginOptional>>, or (at your option) any later version<<endOptional>>.
+<<var;min=1;max=8>> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} Public License for more details."""
+
+
 # Wordings of licenses and of the notices that name them, with the marked regions.
 TEMPLATES = {
     "mit-notice": "<<beginOptional>>This <<var;min=1;max=3>> is <<endOptional>><<beginOptional>>available <<endOptional>>"
@@ -44,9 +69,43 @@ OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "mpl-2-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "isc-text": """Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for
 any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice
-appear in all copies.""",
-    "bsd-text": """Redistribution and use in source and binary forms, with or without modification, are permitted
-provided that the following conditions are met""",
+appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND <<var;min=1;max=12>> DISCLAIMS ALL WARRANTIES WITH REGARD TO
+THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;min=1;max=12>> BE
+LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE,
+DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION
+WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "bsd-2-text": _BSD.replace("<<third>>", ""),
+    "bsd-3-text": _BSD.replace("<<third>>", _THIRD),
+    "gpl-2-header": _header("General", "2"),
+    "gpl-3-header": _header("General", "3"),
+    "lgpl-2.1-header": _header("Lesser General", "2.1"),
+    "lgpl-3-header": _header("Lesser General", "3"),
+    "agpl-3-header": _header("Affero General", "3"),
+    "lgpl-notice": "licensed under the <<beginOptional>>terms of the <<endOptional>>GNU Lesser General Public License",
+    "agpl-notice": "licensed under the <<beginOptional>>terms of the <<endOptional>>GNU Affero General Public License",
+    "apache-2-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except
+in compliance with the License. You may obtain a copy of the License at <<var;min=4;max=10>> Unless required by
+applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
+governing permissions and limitations under the License.""",
+    "mpl-2-header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the
+MPL was not distributed with this file, You can obtain one at <<var;min=1;max=2>>mozilla.org/MPL/2.0""",
+    "cc-by-notice": "licensed under <<beginOptional>>a <<endOptional>>CC BY 4.0",
+    "cc-by-sa-notice": "licensed under <<beginOptional>>a <<endOptional>>CC BY-SA 4.0",
+    "cc-by-name": "Creative Commons Attribution <<var;min=0;max=1>>4.0",
+    "cc-by-sa-name": "Creative Commons Attribution-ShareAlike <<var;min=0;max=1>>4.0",
+    "cc-by-nc-name": "Creative Commons Attribution-NonCommercial <<var;min=0;max=1>>4.0",
+    "cc0-notice": "CC0 1.0 Universal",
+    "unlicense-text": """This is free and unencumbered software released into the public domain. Anyone is free to copy,
+modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary,
+for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the
+author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make
+this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this
+dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under
+copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
+LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL
+THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "rights-reserved": "Copyright <<beginOptional>>(c) <<endOptional>><<var;min=1;max=8>> All rights reserved",
 }
 
