@@ -8,7 +8,7 @@ from llm.hard import TEXTS, documents, written
 import corpus_pipeline
 from touchline.llm import pages, queries
 
-DOCUMENT_QUERIES = sorted(set(queries()) - {"op4_best_fit_packing", "op7_main_text"})
+DOCUMENT_QUERIES = sorted(set(queries()) - {"op4_best_fit_packing", "op7_main_text", "op12_hard_negatives"})
 
 
 def labels(spark, empty=False):

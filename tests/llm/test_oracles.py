@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "labels"):
+    for table in ("documents", "pages", "labels", "embeddings"):
         con.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
     wanted = con.sql(oracle_sql()[name])
     found = queries()[name](spark, SF)

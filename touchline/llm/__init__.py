@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import bpe, language, licenses, neardup, ownership, packing, pages, quality, sketch, toxicity
+from touchline.llm import (
+    bpe,
+    language,
+    licenses,
+    merkle,
+    mixing,
+    neardup,
+    negatives,
+    ownership,
+    packing,
+    pages,
+    quality,
+    sketch,
+    toxicity,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +36,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_duplicates": neardup.op8_near_duplicates,
         "op9_language_id": language.op9_language_id,
         "op10_fingerprints": sketch.op10_fingerprints,
+        "op11_merkle_manifest": merkle.op11_merkle_manifest,
+        "op12_hard_negatives": negatives.op12_hard_negatives,
+        "op13_source_mix": mixing.op13_source_mix,
     }
 
 
@@ -32,4 +49,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_quality_rules": quality.ORACLE,
         "op5_license_scan": licenses.ORACLE,
         "op10_fingerprints": sketch.ORACLE,
+        "op11_merkle_manifest": merkle.ORACLE,
+        "op12_hard_negatives": negatives.ORACLE,
     }
