@@ -1,6 +1,7 @@
 """Time the join on several identity keys next to the direct OR / ILIKE join.
 
-Also times patterns that differ before a wildcard and share the domain behind it, in growing numbers.
+Also times patterns that differ before a wildcard and share the domain behind it, in growing numbers, and patterns whose
+runs between wildcards have 1, 5 and 20 different lengths.
 Prints one JSON line. Reads ``BENCH_SF_DIR`` (default /root/testdata/sf0.1).
 """
 
@@ -32,6 +33,22 @@ def domain_patterns(spark) -> dict[str, float]:
     return seconds
 
 
+def run_lengths(spark) -> dict[str, float]:
+    """Seconds to match 20,000 addresses with 2,000 patterns like ``%0017@mail%``."""
+    address = F.format_string("customer%022d@mail.example", "id")
+    texts = materialise(spark.range(20_000).select(address.alias("text")))
+    seconds = {}
+    for lengths in (1, 1, 5, 20):  # the first run compiles
+        number = F.lpad((F.col("id") * 7).cast("string"), 22, "0")
+        run = F.concat(F.right(number, (F.col("id") % lengths + 3).cast("int")), F.lit("@mail"))
+        some = spark.range(2_000).select(F.concat(F.lit("%"), run, F.lit("%")).alias("pattern")).distinct()
+        patterns = materialise(some)
+        begin = time.perf_counter()
+        pairs = pattern_pairs(texts, patterns).count()
+        seconds[f"{lengths} lengths, {pairs} pairs"] = round(time.perf_counter() - begin, 2)
+    return seconds
+
+
 def main() -> None:
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), app="touchline-bench-joins")
     tables = testdata.catalog(spark, ROOT)
@@ -68,6 +85,7 @@ def main() -> None:
                 "right": leads.count(),
                 "sf": Path(ROOT).name,
                 "domain patterns": domain_patterns(spark),
+                "run lengths": run_lengths(spark),
             }
         )
     )

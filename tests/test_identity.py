@@ -70,6 +70,48 @@ def test_pattern_pairs_have_no_nested_loop(make):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+LONG = [f"customer{k:06}@mail.example" for k in range(0, 3_000, 7)] + ["shop-000014", "a000014b", "00014"]
+INNER = [f"%{k:0{n}}%" for k in (14, 21, 700) for n in range(2, 9)] + ["%r0000%4@mail%", "customer00_014%", "%@mail.example", "c%e"]
+
+
+def test_pattern_pairs_by_long_runs(make):
+    """Runs of many lengths that share their grams, some of which no text has."""
+    pairs = pattern_pairs(*as_columns(make, LONG, INNER))
+    assert sorted(map(tuple, pairs.collect())) == expected(LONG, INNER)
+
+
+def test_shared_grams_cost_no_candidates(spark, make):
+    """A thousand patterns that share every gram, met by a thousand texts: places become pairs only where they match."""
+    texts = spark.range(1_000).select(F.format_string("aaa%06daaa", "id").alias("text"))
+    patterns = spark.range(1_000).select(F.format_string("%%a%06da%%", "id").alias("pattern"))
+    pairs = pattern_pairs(texts, patterns)
+    tested = pairs.collect()
+    assert sorted(tested) == [(f"aaa{k:06}aaa", f"%a{k:06}a%") for k in range(1_000)]
+    joins = [n for n in metrics(pairs) if n[0].endswith("Join")]
+    assert joins and max(rows for _, rows in joins) <= 30_000
+
+
+def metrics(df) -> list[tuple[str, int]]:
+    """Names and output rows of the operators that ran."""
+    out = []
+
+    def walk(node):
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            return walk(node.executedPlan())
+        if "QueryStage" in node.getClass().getSimpleName():
+            return walk(node.plan())
+        found = node.metrics().get("numOutputRows")
+        if found.isDefined():
+            out.append((node.nodeName(), found.get().value()))
+        children = node.children()
+        for k in range(children.size()):
+            walk(children.apply(k))
+        return None
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return out
+
+
 def identities(make):
     left = make(
         "lid int, email string, client string, seen timestamp_ntz",

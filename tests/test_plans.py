@@ -16,9 +16,9 @@ import __spark_entry__ as spark_entry
 from touchline import plans
 from touchline.operators.audience import suppressed_by_address
 from touchline.operators.identity import distinct_times_since
-from touchline.operators.joins import join_groups, latest_before, split_left_join, with_group_values
+from touchline.operators.joins import join_groups, latest_before, split_left_join, star_left_join, with_group_values
 from touchline.operators.touch import before_conversion, last_page_before
-from touchline.session import configured, intermediate_tables, materialise, shared_folder
+from touchline.session import configure, configured, intermediate_tables, materialise, shared_folder
 
 ROOT = "/root/testdata/sf0.001"
 JOBS = {name: job for name, job in spark_entry.queries().items() if name in plans.JOBS}
@@ -130,8 +130,58 @@ def test_latest_before_against_brute_force(make):
     assert sorted(map(tuple, found.collect()), key=lambda r: r[0]) == expected
 
 
-@pytest.mark.parametrize("seed", [11, 12, 13])
-def test_distinct_times_against_brute_force(make, seed):
+def test_left_join_by_bitmaps(spark, make):
+    """Many rows of several partitions, of which some have a pair, some several and some none; the pairs are not written."""
+    left = spark.range(200_000, numPartitions=5).select("id", (F.col("id") % 1_000).alias("k"))
+    right = spark.range(2_000).select((F.col("id") % 700 * 3).alias("j"), "id").toDF("j", "n")
+    folder = Path(shared_folder(spark)) / "touchline"
+    with intermediate_tables():
+        before = set(folder.glob("*"))
+        found = split_left_join(left, right, F.col("k") == F.col("j"))
+        new = [f for f in folder.glob("*") if f not in before]
+        assert sorted(spark.read.parquet(str(f)).columns for f in new) == [["__bucket", "__bits"], ["id", "k", "__row"]]
+        sums = lambda df: tuple(df.agg(F.count("*"), F.count("j"), F.sum(F.xxhash64("id", "k", "j", "n").cast("decimal(38,0)"))).first())
+        assert sums(found) == sums(left.join(right, F.col("k") == F.col("j"), "left"))
+
+
+@pytest.mark.parametrize("piece_rows", [1, 3, 1_000])
+def test_star_left_join_is_a_chain_of_left_joins(make, piece_rows):
+    """Each side is the largest of some key; a key without rows on one side; repeated rows; rows without a key."""
+    rng = random.Random(3)
+    keys = lambda n, *hot: [rng.choice([*hot, *hot, "a", "b", "c", "d", None]) for _ in range(n)]
+    left = make("k string, x int", *[(k, i % 4) for i, k in enumerate(keys(14, "left"))], ("alone", 1), ("a", 1), ("a", 1))
+    one = make("k1 string, y int", *[(k, i % 5) for i, k in enumerate(keys(17, "a"))], ("left", 1))
+    two = make("k2 string, z int", *[(k, i % 5) for i, k in enumerate(keys(11, "b"))], ("left", 2))
+    three = make("k3 string, w int", ("a", 1), ("a", 1), ("c", 3))
+    chain = left
+    sides = {"k1": one, "k2": two, "k3": three}
+    for key, right in sides.items():
+        chain = chain.join(right, F.col("k") == F.col(key), "left")
+    assert rows(star_left_join(left, "k", sides, piece_rows)) == rows(chain)
+
+
+def test_star_left_join_deals_a_hot_key(spark):
+    """A key with a third of all rows on one side is spread over many tasks; the chain shuffles each side once."""
+    settings = small_partitions(spark) | {"spark.sql.adaptive.enabled": "false"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        hot = hot_rows(spark).select("k", "v")
+        other = spark.range(20, numPartitions=2).select(F.lit(7).cast("long").alias("j"), "id")
+        found = star_left_join(materialise(hot), "k", {"j": other}, piece_rows=2_000)
+        per_task = found.groupBy(F.spark_partition_id()).agg(F.count_if(F.col("id").isNotNull()).alias("n")).collect()
+        assert sum(r["n"] for r in per_task) == 20 * hot.filter("k = 7").count()
+        assert max(r["n"] for r in per_task) < 0.4 * 20 * 100_000
+        assert plan(found, "simple").count("Exchange hashpartitioning(k") == 1
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+        configure(spark)
+
+
+@pytest.mark.parametrize("broad_pairs", [0, 6, 100_000])
+@pytest.mark.parametrize("seed", [11, 12])
+def test_distinct_times_against_brute_force(make, seed, broad_pairs):
     rng = random.Random(seed)
     day = at("2024-01-01")
     keys = [("c", "1"), ("c", "2"), ("e", "hot"), ("e", "x"), ("e", "y")]
@@ -143,6 +193,7 @@ def test_distinct_times_against_brute_force(make, seed):
         make("unit string, view_day timestamp_ntz", *asked),
         make("key_kind string, key string, created timestamp_ntz", *times),
         ["unit"],
+        broad_pairs,
     )
     expected = {}
     for unit, since in asked:
@@ -152,6 +203,21 @@ def test_distinct_times_against_brute_force(make, seed):
     assert {(r["unit"], r["view_day"]): r["n"] for r in found.collect()} == expected
 
 
+def test_distinct_times_of_a_unit_of_many_keys(spark):
+    """One unit of 10,000 keys with 20 times each, beside units that share two keys of 5,000 times: rows, not their squares."""
+    day = F.lit(at("2024-01-01")).cast("timestamp_ntz")
+    many = spark.range(10_000).select(F.lit("big").alias("unit"), F.lit("k").alias("key_kind"), F.col("id").cast("string").alias("key"))
+    few = spark.range(6_000).select(F.format_string("u%d", "id").alias("unit"), F.lit("hot").alias("key_kind"), F.explode(F.array(F.lit("p"), F.lit("q"))).alias("key"))
+    at_hour = lambda n: F.timestamp_seconds(1_704_067_200 + 3_600 * n).cast("timestamp_ntz").alias("created")
+    of_many = spark.range(200_000).select(F.lit("k").alias("key_kind"), (F.col("id") % 10_000).cast("string").alias("key"), at_hour(F.col("id") % 997 * (F.floor(F.col("id") / 10_000) % 2))).distinct()
+    of_hot = spark.range(10_000).select(F.lit("hot").alias("key_kind"), F.when(F.col("id") < 5_000, "p").otherwise("q").alias("key"), at_hour(F.col("id") % 7_000))
+    units = materialise(many.unionAll(few))
+    asked = units.select("unit", day.alias("view_day")).distinct()
+    found = distinct_times_since(units, asked, materialise(of_many.unionAll(of_hot)), ["unit"])
+    assert {(r["unit"] == "big", r["n"]) for r in found.collect()} == {(True, 997), (False, 7_000)}
+    assert found.count() == 6_001
+
+
 def test_written_tables_go_when_the_report_is_done(spark, make):
     df = make("a int, s struct<t: timestamp_ntz, i: string>", (1, (at("2024-01-01"), "x")), (None, None))
     folder = Path(shared_folder(spark)) / "touchline"

@@ -11,7 +11,8 @@ a left join from an inner join and the rows it leaves out.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,20 +63,74 @@ def numbered(left: DataFrame) -> DataFrame:
 def with_unmatched(left: DataFrame, pairs: DataFrame) -> DataFrame:
     """Complete the inner join ``pairs`` of a ``numbered`` left side to a left join.
 
-    The pairs are written once, because they are read as result and as the list of
-    matched rows.
+    Which rows have a pair is one bit each, set within the tasks and merged: a bitmap
+    for every 32,768 rows. Only these bitmaps are written; the pairs themselves are
+    worked out with the columns that the report reads.
     """
-    pairs = materialise(pairs)
-    matched = pairs.select(ROW).distinct()
-    return pairs.unionByName(null_safe_join(left, matched, [ROW], "left_anti"), allowMissingColumns=True).drop(ROW)
+    bucket, bit = F.bitmap_bucket_number(ROW), F.bitmap_bit_position(ROW)
+    bits = materialise(pairs.groupBy(bucket.alias("__bucket")).agg(F.bitmap_construct_agg(bit).alias("__bits")))
+    placed = left.withColumns({"__at": bucket, "__bit": bit})
+    met = placed.join(bits, F.col("__at") == F.col("__bucket"), "left")
+    byte = F.conv(F.hex(F.substring("__bits", (F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.call_function("getbit", byte, (F.col("__bit") % 8).cast("int")) == 1
+    alone = met.filter(~F.coalesce(is_set, F.lit(False))).select(*left.columns)
+    return pairs.unionByName(alone, allowMissingColumns=True).drop(ROW)
 
 
 def split_left_join(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
-    """Left join for a right side in which one key may have very many rows."""
-    left = numbered(left)
+    """Left join for a right side in which one key may have very many rows. ``left`` may be ``numbered`` already."""
+    left = left if ROW in left.columns else numbered(left)
     return with_unmatched(left, left.join(right, on))
 
 
+#: Rows of one key and side that stay together.
+PIECE_ROWS = 100_000
+
+
+def star_left_join(
+    left: DataFrame, key: str, rights: Mapping[str, DataFrame], piece_rows: int = PIECE_ROWS
+) -> DataFrame:
+    """Left join to several sides, ``{key column: rows}``, that all match the same ``key``.
+
+    Each left row comes with every combination of its matches, as in a chain of left
+    joins. All sides are dealt by the key once, and the chain stays where the rows lie.
+    A key with more than ``piece_rows`` rows on some side is cut: the rows of its
+    largest side are dealt over pieces, and its rows of the other sides are copied to
+    each piece, so that no combination is lost or made twice. Rows without a key are
+    not moved. Column names must differ; ``left`` is read more than once.
+    """
+    names = [key, *rights]
+    sides = [left, *rights.values()]
+    counted = [
+        df.filter(F.col(k).isNotNull()).groupBy(F.col(k).alias("__key")).agg(F.count(F.lit(1)).alias("__n"))
+        .select("__key", F.struct(F.col("__n").alias("n"), F.lit(k).alias("side")).alias("__rows"))
+        for k, df in zip(names, sides, strict=True)
+    ]
+    largest = reduce(DataFrame.unionAll, counted).groupBy("__key").agg(F.max("__rows").alias("__rows"))
+    pieces = F.ceil(F.col("__rows.n") / piece_rows).cast("int")
+    # At most one key for every ``piece_rows`` rows.
+    cut = materialise(
+        largest.filter(F.col("__rows.n") > piece_rows).select("__key", pieces.alias("__pieces"), F.col("__rows.side").alias("__dealt"))
+    )
+
+    def placed(df: DataFrame, k: str) -> DataFrame:
+        met = df.filter(F.col(k).isNotNull()).join(cut, F.col(k) == F.col("__key"), "left").drop("__key")
+        own = F.array(F.pmod(F.xxhash64(*df.columns, F.monotonically_increasing_id()), F.col("__pieces")).cast("int"))
+        copies = F.sequence(F.lit(0), F.col("__pieces") - 1)
+        piece = F.when(F.col("__pieces").isNull(), F.array(F.lit(0))).when(F.col("__dealt") == k, own).otherwise(copies)
+        return met.withColumn("__piece", F.explode(piece)).drop("__pieces")
+
+    joined = placed(left, key)
+    for k, df in rights.items():
+        right = placed(df, k).withColumnRenamed("__piece", f"__piece_{k}").drop("__dealt")
+        joined = joined.join(right, (F.col(key) == F.col(k)) & (F.col("__piece") == F.col(f"__piece_{k}")), "left")
+        # A copy that met nothing of the side that was dealt has its match in another piece.
+        elsewhere = (F.col("__dealt") == k) & F.col(k).isNull()
+        joined = joined.filter(~F.coalesce(elsewhere, F.lit(False))).drop(f"__piece_{k}")
+    rest = left.filter(F.col(key).isNull())
+    return joined.drop("__piece", "__dealt").unionByName(rest, allowMissingColumns=True)
+
+
 def latest_before(
     asked: DataFrame, events: DataFrame, key: str, at: str, time: str, result: str
 ) -> DataFrame:

@@ -11,7 +11,7 @@ from touchline.functions.text import all_of, external
 from touchline.functions.times import local_since, to_pacific, to_utc, trunc, ts
 from touchline.operators.experiment import several_variants, single_device, single_variant
 from touchline.operators.funnel import LeadDefinition
-from touchline.operators.joins import join_groups, least_row, null_safe_join, split_left_join
+from touchline.operators.joins import join_groups, least_row, null_safe_join, numbered, star_left_join
 from touchline.operators.identity import (
     Key,
     distinct_times_since,
@@ -83,14 +83,14 @@ def ab_session_last_page(
         F.col("client_key").alias("opp_key"), "review_call_booked", "closedate", "stagename"
     )
     crm = tables["crm_lead"].select(F.col("client_key").alias("crm_key"), "team_suf2__c")
-    person = F.col("inferred_person_id")
     created, day = F.col("lead_created_datetime_pstpdt"), trunc(F.col("pageview_time"), "day")
     named = last.join(users, F.col("user_id") == F.col("web_user"), "left").join(
         people, F.col("user_id") == F.col("heap_user_id"), "left"
     )
     # One person may own very many of these records.
-    for records, key in ((leads, "lead_key"), (opps, "opp_key"), (crm, "crm_key")):
-        named = split_left_join(named, records, person == F.col(key))
+    named = star_left_join(
+        materialise(named), "inferred_person_id", {"lead_key": leads, "opp_key": opps, "crm_key": crm}
+    )
     return (
         named.select(
             "user_id",
@@ -156,7 +156,7 @@ def ab_single_variant(
     rows = firsts.join(clients, F.col("inferred_person_id") == F.col("principalpersonid"), "left").drop(
         "principalpersonid"
     )
-    rows = materialise(rows)
+    rows = numbered(rows)
     leads = tables["lead_data"].select(
         F.col("email").alias("lead_email"), F.col("client_key").alias("lead_key"), "lead_created_datetime_pstpdt",
         F.col("opp_id").alias("lead_opp"),
@@ -209,7 +209,7 @@ def ab_exposure_attribution(
         )
     )
     firsts = single_variant(views, ["user_id"], "clean_variant", first_of="pageview_date")
-    firsts = materialise(firsts.withColumnRenamed("min_exposure", "min_pageview").distinct())
+    firsts = numbered(firsts.withColumnRenamed("min_exposure", "min_pageview").distinct())
     leads = tables["lead_attributions"].select(
         F.col("email").alias("lead_email"), F.col("opportunity_id").alias("lead_opp"), "lead_created_datetime_pstpdt"
     )
