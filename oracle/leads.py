@@ -93,5 +93,6 @@ QUERIES: dict[str, str] = {
     "nurtured_lead_events": _NURTURED,
     "score_at_assignment": _SCORES,
     "account_group_map": _ACCOUNTS,
+    "account_group_view": _ACCOUNTS,
     "lead_definition_audit": _AUDIT,
 }

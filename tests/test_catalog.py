@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from random_tables import random_tables
 
 from touchline.plans import JOBS, create_views, write_report
+from touchline.plans.sinks import read_partitions, write_partitions
 from touchline.session import SHUFFLE_PARTITION_BYTES, configure
 from touchline.sources import Catalog
 from touchline.sources.schemas import SCHEMAS
@@ -62,3 +63,31 @@ def test_shuffles_follow_the_input(spark):
         assert spark.conf.get("spark.sql.shuffle.partitions") == "1000"
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def stored(spark, path):
+    return sorted((str(r["day"]), r["v"]) for r in spark.read.parquet(path).collect())
+
+
+def test_only_the_written_partitions_are_replaced(spark, make, tmp_path):
+    path = str(tmp_path / "days")
+    first = make("day string, v int", ("2024-01-01", 1), ("2024-01-01", 2), ("2024/02", 3), (None, 4))
+    write_partitions(first, path, "day")
+    write_partitions(first, path, "day")  # again: nothing doubles
+    assert stored(spark, path) == [("2024-01-01", 1), ("2024-01-01", 2), ("2024/02", 3), ("None", 4)]
+    write_partitions(make("day string, v int", ("2024-01-01", 7)), path, "day")
+    assert stored(spark, path) == [("2024-01-01", 7), ("2024/02", 3), ("None", 4)]
+    # What a run covers and has no rows for goes; what it does not cover stays.
+    write_partitions(make("day string, v int", ("2024-01-02", 8)), path, "day", covers=["2024-01-02", "2024/02", None])
+    assert stored(spark, path) == [("2024-01-01", 7), ("2024-01-02", 8)]
+
+
+def test_a_partition_is_renewed_from_its_own_table(spark, make, tmp_path):
+    path = str(tmp_path / "own")
+    df = make("v int, day string", (1, "a"), (2, "b"))
+    write_partitions(df, path, "day")
+    grown = read_partitions(spark, path, df.schema).filter("day = 'a'").selectExpr("v + 10 AS v", "day")
+    write_partitions(grown, path, "day")
+    again = read_partitions(spark, path, df.schema)
+    assert again.columns == ["v", "day"]
+    assert sorted(map(tuple, again.collect())) == [(2, "b"), (11, "a")]

@@ -80,7 +80,6 @@ HOT = {
         f, f.select("k", F.col("time").alias("date")), "k", "time", "date"
     ),
     "addresses": lambda f: suppressed_by_address(f, "email", {"bad": F.col("v") > 0}),
-    "last page": lambda f: last_page_before(f, ["k"], "v", F.col("v") % 2 == 0, F.col("v") % 2 == 0, ["email"]),
     "groups": lambda f: join_groups(f, f.groupBy("k").agg(F.count("v").alias("n")), ["k"]),
 }
 
@@ -130,6 +129,66 @@ def test_latest_before_against_brute_force(make):
     assert sorted(map(tuple, found.collect()), key=lambda r: r[0]) == expected
 
 
+def test_last_page_reads_once_and_cuts_a_hot_session(spark):
+    """A third of the pages is one session: no task folds it alone, and the page views are read and dealt once."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        hour = F.col("id") % 400 * 60_000
+        key = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 900)
+        pages = spark.range(120_000, numPartitions=16).select(
+            key.alias("k"), F.timestamp_seconds(hour + F.col("id") % 977).cast("timestamp_ntz").alias("time"), F.xxhash64("id").alias("v")
+        )
+        pages = materialise(pages)
+        target = F.col("v") % 2 == 0
+        found = last_page_before(pages, ["k"], "time", target, target, ["v"])
+        text = plan(found, "simple")
+        assert text.count("FileScan") == 1 and "Join" not in text
+        assert text.count("Exchange hashpartitioning") == 2  # spans, then what is left of each
+        ends = pages.filter(target).groupBy("k").agg(F.max("time").alias("end")).toDF("j", "end")
+        seen = pages.filter(~target).join(ends, F.col("k").eqNullSafe(F.col("j"))).filter("time <= end")
+        assert rows(found, "k", "time") == rows(seen.groupBy("k").agg(F.max("time")))
+    finally:
+        configure(spark)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_last_page_against_brute_force(make, seed):
+    rng = random.Random(seed)
+    base = at("2024-01-01")
+    moment = lambda: None if rng.random() < 0.05 else base + timedelta(minutes=25 * rng.randrange(20))
+    pages = [(rng.choice([1, 2, 3, None]), moment(), rng.choice("tab"), i) for i in range(40)]
+    df = make("s int, time timestamp_ntz, kind string, id int", *pages)
+    expected = []
+    for session in {s for s, *_ in pages}:
+        mine = [p for p in pages if p[0] == session and p[1] is not None]
+        ends = [t for _, t, kind, _ in mine if kind == "t"]
+        if seen := [p for p in mine if ends and p[1] <= max(ends) and p[2] != "a"]:
+            expected.append(max(seen, key=lambda p: (p[1], -p[3])))
+    found = last_page_before(df, ["s"], "time", F.col("kind") == "t", F.col("kind") == "a", ["id"])
+    assert rows(found) == rows(make("s int, time timestamp_ntz, kind string, id int", *expected))
+
+
+def test_latest_before_with_all_events_in_one_hour(spark):
+    """One key, one hour: ranges share the events, and carry what earlier ones hold."""
+    second = lambda n: F.timestamp_seconds(1_704_067_200 + n / 20).cast("timestamp_ntz")
+    events = spark.range(60_000).select(F.lit("hot").alias("k"), second(F.col("id")).alias("time")).filter("id % 7 = 0")
+    asked = spark.range(60_000).select("id", F.lit("hot").alias("k"), second(F.col("id") + 0.5).alias("at"))
+    folder = Path(shared_folder(spark)) / "touchline"
+    with intermediate_tables():
+        before = set(folder.glob("*"))
+        found = latest_before(asked, events, "k", "at", "time", "last")
+        wrong = found.filter(~F.col("last").eqNullSafe(second(F.col("id") - F.col("id") % 7)))
+        assert found.count() == 60_000 and wrong.count() == 0
+        (ranged,) = [f for f in folder.glob("*") if f not in before]
+        sizes = [r["count"] for r in spark.read.parquet(str(ranged)).groupBy("__range").count().collect()]
+    assert sum(sizes) == 60_000 + 8_572
+
+
+@pytest.mark.parametrize("name", ["ab_funnel_ilike", "ab_funnel_exclusions", "email_utm_funnel", "partner_semimonth_funnel"])
+def test_distinct_counts_copy_no_rows(spark, name):
+    assert "Expand" not in plan(JOBS[name](spark, ROOT), "simple")
+
+
 def test_left_join_by_bitmaps(spark, make):
     """Many rows of several partitions, of which some have a pair, some several and some none; the pairs are not written."""
     left = spark.range(200_000, numPartitions=5).select("id", (F.col("id") % 1_000).alias("k"))

@@ -10,17 +10,53 @@ from pyspark.sql import functions as F
 
 from touchline.functions.text import is_true
 from touchline.functions.times import day_diff, trunc
+from touchline.session import materialise
 
 
 def funnel_counts(
-    df: DataFrame, keys: Sequence[str], stages: Mapping[str, tuple[str, Column | None]]
+    df: DataFrame,
+    keys: Sequence[str],
+    stages: Mapping[str, tuple[str, Column | None]],
+    sums: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Distinct ids per stage: ``{output: (id column, condition or None)}``."""
-    counts = []
+    """Distinct ids per stage: ``{output: (id column, condition or None)}``; and whole-number ``sums`` over the rows.
+
+    Several distinct counts in one aggregate would copy every row once per column. Here each id column is an aggregate
+    of its own, first by group and id, which sums within the tasks and tells for each id which stages it reached, then
+    by group. Rows without an id leave before that, so a stage that few reach moves few rows. The groups themselves, and
+    the sums, come with the first column. With several id columns ``df`` is written first, with the columns it needs.
+    """
+    sums = dict(sums or {})
+    by_id: dict[str, dict[str, Column]] = {}
     for name, (column, condition) in stages.items():
-        value = F.col(column) if condition is None else F.when(condition, F.col(column))
-        counts.append(F.countDistinct(value).alias(name))
-    return df.groupBy(*keys).agg(*counts) if keys else df.agg(*counts)
+        by_id.setdefault(column, {})[name] = F.lit(True) if condition is None else condition
+    flat = df.select(
+        *keys,
+        *[F.col(c).alias(f"__id_{k}") for k, c in enumerate(by_id)],
+        *[F.col(c).isNotNull() & cond for c, conds in by_id.items() for cond in conds.values()],
+        *sums.values(),
+    ).toDF(*keys, *[f"__id_{k}" for k in range(len(by_id))], *[n for conds in by_id.values() for n in conds], *sums)
+    flat = materialise(flat) if len(by_id) > 1 else flat
+
+    parts = []
+    for k, conditions in enumerate(by_id.values()):
+        column, names = f"__id_{k}", list(conditions)
+        totals = list(sums) if k == 0 else []
+        rows = flat if k == 0 else flat.filter(F.col(column).isNotNull())
+        reached = rows.groupBy(*keys, column).agg(
+            *[F.bool_or(n).alias(n) for n in names], *[F.sum(t).alias(t) for t in totals]
+        )
+        parts.append(
+            reached.groupBy(*keys).agg(*[F.count_if(n).alias(n) for n in names], *[F.sum(t).alias(t) for t in totals])
+        )
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part, allowMissingColumns=True)
+    if len(parts) > 1:
+        # A row per group and id column. Sums come with the first of them alone, so they stay NULL where they are.
+        counts = [F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(n) for n in stages]
+        found = found.groupBy(*keys).agg(*counts, *[F.sum(t).alias(t) for t in sums])
+    return found.select(*keys, *stages, *[F.col(t).cast("bigint").alias(t) for t in sums])
 
 
 def semi_month(day: Column, month: Column) -> Column:

@@ -17,7 +17,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.functions.times import trunc
 from touchline.session import materialise
 
 #: Column that numbers the rows of a left side.
@@ -136,44 +135,34 @@ def latest_before(
 ) -> DataFrame:
     """Add to each row of ``asked`` the latest event time of its key that is not after ``at``.
 
-    Days before are compared by one value per key and day, hours of the same day by one
-    value per key and hour. Within the hour, asked and event times are put in order
-    together. So a key with very many rows on both sides is split by hour, and its rows
-    never meet in pairs.
+    Events and questions are dealt together by ranges of key and time, so a key, a day
+    or an hour with very many of them lies over many ranges. The latest event so far is
+    a running maximum within each range. What earlier ranges of the same key hold is
+    carried in: one value for each key and range, summed up in order. No event meets a
+    question, and none is compared with another of a different range.
     """
     moments = asked.select(F.col(key).alias("__key"), F.col(at).alias("__at")).distinct()
     moments = moments.filter(F.col("__key").isNotNull() & F.col("__at").isNotNull())
     happened = events.select(F.col(key).alias("__key"), F.col(time).alias("__time"))
     happened = join_groups(happened, moments.select("__key").distinct(), ["__key"], "left_semi")
     happened = happened.filter(F.col("__time").isNotNull()).distinct()
-
-    def before(span: str, within: str | None) -> DataFrame:
-        """Latest event of an earlier span, of the same longer span if one is given, for every span asked."""
-        same = ["__key"] if within is None else ["__key", "__within"]
-        outer = F.lit(None) if within is None else trunc(F.col("__time"), within)
-        asked_outer = F.lit(None) if within is None else trunc(F.col("__at"), within)
-        latest = happened.groupBy("__key", outer.alias("__within"), trunc(F.col("__time"), span).alias("__event")).agg(
-            F.max("__time").alias("__time")
-        )
-        spans = moments.select("__key", asked_outer.alias("__within"), trunc(F.col("__at"), span).alias("__span"))
-        pairs = spans.distinct().join(latest if within else latest.drop("__within"), same)
-        earlier = pairs.filter(F.col("__event") < F.col("__span")).groupBy("__key", "__span")
-        return earlier.agg(F.max("__time").alias(f"__{span}_max")).withColumnRenamed("__span", f"__{span}")
-
     asks = moments.select("__key", F.col("__at").alias("__moment"), F.lit(None).cast("timestamp_ntz").alias("__time"))
     both = happened.select("__key", F.col("__time").alias("__moment"), "__time").unionAll(asks)
-    both = both.withColumns({"__day": trunc(F.col("__moment"), "day"), "__hour": trunc(F.col("__moment"), "hour")})
-    # Events sort before questions of the same moment.
-    order = Window.partitionBy("__key", "__hour").orderBy("__moment", F.col("__time").asc_nulls_last())
-    so_far = F.max("__time").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    same_hour = both.withColumn("__same_hour", so_far).filter(F.col("__time").isNull())
-
-    answers = (
-        join_groups(same_hour, before("hour", "day"), ["__key", "__hour"])
-        .transform(lambda df: join_groups(df, before("day", None), ["__key", "__day"]))
-        .select(
-            "__key", F.col("__moment").alias("__at"), F.coalesce("__same_hour", "__hour_max", "__day_max").alias(result)
-        )
+    # Events lie before questions of the same moment.
+    order = ["__moment", F.col("__time").asc_nulls_last()]
+    ranged = both.repartitionByRange("__key", *order).withColumn("__range", F.spark_partition_id())
+    ranged = materialise(ranged)
+
+    # One row for each key, and one more for each range that a key goes on in.
+    ends = ranged.groupBy("__key", "__range").agg(F.max("__time").alias("__end"))
+    earlier = Window.partitionBy("__key").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("__key", "__range", F.max("__end").over(earlier).alias("__carried"))
+    carried = carried.filter(F.col("__carried").isNotNull())
+    within = Window.partitionBy("__key", "__range").orderBy(*order)
+    so_far = F.max("__time").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    questions = ranged.withColumn("__so_far", so_far).filter(F.col("__time").isNull())
+    answers = join_groups(questions, carried, ["__key", "__range"]).select(
+        "__key", F.col("__moment").alias("__at"), F.coalesce("__so_far", "__carried").alias(result)
     )
     on = (asked[key] == answers["__key"]) & (asked[at] == answers["__at"])
     return asked.join(answers, on, "left").drop("__key", "__at")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.text import is_true
-from touchline.operators.joins import join_groups, null_safe_join
+from touchline.operators.joins import join_groups
 
 
 def first_touch(df: DataFrame, keys: Sequence[str], time: str, tie: Sequence[str]) -> DataFrame:
@@ -76,18 +76,43 @@ def prior_touch(
 
 
 def last_page_before(
-    pages: DataFrame, keys: Sequence[str], time: str, target: Column, skip: Column, tie: Sequence[str]
+    pages: DataFrame, keys: Sequence[str], time: str, target: Column, skip: Column, tie: Sequence[str],
+    bucket: Column | None = None,
 ) -> DataFrame:
     """Per session, the latest page not later than the session's last target page.
 
-    ``target`` marks target pages, ``skip`` the pages that may not be returned.
-    """
-    last = pages.groupBy(*keys).agg(F.max(F.when(target, F.col(time))).alias("__target"))
-    last = last.filter(F.col("__target").isNotNull())
-    before = null_safe_join(pages.filter(~skip), last, keys).filter(F.col(time) <= F.col("__target"))
-    order = [F.col(time).desc_nulls_first(), *[F.col(c).asc_nulls_last() for c in tie]]
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return before.withColumn("__rank", rank).filter("__rank = 1").drop("__rank", "__target")
+    ``target`` marks target pages, ``skip`` the pages that may not be returned; pages
+    without a time take no part. ``bucket`` cuts a session into spans that follow each
+    other, hours if not given, so that a session of very many pages is not one task's.
+    A span is folded to three rows at most, and the session then is folded the same way
+    from those of its spans. Pages are read and dealt once.
+    """
+    rows = pages.withColumns(
+        {
+            "__target": F.coalesce(target, F.lit(False)),
+            "__open": F.coalesce(~skip, F.lit(False)),
+            "__span": F.date_trunc("hour", F.col(time)) if bucket is None else bucket,
+        }
+    )
+    rows = _last_pages(rows.filter(F.col(time).isNotNull()), [*keys, "__span"], time, tie)
+    rows = rows.filter("__is_target OR __is_last OR __is_answer").drop("__is_target", "__is_last", "__is_answer")
+    return _last_pages(rows, keys, time, tie).filter("__is_answer").select(*pages.columns)
+
+
+def _last_pages(rows: DataFrame, keys: Sequence[str], time: str, tie: Sequence[str]) -> DataFrame:
+    """Marks, per group, its last target, its last open page, and its last open page not later than that target."""
+    group = Window.partitionBy(*keys)
+    latest = group.orderBy(F.col(time).desc(), *[F.col(c).asc_nulls_last() for c in tie])
+    so_far = latest.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Pages of the same moment as the target are not later than it.
+    seen = F.max("__target").over(group.orderBy(F.col(time).desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("__eligible", seen & F.col("__open"))
+
+    def first(flag: str) -> Column:
+        return F.col(flag) & (F.count_if(F.col(flag)).over(so_far) == 1)
+
+    marks = {"__is_target": first("__target"), "__is_last": first("__open"), "__is_answer": first("__eligible")}
+    return rows.withColumns(marks).drop("__eligible")
 
 
 def session_flags(df: DataFrame, keys: Sequence[Column], flags: Mapping[str, Column]) -> DataFrame:

@@ -7,8 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame
 
-from touchline.plans import ads, attribution, blocks, email, experiments, leads, referrals, traffic
-from touchline.session import intermediate_tables
+from touchline.plans import ads, attribution, blocks, email, experiments, leads, referrals, sinks, traffic
 
 JOBS: dict[str, Callable[..., DataFrame]] = {
     "channel_uniques": traffic.channel_uniques,
@@ -51,6 +50,7 @@ JOBS: dict[str, Callable[..., DataFrame]] = {
     "nurtured_lead_events": leads.nurtured_lead_events,
     "score_at_assignment": leads.score_at_assignment,
     "account_group_map": leads.account_group_map,
+    "account_group_view": sinks.account_group_view,
     "lead_definition_audit": leads.lead_definition_audit,
     "paid_ads_daily": ads.paid_ads_daily,
     "referral_page_conversions": referrals.referral_page_conversions,
@@ -90,9 +90,8 @@ def create_views(tables: Mapping[str, DataFrame], names: Iterable[str], prefix:
 
 
 def write_report(
-    tables: Mapping[str, DataFrame], name: str, path: str, partition_by: str | None = None, **options
+    tables: Mapping[str, DataFrame], name: str, path: str, partition_by: str | None = None,
+    covers: Iterable[str | None] | None = None, **options,
 ) -> None:
-    """Write a report as parquet; ``options`` are its parameters. Its intermediate tables go when it is done."""
-    with intermediate_tables():
-        writer = JOBS[name](tables, **options).write.mode("overwrite")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    """Write a report as parquet, whole or by partitions; see ``sinks``."""
+    sinks.write_report(tables, JOBS[name], path, partition_by, covers, **options)

@@ -20,6 +20,7 @@ from touchline.operators.audience import (
 from touchline.operators.funnel import funnel_counts
 from touchline.operators.identity import distinct_values, fold_case, keyed, pattern_pairs, to_patterns
 from touchline.operators.joins import join_groups, split_left_join
+from touchline.session import materialise
 
 Tables = Mapping[str, DataFrame]
 
@@ -207,7 +208,7 @@ def email_utm_funnel(
         .select("user_id")
         .distinct()
     )
-    users = tables["web_users"].join(visitors, "user_id", "left_semi")
+    users = materialise(tables["web_users"].join(visitors, "user_id", "left_semi").select("_email"))
     leads = tables["lead_data"].select("id", "email", "opp_id")
     wanted = keyed(users, [], [("email", "_email")]).distinct()
     addresses = keyed(leads, ["id", "opp_id"], [("email", "email")])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from touchline.functions.text import all_of, external
 from touchline.functions.times import local_since, to_pacific, to_utc, trunc, ts
 from touchline.operators.experiment import several_variants, single_device, single_variant
-from touchline.operators.funnel import LeadDefinition
+from touchline.operators.funnel import LeadDefinition, funnel_counts
 from touchline.operators.joins import join_groups, least_row, null_safe_join, numbered, star_left_join
 from touchline.operators.identity import (
     Key,
@@ -238,6 +238,7 @@ def ab_exposure_attribution(
 # --- funnel by variation and device ---------------------------------------------------
 
 _KINDS = ("key_kind", "key")
+_DISTINCT = {"viewers": ("user_id", None), "dropouts": ("first_dropout_id", None), "leads": ("first_lead_id", None)}
 
 
 def _known_leads(tables: Tables, start: str) -> DataFrame:
@@ -400,15 +401,17 @@ def ab_funnel_ilike(
         .join(by_dropout, "user_id", "left")
     )
     return (
-        rows.groupBy("variation_id", "device")
-        .agg(
-            F.countDistinct("first_dropout_id").alias("dropouts"),
-            F.countDistinct("user_id").alias("viewers"),
-            F.countDistinct("first_lead_id").alias("leads"),
-            F.sum(F.coalesce("trial", F.lit(0))).cast("bigint").alias("trials"),
-            F.sum(F.when(F.col("won_mrr").isNotNull(), 1).otherwise(0)).cast("bigint").alias("clients"),
-            F.sum("demo").cast("bigint").alias("demos"),
+        funnel_counts(
+            rows,
+            ["variation_id", "device"],
+            _DISTINCT,
+            {
+                "trials": F.coalesce("trial", F.lit(0)),
+                "clients": F.when(F.col("won_mrr").isNotNull(), 1).otherwise(0),
+                "demos": F.col("demo"),
+            },
         )
+        .select("variation_id", "device", "dropouts", "viewers", "leads", "trials", "clients", "demos")
         .orderBy(F.col("variation_id").asc_nulls_last(), F.col("device").asc_nulls_last())
     )
 
@@ -551,13 +554,15 @@ def ab_funnel_exclusions(
         )
         rows = rows.join(inflation, ["user_id", "variation_id"], "left")
     return (
-        rows.groupBy("variation_id", "device")
-        .agg(
-            F.countDistinct("first_dropout_id").alias("dropouts"),
-            F.countDistinct("user_id").alias("viewers"),
-            F.countDistinct("first_lead_id").alias("leads"),
-            F.sum(F.when(F.col("trial") == 1, F.col("rows")).otherwise(0)).cast("bigint").alias("trials"),
-            F.sum(F.when(F.col("won_mrr").isNotNull(), F.col("rows")).otherwise(0)).cast("bigint").alias("clients"),
+        funnel_counts(
+            rows,
+            ["variation_id", "device"],
+            _DISTINCT,
+            {
+                "trials": F.when(F.col("trial") == 1, F.col("rows")).otherwise(0),
+                "clients": F.when(F.col("won_mrr").isNotNull(), F.col("rows")).otherwise(0),
+            },
         )
+        .select("variation_id", "device", "dropouts", "viewers", "leads", "trials", "clients")
         .orderBy(F.col("variation_id").asc_nulls_last(), F.col("device").asc_nulls_last())
     )

@@ -89,6 +89,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or spark.conf.get("spark.sql.warehouse.dir")
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Count a folder among the intermediate tables."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    # Taken now, since the files may have to go after the session has ended.
+    _written[path] = (target.getFileSystem(spark._jsc.hadoopConfiguration()), target)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a result that several later steps read, and continue from the written table.
 
@@ -99,9 +106,7 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/touchline/{uuid.uuid4().hex}"
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    # Taken now, since the files may have to go after the session has ended.
-    _written[path] = (target.getFileSystem(spark._jsc.hadoopConfiguration()), target)
+    delete_at_end(spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
