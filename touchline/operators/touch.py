@@ -89,30 +89,25 @@ def last_page_before(
     """
     rows = pages.withColumns(
         {
-            "__target": F.coalesce(target, F.lit(False)),
-            "__open": F.coalesce(~skip, F.lit(False)),
+            "__target": F.when(target, F.col(time)),
+            "__open": F.when(~skip, F.col(time)),
             "__span": F.date_trunc("hour", F.col(time)) if bucket is None else bucket,
         }
     )
-    rows = _last_pages(rows.filter(F.col(time).isNotNull()), [*keys, "__span"], time, tie)
-    rows = rows.filter("__is_target OR __is_last OR __is_answer").drop("__is_target", "__is_last", "__is_answer")
-    return _last_pages(rows, keys, time, tie).filter("__is_answer").select(*pages.columns)
+    # Pages without a time are neither.
+    rows = rows.filter(F.coalesce("__target", "__open").isNotNull())
+    in_span = _fold(rows, [*keys, "__span"])
+    folded = in_span.filter("__target = __end OR __open = __last OR __open = __answer").drop("__end", "__last", "__answer")
+    found = _fold(folded, keys).filter("__open = __answer")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in tie]))
+    return found.withColumn("__rank", rank).filter("__rank = 1").select(*pages.columns)
 
 
-def _last_pages(rows: DataFrame, keys: Sequence[str], time: str, tie: Sequence[str]) -> DataFrame:
-    """Marks, per group, its last target, its last open page, and its last open page not later than that target."""
+def _fold(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per group, the times of its last target, its last open page, and its last open page not later than that target."""
     group = Window.partitionBy(*keys)
-    latest = group.orderBy(F.col(time).desc(), *[F.col(c).asc_nulls_last() for c in tie])
-    so_far = latest.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # Pages of the same moment as the target are not later than it.
-    seen = F.max("__target").over(group.orderBy(F.col(time).desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("__eligible", seen & F.col("__open"))
-
-    def first(flag: str) -> Column:
-        return F.col(flag) & (F.count_if(F.col(flag)).over(so_far) == 1)
-
-    marks = {"__is_target": first("__target"), "__is_last": first("__open"), "__is_answer": first("__eligible")}
-    return rows.withColumns(marks).drop("__eligible")
+    ends = rows.withColumns({"__end": F.max("__target").over(group), "__last": F.max("__open").over(group)})
+    return ends.withColumn("__answer", F.max(F.when(F.col("__open") <= F.col("__end"), F.col("__open"))).over(group))
 
 
 def session_flags(df: DataFrame, keys: Sequence[Column], flags: Mapping[str, Column]) -> DataFrame:
