@@ -22,9 +22,14 @@ from pyspark.sql.window import Window
 
 from touchline.llm.common import crc_rest, python_workers, table
 
-#: The sample of one language: at most this many labelled rows, each of at most this many characters.
+#: The sample of one language: at most this many labelled rows, each with at most this many characters, which begin
+#: where the row's hash says; and at most this many languages, those with the most rows.
 SAMPLE_ROWS = 60
 SAMPLE_ROW_CHARS = 2_000
+SAMPLE_LANGUAGES = 500
+#: In the stage, a text of this many letters or more goes if the phrases of its best language have fewer on average.
+LEAST_LETTERS = 50
+LEAST_PHRASE = 1.5
 #: Words whose phrase counts a worker remembers.
 KNOWN_WORDS = 400_000
 
@@ -131,8 +136,9 @@ class Parser:
             self.costs[at, -1] = len(word)
         return at
 
-    def judge(self, text: str | None) -> tuple[str, float]:
-        """The language, and by how much its entropy is below the second best, from 0 to 1."""
+    def judge(self, text: str | None) -> tuple[str, float, float, int]:
+        """The language, by how much its entropy is below the second best, from 0 to 1, the letters of a phrase on
+        average, and the letters in all."""
         found = words(text or "")
         if len(self.places) > KNOWN_WORDS:
             self._forget()
@@ -142,39 +148,44 @@ class Parser:
             at = [place(w) if (k := known(w)) is None else k for w in found]
         sums = self.costs[at].sum(0) if at else self.costs[0] * 0
         if not sums[-1] or not self.names:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0.0, int(sums[-1])
         entropy = sums[:-1] * self.bits / sums[-1]
         order = np.argsort(entropy, kind="stable")
+        phrase = float(sums[-1] / max(1, sums[order[0]]))
         if len(order) == 1:
-            return self.names[0], 1.0
+            return self.names[0], 1.0, phrase, int(sums[-1])
         best, second = entropy[order[0]], entropy[order[1]]
-        return self.names[order[0]], float(1 - best / second) if second > 0 else 0.0
+        return self.names[order[0]], float(1 - best / second) if second > 0 else 0.0, phrase, int(sums[-1])
 
 
 _parsers: dict[str, Parser] = {}
 
 
 def sample(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, list[str]]:
-    """Per language, ``SAMPLE_ROWS`` rows drawn by hash; rows that fit ``SAMPLE_ROW_CHARS`` come first.
+    """Per language, ``SAMPLE_ROWS`` rows drawn by hash, of a long row a stretch from anywhere in it, also by hash.
 
     The rows of each language are counted, then a share of them is drawn that holds ten times the rows needed, so
-    what is shuffled and sent to the driver is bounded by the number of languages. Only where too few short rows are
-    drawn does the sample hold the beginnings of long ones.
+    what is shuffled and sent to the driver is bounded by the number of languages, and that by ``SAMPLE_LANGUAGES``.
     """
     named = labelled.where(F.col(lang).isNotNull()).withColumn("sample_lang", F.col(lang).cast("string"))
-    counts = {r[0]: r[1] for r in named.groupBy("sample_lang").count().collect()}
+    largest = named.groupBy("sample_lang").count().orderBy(F.desc("count"), "sample_lang").limit(SAMPLE_LANGUAGES)
+    counts = {r[0]: r[1] for r in largest.collect()}
     if not counts:
         return {}
     share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, 10 * SAMPLE_ROWS / n))])
     h = F.xxhash64(F.col(key).cast("string"), F.length(text))
+    begin = F.pmod(F.xxhash64(h), F.greatest(F.length(text) - SAMPLE_ROW_CHARS, F.lit(0)) + 1).cast("int")
+    # A stretch that begins or ends within a word leaves that word out.
+    stretch = F.substring(F.col(text), begin + 1, F.lit(SAMPLE_ROW_CHARS))
+    stretch = F.when(begin > 0, F.regexp_replace(stretch, r"^\S+\s", "")).otherwise(stretch)
+    cut = begin + SAMPLE_ROW_CHARS < F.length(text)
     drawn = named.where(F.pmod(h, F.lit(1 << 40)) < share[F.col("sample_lang")] * (1 << 40)).select(
         F.col("sample_lang").alias("lang"),
-        F.substring(F.col(text), 1, SAMPLE_ROW_CHARS).alias("text"),
-        (F.length(text) > SAMPLE_ROW_CHARS).alias("long"),
+        F.when(cut, F.regexp_replace(stretch, r"\s\S+$", "")).otherwise(stretch).alias("text"),
         h.alias("h"),
     )
     usable = drawn.where(F.col("text").rlike(r"\p{L}"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", "h", "text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     out: dict[str, list[str]] = {}
     for row in usable.withColumn("k", rank).where(F.col("k") <= SAMPLE_ROWS).collect():
         out.setdefault(row["lang"], []).append(row["text"])
@@ -182,9 +193,10 @@ def sample(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
 
 
 def identify(docs: DataFrame, samples: dict[str, list[str]], text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of ``carry``, ``lang_pred`` and ``score``.
+    """The columns of ``carry``, ``lang_pred``, ``score``, ``phrase`` (letters of one, on average) and ``letters``.
 
-    A text that is null or has no letter gives ``und`` and 0, as does any text without a sample. Ties go to the first
+    A text that is null or has no letter gives ``und`` and 0, as does any text without a sample. Texts of any length are
+    parsed whole; repeated rows have a result each; only ``carry`` of the other columns is read. Ties go to the first
     language by name. The samples are bounded, so is what is broadcast; each worker builds the automata once.
     """
     spark = docs.sparkSession
@@ -201,13 +213,16 @@ def identify(docs: DataFrame, samples: dict[str, list[str]], text: str = "text",
             results = [parser.judge(t) for t in batch.column("judged_text").to_pylist()]
             columns = [c for name, c in zip(batch.schema.names, batch.columns, strict=True) if name != "judged_text"]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array([r[0] for r in results], pa.string()), pa.array([r[1] for r in results], pa.float64())],
-                names=[*[n for n in batch.schema.names if n != "judged_text"], "lang_pred", "score"],
+                [
+                    *columns,
+                    *[pa.array([r[k] for r in results], t) for k, t in enumerate((pa.string(), pa.float64(), pa.float64(), pa.int64()))],
+                ],
+                names=[*[n for n in batch.schema.names if n != "judged_text"], "lang_pred", "score", "phrase", "letters"],
             )
 
     given = docs.select(*carry, F.col(text).alias("judged_text"))
     kept = given.drop("judged_text").schema
-    return given.mapInArrow(judged, kept.add("lang_pred", "string").add("score", "double"))
+    return given.mapInArrow(judged, kept.add("lang_pred", "string").add("score", "double").add("phrase", "double").add("letters", "long"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,11 +234,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose text has a language, with all their columns; texts without a letter go.
+    """The documents whose text is in one of the languages, with all their columns.
 
-    The language is learned from ``lang`` of the documents themselves, under the same folds as the query.
+    Texts without a letter go, and texts of ``LEAST_LETTERS`` or more whose best language needs a phrase for every
+    ``LEAST_PHRASE`` letters: letters without a language. The languages are learned from ``lang`` of the documents
+    themselves, under the same folds as the query; where no document tells one, only texts without a letter go.
     """
     samples = sample(docs.where(crc_rest(F.col("doc_id"), 4) != 2))
     packed = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
     judged = identify(packed, samples, carry=("row",))
-    return judged.where(F.col("lang_pred") != UNKNOWN).select("row.*")
+    unlike = (F.col("lang_pred") != UNKNOWN) & (F.col("letters") >= LEAST_LETTERS) & (F.col("phrase") < LEAST_PHRASE)
+    return judged.where((F.col("letters") > 0) & ~unlike).select("row.*")

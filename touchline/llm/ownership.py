@@ -2,7 +2,8 @@
 
 Each document is searched for key assignments, access keys, long hexadecimal runs and other long mixed tokens. The
 hash of every candidate value is counted over the whole corpus: how many distinct repositories and owners hold it.
-A value that many owners hold is a copied example; a value of one owner that looks random is a live-looking credential.
+A value that many owners hold is a copied example; a value that looks random and that few owners, repositories and
+places hold is a live-looking credential.
 
 Everything is built from DataFrame functions. Texts are scanned once; what is shuffled are the candidates, as hashes.
 """
@@ -27,12 +28,15 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
 
-#: A value that this many owners hold is a copied example.
+#: A value that this many owners hold is a copied example. One that fewer hold, but so many repositories or places, is
+#: shared; so a copy or two of a document leave its secret one of its own.
 COPIED_OWNERS = 3
+SHARED_REPOS = 5
+SHARED_PLACES = 20
 #: A live-looking value has at least this many different characters.
 LIVE_CHARACTERS = 8
 
-_SPAN = "struct<rank:int,first:int,end:int,hash:string,lively:boolean>"
+_SPAN = "struct<rank:int,first:int,end:int,hash:string,lively:boolean,mixed:boolean>"
 
 
 def _matches(text: Column, pattern: str, rank: int, group: int, least: int) -> Column:
@@ -54,6 +58,7 @@ def _matches(text: Column, pattern: str, rank: int, group: int, least: int) -> C
                 end.alias("end"),
                 F.sha2(value, 256).alias("hash"),
                 (F.size(F.array_distinct(F.split(value, ""))) > LIVE_CHARACTERS - 1).alias("lively"),
+                (value.rlike("[A-Za-z]") & value.rlike("[0-9]")).alias("mixed"),
             ).cast(_SPAN)
             grown = F.when(F.length(value) >= least, F.array_append(state["out"], span)).otherwise(state["out"])
             return F.struct(end.alias("at"), grown.alias("out"))
@@ -75,18 +80,8 @@ def _matches(text: Column, pattern: str, rank: int, group: int, least: int) -> C
 
 def _owned(text: Column, base: Column) -> Column:
     """Long runs with letters and digits that no base span covers."""
-    runs = _matches(text, RUN, 3, 0, 20)
-    outside = F.filter(
-        runs, lambda r: ~F.exists(base, lambda b: (b["first"] <= r["first"]) & (r["end"] <= b["end"]))
-    )
-    mixed = r"[A-Za-z0-9+/_=-]*([A-Za-z][+/_=-]*[0-9]|[0-9][+/_=-]*[A-Za-z])"
-    return F.when(
-        text.rlike(RUN),
-        F.filter(
-            outside,
-            lambda r: F.substring(text, r["first"] + 1, r["end"] - r["first"]).rlike(mixed),
-        ),
-    ).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    runs = F.filter(_matches(text, RUN, 3, 0, 20), lambda r: r["mixed"])
+    return F.filter(runs, lambda r: ~F.exists(base, lambda b: (b["first"] <= r["first"]) & (r["end"] <= b["end"])))
 
 
 def scan(docs: DataFrame, text: str = "text", owner: str = "source", repo: str = "lang", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -129,12 +124,12 @@ def ownership(scanned: DataFrame) -> DataFrame:
 def judge(scanned: DataFrame, owned: DataFrame) -> DataFrame:
     """Each scanned row with ``spans``: its spans by start and kind, with ``owners``, ``repos`` and ``verdict`` of the value.
 
-    The verdict is live (one owner, looks random), copied (``COPIED_OWNERS`` or more) or shared. Spans of the last kind
-    stay only if live. A row without candidates takes part under a key of its own, so that such rows meet nowhere.
+    The verdict is copied (``COPIED_OWNERS`` or more), live (looks random, and neither many repositories nor many places
+    hold it) or shared. Spans of the last kind stay only if live. Each repeated row counts as a place. A row without candidates takes part under a key of its own, so that such rows meet nowhere.
     """
     numbered = scanned.withColumn("row", F.monotonically_increasing_id())
     none = F.array(F.struct(F.lit(-1).alias("rank"), F.lit(0).alias("first"), F.lit(0).alias("end"),
-                            F.concat(F.lit("-"), F.col("row").cast("string")).alias("hash"), F.lit(False).alias("lively")))
+                            F.concat(F.lit("-"), F.col("row").cast("string")).alias("hash"), F.lit(False).alias("lively"), F.lit(False).alias("mixed")))
     every = F.concat("base", "extra")
     # What the row carries travels with its first candidate only.
     spread = numbered.select(
@@ -142,7 +137,8 @@ def judge(scanned: DataFrame, owned: DataFrame) -> DataFrame:
     ).select("row", F.when(F.col("place") == 0, F.col("carried")).alias("carried"), "s.*")
     verdict = (
         F.when(F.col("owners") >= COPIED_OWNERS, "copied")
-        .when((F.col("owners") == 1) & F.col("lively"), "live")
+        .when((F.col("repos") >= SHARED_REPOS) | (F.col("places") >= SHARED_PLACES), "shared")
+        .when(F.col("lively"), "live")
         .otherwise("shared")
     )
     known = spread.join(owned, "hash", "left").withColumn("verdict", verdict)
@@ -173,7 +169,9 @@ def _count(spans: Column, field: str, value: int | str) -> Column:
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's spans, with the verdicts on their values over the whole corpus."""
     scanned = materialise(scan(table(spark, sf_dir, "documents")))
-    judged = judge(scanned, ownership(scanned)).select(F.col("carried.doc_id").alias("doc_id"), "spans")
+    # Written, so that the join deals both sides itself and can split the candidates of one value.
+    owned = materialise(ownership(scanned))
+    judged = judge(scanned, owned).select(F.col("carried.doc_id").alias("doc_id"), "spans")
     base = F.filter("spans", lambda s: s["rank"] < 3)
     return judged.select(
         "doc_id",
@@ -254,11 +252,12 @@ with docs as materialized (
   where regexp_matches(v, '[A-Za-z][+/_=-]*[0-9]|[0-9][+/_=-]*[A-Za-z]')
     and not exists (from base b where b.r = runs.r and b.first <= runs.first and runs.stop <= b.stop)
 ), owned as (
-  select v, count(distinct owner) as owners, count(distinct (owner, repo)) as repos from spans join docs using (r) group by v
+  select v, count(distinct owner) as owners, count(distinct (owner, repo)) as repos, count(*) as places from spans join docs using (r) group by v
 ), judged as (
   select r, rank, first, stop, owners, repos,
          case when owners >= {COPIED_OWNERS} then 'copied'
-              when owners = 1 and len(list_distinct(string_split(v, ''))) >= {LIVE_CHARACTERS} then 'live'
+              when repos >= {SHARED_REPOS} or places >= {SHARED_PLACES} then 'shared'
+              when len(list_distinct(string_split(v, ''))) >= {LIVE_CHARACTERS} then 'live'
               else 'shared' end as verdict,
          ['assign', 'access', 'hex', 'owned'][rank + 1] || ':' || first || ':' || stop as said
   from spans join owned using (v)
