@@ -104,7 +104,8 @@ def manifest(rows: DataFrame) -> Manifest:
     and of their digests; repeated rows are leaves each. No name may be ``rank``.
     """
     named = rows.withColumn("tree", F.when(F.col("tree").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), "tree")))
-    leaves = ranked(named, ["tree"], ["key", "leaf"])
+    # Written first: dealing by ranges reads its input twice, and texts should be hashed once.
+    leaves = ranked(materialise(named), ["tree"], ["key", "leaf"])
     sizes = materialise(leaves.groupBy("tree").agg(F.count("*").alias("n")))
     n_trees, most = sizes.agg(F.count("*"), F.max("n")).first()
     if not n_trees:
