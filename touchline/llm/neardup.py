@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from touchline.llm.common import python_workers, table
 from touchline.llm.graph import components
 from touchline.llm.shingles import shingle_set, split
-from touchline.session import materialise
+from touchline.session import distilled, materialise
 
 #: Similarity: at least this many hundredths of the union are shared. The contract of the query op 8 sets its own limit.
 SHARED = 80
@@ -76,7 +76,7 @@ def half_keys(sets: list[np.ndarray], n_halves: int) -> np.ndarray:
     return keys.T
 
 
-def _signed(batches: Iterator[pa.RecordBatch], n_halves: int) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch], n_halves: int, carry: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words = [split(t) for t in batch.column("text").to_pylist()]
         sets = [shingle_set(w) for w in words]
@@ -90,11 +90,13 @@ def _signed(batches: Iterator[pa.RecordBatch], n_halves: int) -> Iterator[pa.Rec
             [
                 batch.column("doc_id"),
                 batch.column("row"),
+                pa.array([len(w) for w in words], pa.int64()),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array(same, pa.binary()),
                 pa.array(halves, pa.list_(pa.int64())),
+                *[batch.column(c) for c in carry],
             ],
-            names=["doc_id", "row", "n_shingles", "same", "halves"],
+            names=["doc_id", "row", "n_words", "n_shingles", "same", "halves", *carry],
         )
 
 
@@ -167,16 +169,23 @@ def _compared(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Reco
     yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in links(group)], names=["a", "b"])
 
 
-def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id", shared: int = SHARED) -> DataFrame:
-    """Per row: ``doc_id``, ``row`` (hash of key and text), ``n_shingles``, ``same`` (128 bits of the words), ``halves``."""
+def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id", shared: int = SHARED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: ``doc_id``, ``row`` (hash of key and text), ``n_words``, ``n_shingles``, ``same`` (128 bits of the words),
+    ``halves``, and the columns of ``carry`` as text."""
     python_workers(docs.sparkSession)
     n_halves = halves_for(shared)
     rows = docs.select(
-        F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text")
+        F.col(key).cast("long").alias("doc_id"),
+        F.xxhash64(F.col(key), F.col(text)).alias("row"),
+        F.col(text).alias("text"),
+        *[F.col(c).cast("string").alias(f"carried_{c}") for c in carry],
     )
+    names = tuple(f"carried_{c}" for c in carry)
+    kinds = "".join(f", {n} string" for n in names)
     return rows.mapInArrow(
-        lambda batches: _signed(batches, n_halves), "doc_id long, row long, n_shingles long, same binary, halves array<bigint>"
-    )
+        lambda batches: _signed(batches, n_halves, names),
+        "doc_id long, row long, n_words long, n_shingles long, same binary, halves array<bigint>" + kinds,
+    ).withColumnsRenamed(dict(zip(names, carry, strict=True)))
 
 
 def meetings(classes: DataFrame, n_halves: int) -> DataFrame:
@@ -184,11 +193,14 @@ def meetings(classes: DataFrame, n_halves: int) -> DataFrame:
 
     Classes that share no half of the first collection share no key; they drop out before the keys are spelt out.
     """
-    halves = classes.select("same", F.posexplode(F.slice("halves", 1, n_halves)).alias("i", "u"), F.slice("halves", n_halves + 1, n_halves).alias("vs"))
+    halves = classes.select("same", F.posexplode(F.slice("halves", 1, n_halves)).alias("i", "u"))
     # What is joined with a table that was grouped by the same key is written first: only where both sides have a
     # shuffle of their own can adaptive execution split a hot key.
     busy = materialise(halves.groupBy("i", "u").agg(F.count("*").alias("n")).where("n > 1").select("i", "u"))
-    keyed = halves.join(busy, ["i", "u"], "left_semi").select(
+    # Halves of the second collection come to those that are left only.
+    left = halves.join(busy, ["i", "u"], "left_semi")
+    others = classes.select("same", F.slice("halves", n_halves + 1, n_halves).alias("vs"))
+    keyed = left.join(others, "same").select(
         "same", F.explode(F.transform("vs", lambda v, j: F.xxhash64("i", "u", j, v))).alias("key")
     )
     keyed = materialise(keyed)
@@ -221,7 +233,8 @@ def near_links(docs: DataFrame, signed: DataFrame, text: str = "text", key: str
         .agg(F.min("row").alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("halves").alias("halves"))
     )
     met = materialise(meetings(classes, halves_for(shared)))
-    rows = classes.join(met.select("same").distinct(), "same", "left_semi").select("row")
+    # Written, so that its size is known: where it is small, texts are looked up as they are read, not shuffled.
+    rows = materialise(classes.join(met.select("same").distinct(), "same", "left_semi").select("row"))
     texts = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text"))
     sets = (
         texts.join(rows, "row", "left_semi")
@@ -235,19 +248,21 @@ def near_links(docs: DataFrame, signed: DataFrame, text: str = "text", key: str
     return dealt.mapInArrow(lambda batches: _compared(batches, shared), "a binary, b binary")
 
 
-def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", shared: int = SHARED) -> DataFrame:
-    """Rows with words, each with ``doc_id``, ``row``, ``n_shingles``, ``root`` (128 bits that name its component) and
-    ``component_id``; rows without words have no root and are their own component."""
-    signed = materialise(signatures(docs, text, key, shared))
-    links = materialise(near_links(docs, signed, text, key, shared))
-    rooted = components(links).select(F.col("node").alias("same"), "root")
+def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", shared: int = SHARED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row ``doc_id``, ``row``, ``n_words``, ``n_shingles``, ``root`` (128 bits that name its component),
+    ``component_id`` and the columns of ``carry`` as text; rows without words have no root and are their own component."""
+    signed = materialise(signatures(docs, text, key, shared, carry))
+    # What the links are found with is deleted as soon as they are, and so is what joins them.
+    links = distilled(lambda: near_links(docs, signed, text, key, shared))
+    rooted = distilled(lambda: components(links).select(F.col("node").alias("same"), "root"))
     ids = signed.where("n_shingles > 0").groupBy("same").agg(F.min("doc_id").alias("least"))
     placed = materialise(ids.join(rooted, "same", "left").select("same", "least", F.coalesce("root", "same").alias("root")))
     ends = materialise(placed.groupBy("root").agg(F.min("least").alias("component_id")))
     found = placed.join(ends, "root").select("same", "root", "component_id")
-    some = signed.where("n_shingles > 0").select("doc_id", "row", "n_shingles", "same").join(found, "same", "left")
+    own = ["doc_id", "row", "n_words", "n_shingles", *carry]
+    some = signed.where("n_shingles > 0").select(*own, "same").join(found, "same", "left")
     none = signed.where("n_shingles = 0").select(
-        "doc_id", "row", "n_shingles", F.lit(None).cast("binary").alias("root"), F.col("doc_id").alias("component_id")
+        *own, F.lit(None).cast("binary").alias("root"), F.col("doc_id").alias("component_id")
     )
     return some.drop("same").unionByName(none)
 

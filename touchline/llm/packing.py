@@ -1,9 +1,10 @@
 """Best-fit packing of documents into training sequences, with conflicts.
 
 A sequence (bin) holds ``CAPACITY`` words. It never holds two pieces of one source, nor two of one cluster of
-duplicates. Documents longer than a bin are cut into pieces. The pieces are dealt evenly into shards of bounded size;
-each shard is packed on its own, largest piece first: its bins are ordered by what is left in them and carry bitmaps
-of their sources and clusters. The search begins at the bin that the piece would fill best and goes on to the next
+duplicates. Documents longer than a bin are cut into pieces. The pieces are put in order by a hash of key and text and
+dealt in turn into shards of bounded size, so that neither the layout of the files nor copies of one row decide where
+one goes. Each shard is packed on its own, largest piece first: its bins are ordered by what is left in them and carry
+bitmaps of their sources and clusters. The search begins at the bin that the piece would fill best and goes on to the next
 larger rest until a bin has neither the source nor the cluster; if there is none, a bin is opened.
 """
 
@@ -12,12 +13,12 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm import neardup
 from touchline.llm.common import python_workers, table, word_list
-from touchline.session import materialise
+from touchline.llm.ranks import ranked
 
 #: Words of a sequence.
 CAPACITY = 2_048
@@ -56,7 +57,7 @@ def _bits(values: pd.Series) -> list[int]:
 
 def _packed(capacity: int):
     def pack(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values(["n_words", "row", "piece"], ascending=[False, True, True], kind="stable")
+        shard = shard.sort_values(["n_words", "rank"], ascending=[False, True], kind="stable")
         bins = best_fit(shard["n_words"].tolist(), _bits(shard["source"]), _bits(shard["cluster"]), capacity)
         shard["bin_id"] = shard["shard"].astype("int64") * (1 << 32) + pd.Series(bins, shard.index, dtype="int64")
         by_bin = shard.groupby("bin_id")
@@ -67,67 +68,58 @@ def _packed(capacity: int):
     return pack
 
 
-def pieces(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", cluster: Column | None = None, capacity: int = CAPACITY, roots: DataFrame | None = None) -> DataFrame:
-    """The pieces of every document. The cluster is the column given, else the word sequence with A to Z in lower case.
+def sizes(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
+    """``doc_id``, ``row`` (hash of key and text), ``source`` and ``n_words`` of every row, without clusters."""
+    return docs.select(
+        F.col(key).cast("long").alias("doc_id"),
+        F.xxhash64(F.col(key), F.col(text)).alias("row"),
+        F.col(source).cast("string").alias("source"),
+        F.size(word_list(F.col(text))).cast("long").alias("n_words"),
+        F.lit(None).cast("string").alias("cluster"),
+    )
+
+
+def near_sizes(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
+    """The same, with the component of near duplicates as the cluster of every row with words; texts are split once."""
+    found = neardup.grouped(docs, text, key, neardup.SHARED, (source,))
+    return found.select("doc_id", "row", F.col(source).alias("source"), "n_words", F.hex("root").alias("cluster"))
+
 
-    ``roots`` holds clusters of rows: ``hash`` of key and text, once each, and ``root``. It comes before the others.
+def pieces(sized: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """The pieces of every row of ``sizes`` or ``near_sizes``.
 
-    A null or empty text is one piece of no words. Null sources are one source. Repeated rows are documents each.
+    A null or empty text is one piece of no words, which conflicts with pieces of its source only. Null sources are one
+    source. A text of any length is cut into as many pieces as it fills. Repeated rows are documents each. Other columns
+    take no part.
     """
-    lowered = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = docs.select(
-        F.col(key).cast("long").alias("doc_id"),
-        F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"),
-        (F.lit(None) if cluster is None else cluster).cast("string").alias("given"),
-        word_list(lowered).alias("words"),
-        F.xxhash64(F.col(key), F.col(text)).alias("hash"),
-    )
-    sized = words.select(
-        "doc_id",
-        "source",
-        F.coalesce("given", F.md5(F.array_join("words", " ").cast("binary"))).alias("cluster"),
-        F.size("words").cast("long").alias("size"),
-        F.monotonically_increasing_id().alias("row"),
-        "hash",
-    )
-    if roots is not None:
-        # Sizes are dealt by the hash, not texts. They are written first, since the row's number may not change.
-        sized = materialise(sized).join(roots.hint("shuffle_merge"), "hash", "left")
-        sized = sized.withColumn("cluster", F.coalesce(F.hex("root"), "cluster"))
-    last = F.greatest(F.ceil(F.col("size") / capacity), F.lit(1)).cast("int") - 1
+    last = F.greatest(F.ceil(F.col("n_words") / capacity), F.lit(1)).cast("int") - 1
     cut = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
     first = F.col("piece").cast("long") * capacity
     return cut.select(
-        "doc_id", "row", "source", "cluster", "piece", first.alias("first_word"),
-        F.least(F.lit(capacity).cast("long"), F.col("size") - first).alias("n_words"),
+        "doc_id", "row", F.coalesce("source", F.lit("")).alias("source"), "cluster", "piece", first.alias("first_word"),
+        F.least(F.lit(capacity).cast("long"), F.col("n_words") - first).alias("n_words"),
     )
 
 
-def near_roots(docs: DataFrame) -> DataFrame:
-    """``hash`` and ``root``: the component of near duplicates of every different row with words."""
-    found = neardup.grouped(docs, shared=neardup.SHARED).where("root is not null")
-    return materialise(found.groupBy(F.col("row").alias("hash")).agg(F.min("root").alias("root")))
-
-
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Each piece with its bin, its place in the bin and the words the bin has left over.
 
-    Only the sizes, sources and cluster hashes of the pieces are shuffled. A cluster or source of any size is dealt
-    over all shards, since the shard depends on the row.
+    Only the sizes, sources and cluster names of the pieces are shuffled. A cluster or source of any size is dealt over
+    all shards, and so are copies of one row, which follow each other in the order. A shard never has more than
+    ``SHARD_PIECES``; what its last bins have left over is the price of that, and falls with the size of the shard.
     """
     python_workers(cut.sparkSession)
-    cut = materialise(cut)
-    shards = max(1, round(cut.count() / SHARD_PIECES))
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)))
+    placed = ranked(cut, [], ["row", "piece", "source", "cluster"])
+    shards = max(1, -(-placed.count() // SHARD_PIECES))
+    dealt = placed.withColumn("shard", F.pmod("rank", F.lit(shards)))
     return dealt.groupBy("shard").applyInPandas(_packed(capacity), _PLACED)
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every piece of every document. Near duplicates, linked at a similarity of 0.8, are one cluster."""
-    docs = table(spark, sf_dir, "documents")
-    return pack(pieces(docs, roots=near_roots(docs)))
+    return pack(pieces(near_sizes(table(spark, sf_dir, "documents"))))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of the documents that the stages before kept; near duplicates are gone by then."""
-    return pack(pieces(docs))
+    return pack(pieces(sizes(docs)))
