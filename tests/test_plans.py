@@ -18,7 +18,7 @@ from touchline.operators.audience import suppressed_by_address
 from touchline.operators.identity import distinct_times_since
 from touchline.operators.joins import join_groups, latest_before, split_left_join, star_left_join, with_group_values
 from touchline.operators.touch import before_conversion, last_page_before
-from touchline.session import configure, configured, intermediate_tables, materialise, shared_folder
+from touchline.session import configure, configured, distilled, intermediate_tables, materialise, shared_folder
 
 ROOT = "/root/testdata/sf0.001"
 JOBS = {name: job for name, job in spark_entry.queries().items() if name in plans.JOBS}
@@ -287,6 +287,16 @@ def test_written_tables_go_when_the_report_is_done(spark, make):
     assert set(folder.glob("*")) == before
 
 
+def test_tables_on_the_way_go_at_once(spark, make):
+    df = make("a int", (1,), (2,))
+    folder = Path(shared_folder(spark)) / "touchline"
+    before = set(folder.glob("*"))
+    with intermediate_tables():
+        found = distilled(lambda: materialise(materialise(df).filter("a > 1")).selectExpr("a + 1 AS b"))
+        assert len(set(folder.glob("*")) - before) == 1
+        assert rows(found) == [(3,)]
+
+
 def test_settings_are_put_back(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     with configured(spark, input_bytes=10**14):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 
 from py4j.protocol import Py4JError
@@ -111,6 +111,20 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def distilled(build: Callable[[], DataFrame]) -> DataFrame:
+    """The result of ``build``, written; what it wrote on the way is deleted at once.
+
+    That is its tables, and its shuffle files: Spark deletes those when the driver's JVM has collected what refers to
+    them, which may otherwise take until they fill the disks.
+    """
+    before = set(_written)
+    result = materialise(build())
+    *others, _ = [path for path in _written if path not in before]
+    _delete(others)
+    result.sparkSession._jvm.System.gc()
+    return result
+
+
 def _delete(paths: list[str]) -> None:
     for path in paths:
         files, target = _written.pop(path)
