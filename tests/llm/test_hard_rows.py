@@ -46,6 +46,15 @@ def test_a_stage_keeps_the_columns(spark, folders, stage):
         kept.collect()
 
 
+def test_packing(spark, folders):
+    """Every row has its pieces, long texts several; each word once."""
+    found = queries()["op4_best_fit_packing"](spark, folders[0]).collect()
+    given = documents(spark).collect()
+    assert sorted({str(r["doc_id"]) for r in found}) == sorted({str(r["doc_id"]) for r in given})
+    assert sum(r["n_words"] for r in found) == sum(len((r["text"] or "").split()) - (r["text"] or "").count("\u3000") for r in given)
+    assert sum(r["piece"] == 0 for r in found) == len(given)
+
+
 def test_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>Some text</p>"), (3, "u", "no tags"), (3, "u", "no tags")]
     given = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -61,6 +62,30 @@ def test_base_spans(make):
     assert by_id(found, "s") == {k: (base_spans(t or ""),) for k, t in enumerate(SECRET_TEXTS)}
 
 
+def test_a_long_run_of_symbols_is_read_once(make):
+    """A megabyte of dashes, and one of long tokens, in a time that grows with their length."""
+    texts = ["-" * 1_000_000, "ab-" * 300_000, "q9Zx7Lw2Kp5Vt8Rn4Bd6 " * 400, "-" * 500_000 + "a1"]
+    docs = make("doc_id long, text string, source string, lang string", *[(k, t, "s", "l") for k, t in enumerate(texts)])
+    begin = time.perf_counter()
+    extra = {r["carried"]["doc_id"]: len(r["extra"]) for r in ownership.scan(docs).collect()}
+    assert extra == {0: 0, 1: 0, 2: 400, 3: 1}
+    assert time.perf_counter() - begin < 20
+
+
+def test_a_secret_of_two_near_copies_is_live(make):
+    """Two owners are few; many repositories, or many places of one owner, are not."""
+    two, spread, often = "q9Zx7Lw2Kp5Vt8Rn4Bd6", "w8Yc6Mv3Jq4Us9Tm5Ce7", "e7Xd5Nb4Hr3Pt6Sk2Df8"
+    rows = [(k, f"copy {two} here", f"owner{k}", "r") for k in range(2)]
+    rows += [(10 + k, f"see {spread} now", f"owner{k % 2}", f"r{k}") for k in range(6)]
+    rows += [(30 + k, f"say {often} then", "owner0", "r") for k in range(25)]
+    docs = make("doc_id long, text string, source string, lang string", *rows)
+    scanned = ownership.scan(docs)
+    judged = ownership.judge(scanned, ownership.ownership(scanned)).select("carried.doc_id", "spans")
+    assert {r["doc_id"] for r in judged.collect() if r["spans"]} == {0, 1}
+    kept = ownership.stage(docs.sparkSession, docs.withColumn("n_chars", F.length("text")), "")
+    assert all("[SECRET]" in r["text"] for r in kept.where("doc_id < 2").collect())
+
+
 def test_ownership_separates_copied_from_live(make):
     copied, live = "Ab3" * 9, "q9Zx7Lw2Kp5Vt8Rn4Bd6"
     rows = [(k, f"see {copied} here", f"owner{k}", "r") for k in range(3)] + [(9, f"run {live} now", "owner9", "r")]
@@ -104,7 +129,7 @@ def test_tables_equal_the_models_in_memory(make, monkeypatch):
     texts = [(k, " ".join(rng.choices(pool, k=rng.randint(0, 12))), rng.randint(0, 1), k % 3 + 1) for k in range(60)]
     # Far more ordinary words than toxic ones: "zzyzx" is one in ten million.
     counts = make("gram string, toxic long, ordinary long", ("^^^^^z", 1, 0), ("^^^^^a", 0, 10_000_000))
-    assert {r["gram"] for r in toxicity.ratio_tables(counts)[0].collect()} == {"^^^^^z", "^^^^^a"}
+    assert {r["context"] + x for r in toxicity.ratio_table(counts).collect() for x in r["letters"]} == {"^^^^^z", "^^^^^a"}
     labelled = make("doc_id long, text string, toxic int, fold int", *texts)
     first, whole = toxicity.class_counts(labelled)
     for found, folds in ((first, (2, 3)), (whole, (1, 2, 3))):
@@ -118,10 +143,11 @@ def test_tables_equal_the_models_in_memory(make, monkeypatch):
     judge = toxicity.Judge(toxicity.Ratios([(g, *n) for g, n in plain.items()]))
     rows = [(k, t) for k, t, _, _ in texts] + [(None, None), (7, texts[7][1]), (99, "abcabc new ½ words éé abc " + "ab" * 5000)]
     docs = make("doc_id long, text string", *rows)
-    tables = toxicity.ratio_tables(whole)
+    model = lambda: toxicity.ratio_table(whole)
     for frequent in (0, 5):
         monkeypatch.setattr(toxicity, "FREQUENT", frequent)
-        found = toxicity.measured(docs, tables, F.lit(None)).collect()
+        monkeypatch.setattr(toxicity, "FREQUENT_CONTEXTS", frequent)
+        found = toxicity.measured(docs, model, F.lit(None)).collect()
         got = sorted((r["doc_id"] or -1, r["n_words"], r["mean"], r["highest"], r["strongest"]) for r in found)
         want = sorted((k or -1, m[3], *m[:3]) for k, t in rows for m in [judge.measure(t)])
         assert len(got) == len(want)
@@ -180,6 +206,53 @@ def test_ablation(make):
     assert len(found) == sum(map(len, quality.POLICIES.values()))
 
 
+def test_stage_without_labels_keeps_texts(make):
+    """No row tells a language: only texts without a letter go. With languages, letters without one go, too."""
+    rng = random.Random(2)
+    junk = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 12))) for _ in range(60))
+    plain = [(k, f"the cat number {k} sat on the mat and looked at the other cat of the house", None, "s", 1) for k in range(20)]
+    rows = [*plain, (30, junk, None, "s", 1), (31, "123 --", None, "s", 1), (32, None, None, "s", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    kept = language.stage(None, make(schema, *rows), "")
+    assert {r["doc_id"] for r in kept.collect()} == {*range(20), 30}
+    labelled = [(k, t, "en" if k < 20 else None, s, n) for k, t, _, s, n in rows]
+    assert {r["doc_id"] for r in language.stage(None, make(schema, *labelled), "").collect()} == set(range(20))
+
+
+def test_sample_draws_from_anywhere(make):
+    """Long rows give a stretch that begins where the hash says, without cut words."""
+    texts = [" ".join(f"word{k}x{n}" for n in range(3_000)) for k in range(30)]
+    docs = make("doc_id long, text string, lang string", *[(k, t, "en") for k, t in enumerate(texts)])
+    drawn = language.sample(docs)["en"]
+    assert len(drawn) == 30 and max(map(len, drawn)) <= language.SAMPLE_ROW_CHARS
+    given = {w for t in texts for w in t.split()}
+    assert all(set(t.split()) <= given for t in drawn)
+    firsts = [int(t.split()[0].split("x")[1]) for t in drawn]
+    assert len(set(firsts)) > 20 and max(firsts) > 1_500
+
+
+def test_prediction_against_plain_parsing(make):
+    """The winner has the least entropy, phrases counted by trying every length."""
+    samples = {"a": ["der hund lief weit", "die katze schlief"], "b": ["the dog ran far", "the cat slept"]}
+    texts = ["der hund", "the cat ran", "die dog", "zzz", "hund far weit slept"]
+    parser = language.Parser(samples)
+
+    def phrases(word, held):
+        count, rest = 0, f" {word} "
+        while rest:
+            size = max((n for n in range(1, len(rest) + 1) if any(rest[:n] in h for h in held)), default=1)
+            count, rest = count + 1, rest[size:]
+        return count
+
+    for text in texts:
+        entropy = {}
+        for name, rows in samples.items():
+            held = [f" {w} " for w in sorted({w for t in rows for w in t.split()})]
+            bits = parser.bits[parser.names.index(name)]
+            entropy[name] = sum(phrases(w, held) for w in text.split()) * bits
+        assert parser.judge(text)[0] == min(entropy, key=lambda n: (round(entropy[n], 9), n))
+
+
 # --- packing
 
 def test_best_fit_takes_the_tightest_compatible_bin():
@@ -189,7 +262,7 @@ def test_best_fit_takes_the_tightest_compatible_bin():
 
 def test_packing_holds_every_word_once_and_no_conflict(spark):
     docs = documents(spark)
-    placed = [r.asDict() for r in packing.pack(packing.pieces(docs, capacity=100), 100).collect()]
+    placed = [r.asDict() for r in packing.pack(packing.pieces(packing.sizes(docs), 100), 100).collect()]
     words = Counter()
     for r in placed:
         words[r["doc_id"]] += r["n_words"]
@@ -206,6 +279,44 @@ def test_packing_holds_every_word_once_and_no_conflict(spark):
     assert max(pairs.values()) == 1
 
 
+def plain_best_fit(sizes, sources, clusters, capacity):
+    """The tightest bin without a conflict, by looking at all bins."""
+    bins, out = [], []
+    for size, source, cluster in zip(sizes, sources, clusters, strict=True):
+        fits = [
+            (b["left"], k) for k, b in enumerate(bins)
+            if b["left"] >= size and not (source and b["sources"] & {source}) and not (cluster and b["clusters"] & {cluster})
+        ]
+        if not fits:
+            bins.append({"left": capacity, "sources": set(), "clusters": set()})
+        k = min(fits)[1] if fits else len(bins) - 1
+        bins[k]["left"] -= size
+        bins[k]["sources"].add(source)
+        bins[k]["clusters"].add(cluster)
+        out.append(k)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_best_fit_against_all_bins(seed):
+    rng = random.Random(seed)
+    pieces = sorted((rng.randrange(0, 60) for _ in range(300)), reverse=True)
+    sources, clusters = ([rng.choice([0, 0, 1, 2, 4, 8]) for _ in pieces] for _ in range(2))
+    assert packing.best_fit(pieces, sources, clusters, 100) == plain_best_fit(pieces, sources, clusters, 100)
+
+
+def test_packing_does_not_depend_on_the_layout(spark):
+    docs = documents(spark)
+    place = lambda d: sorted((tuple(r) for r in packing.pack(packing.pieces(packing.sizes(d), 100), 100).collect()), key=str)
+    assert place(docs.repartition(5, "n_chars")) == place(docs.coalesce(1))
+
+
+def test_texts_without_words_share_bins(make):
+    docs = make("doc_id long, text string, source string", *[(k, "" if k % 2 else None, f"s{k}") for k in range(50)])
+    for sized in (packing.sizes(docs), packing.near_sizes(docs)):
+        assert {r["bin_id"] for r in packing.pack(packing.pieces(sized)).collect()} == {0}
+
+
 # --- licenses
 
 def test_templates():
@@ -403,7 +514,7 @@ def test_held_out_languages(spark):
 def test_texts_without_letters():
     parser = language.Parser({"en": ["the text"], "de": ["der Text"]})
     assert [parser.judge(t) for t in (None, "", "12 !? ²")] == [("und", 0.0)] * 3
-    assert language.Parser({}).judge("text") == ("und", 0.0)
+    assert language.Parser({}).judge("text")[:2] == ("und", 0.0)
 
 
 # --- fingerprints
