@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from touchline.llm.common import crc_rest, python_workers, table
-from touchline.session import materialise
+from touchline.session import distilled, materialise
 
 #: Letters of an n-gram.
 ORDER = 6
@@ -41,9 +41,13 @@ FIT_ROWS = 20_000
 #: Words whose log-likelihood ratio a worker remembers.
 KNOWN_WORDS = 500_000
 #: The most frequent words, whose ratios the workers look up; all others meet theirs in a join. Changes no result.
-FREQUENT = 50_000
+FREQUENT = 200_000
+#: Contexts, of a few letters each, whose n-grams are looked up in the same way.
+FREQUENT_CONTEXTS = 20_000
 #: Letters of such a word at most.
 FREQUENT_LETTERS = 40
+#: Ratios are added up in this part of one.
+PART = 1 << 32
 #: Different words that a worker counts before it hands them on.
 COUNTED_WORDS = 200_000
 
@@ -221,10 +225,12 @@ def backoff(types: DataFrame) -> DataFrame:
     return below
 
 
-def ratio_tables(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``gram`` and ``ratio``, and ``context`` and ``ratio``: the values of ``Ratios``.
+def ratio_table(counts: DataFrame) -> DataFrame:
+    """The values of ``Ratios`` by ``context``, in whole numbers of ``PART``: ``letters``, the ratio of each n-gram by its
+    last letter, and ``ratio``, that of any other letter; and ``seen``, how often the classes have the context.
 
-    ``counts`` is ``gram``, ``toxic`` and ``ordinary``, written; an n-gram that neither class has is left out.
+    ``counts`` is ``gram``, ``toxic`` and ``ordinary``, written; an n-gram that neither class has is left out. A context
+    has no more letters than there are.
     """
     counts = counts.where("toxic + ordinary > 0")
     below = backoff(counts)
@@ -240,8 +246,8 @@ def ratio_tables(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.sum((F.col("ordinary") > 0).cast("long")).alias("ordinary_kinds"),
         F.count("*").alias("kinds"),
     )
-    seen = materialise(seen.withColumn("ratio", F.log(left("toxic") / left("ordinary"))))
-    joined = counts.join(seen.drop("ratio"), "context").join(below.withColumnRenamed("gram", "suffix"), "suffix")
+    # Last by context, which the grouping then shares.
+    joined = counts.join(below.withColumnRenamed("gram", "suffix"), "suffix").join(seen, "context")
     both = F.col("toxic") + F.col("ordinary")
     shared = (both - DISCOUNT + DISCOUNT * F.col("kinds") * F.col("p")) / (F.col("toxic_seen") + F.col("ordinary_seen"))
 
@@ -249,29 +255,65 @@ def ratio_tables(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
         own = F.greatest(F.col(of) - DISCOUNT, F.lit(0.0)) / (F.col(f"{of}_seen") + STRENGTH)
         return own + left(of) * shared
 
-    by_gram = materialise(joined.select("gram", F.log(likely("toxic") / likely("ordinary")).alias("ratio")))
-    return by_gram, seen.select("context", "ratio")
+    def parts(ratio: Column) -> Column:
+        return F.round(ratio * PART).cast("long")
 
+    letter = F.struct(F.substring("gram", ORDER, 1), parts(F.log(likely("toxic") / likely("ordinary"))))
+    return joined.groupBy("context").agg(
+        F.map_from_entries(F.collect_list(letter)).alias("letters"),
+        F.max(parts(F.log(left("toxic") / left("ordinary")))).alias("ratio"),
+        F.max(F.col("toxic_seen") + F.col("ordinary_seen")).alias("seen"),
+    )
 
-def word_ratios(vocabulary: DataFrame, tables: tuple[DataFrame, DataFrame]) -> DataFrame:
-    """``word``, ``n`` and ``ratio`` of each word. ``vocabulary`` is ``word``, ``n`` and a key ``id``, written."""
-    by_gram, by_context = tables
-    found = materialise(spelt(vocabulary.select("word", "id")).join(by_gram, "gram", "left"))
-    new = found.where("ratio is null").select("id", F.substring("gram", 1, ORDER - 1).alias("context"))
-    parts = found.where("ratio is not null").select("id", "ratio").union(new.join(by_context, "context").select("id", "ratio"))
-    # Added up in a fixed order, so that a word's ratio is the same in every run.
-    total = F.aggregate(F.array_sort(F.collect_list("ratio")), F.lit(0.0), lambda a, x: a + x)
-    summed = materialise(parts.groupBy("id").agg(total.alias("ratio")))
-    return vocabulary.join(summed, "id", "left").select("word", "n", F.coalesce("ratio", F.lit(0.0)).alias("ratio"))
 
+def word_ratios(vocabulary: DataFrame, ratios: DataFrame) -> DataFrame:
+    """``word``, ``n`` and ``ratio`` of each word of ``vocabulary`` (``word``, ``n``). ``ratios`` is written.
 
-def measured(docs: DataFrame, tables: tuple[DataFrame, DataFrame], label: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row: the key, the label given, and the measures of the text; 0 for a text that is null or has no words."""
+    The n-grams of the most frequent contexts, which would be hot keys, are looked up where words are spelt; all others
+    meet theirs in a join. The values are the same, and added up in whole numbers, so their order does not matter.
+    """
+    spark = vocabulary.sparkSession
+    python_workers(spark)
+    often = ratios.orderBy(F.desc("seen"), "context").limit(FREQUENT_CONTEXTS).select("context", "letters", "ratio").collect()
+    shared = spark.sparkContext.broadcast({r["context"]: (r["ratio"], r["letters"]) for r in often})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value.get
+        for batch in batches:
+            sums, rest = [], []
+            for word in batch.column(0).to_pylist():
+                total, others = 0, []
+                for gram in grams(word):
+                    met = known(gram[:-1])
+                    if met is None:
+                        others.append(gram)
+                    else:
+                        total += met[1].get(gram[-1], met[0])
+                sums.append(total)
+                rest.append(others)
+            columns = [batch.column(0), batch.column(1), pa.array(sums, pa.int64()), pa.array(rest, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "n", "parts", "rest"])
+
+    spelled = vocabulary.select("word", "n").mapInArrow(run, "word string, n long, parts long, rest array<string>")
+    looked = materialise(spelled.withColumn("id", F.monotonically_increasing_id()))
+    others = looked.select("id", F.explode("rest").alias("gram"))
+    others = others.select("id", F.substring("gram", 1, ORDER - 1).alias("context"), F.substring("gram", ORDER, 1).alias("last"))
+    met = others.join(ratios, "context").select("id", F.coalesce(F.try_element_at("letters", "last"), "ratio").alias("parts"))
+    summed = met.groupBy("id").agg(F.sum("parts").alias("more"))
+    whole = F.col("parts") + F.coalesce("more", F.lit(0))
+    return looked.join(summed, "id", "left").select("word", "n", (whole / PART).alias("ratio"))
+
+
+def measured(docs: DataFrame, model: Callable[[], DataFrame], label: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Per row: the key, the label given, and the measures of the text; 0 for a text that is null or has no words.
+
+    ``model`` makes the ``ratio_table``; what it writes is deleted as soon as the words have their ratios.
+    """
     spark = docs.sparkSession
     python_workers(spark)
     corpus = word_counts(docs.select(F.col(text).alias("text"), F.lit(0).alias("part"))).select("word", "n")
-    vocabulary = materialise(corpus.withColumn("id", F.monotonically_increasing_id()))
-    ratios = materialise(word_ratios(vocabulary, tables))
+
+    ratios = distilled(lambda: word_ratios(corpus, distilled(model)))
     often = ratios.where(F.length("word") <= FREQUENT_LETTERS).orderBy(F.desc("n"), "word").limit(FREQUENT)
     shared = spark.sparkContext.broadcast({r["word"]: r["ratio"] for r in often.select("word", "ratio").collect()})
 
@@ -371,9 +413,12 @@ def score(docs: DataFrame, labels: DataFrame, fold: Column, text: str = "text",
     share = FIT_ROWS / max(1, tuning.count())
     drawn = tuning.where(F.pmod(F.xxhash64("label_key"), F.lit(1 << 30)) < share * (1 << 30))
     first, counts = class_counts(known, "label_text", "toxic_label")
-    drawn_measures = measured(drawn, ratio_tables(first), F.col("toxic_label"), "label_text", "label_key")
+    # Of the first model nothing is left but these few measures.
+    drawn_measures = distilled(
+        lambda: measured(drawn, lambda: ratio_table(first), F.col("toxic_label"), "label_text", "label_key")
+    )
     factors = fit(drawn_measures.where("n_words > 0").orderBy("doc_id").collect())
-    judged = measured(docs, ratio_tables(counts), F.lit(None), text, key)
+    judged = measured(docs, lambda: ratio_table(counts), F.lit(None), text, key)
     logit = F.lit(factors[0])
     for factor, value in zip(factors[1:], _INPUTS, strict=True):
         logit = logit + F.lit(factor) * F.expr(value)
