@@ -5,9 +5,11 @@ the first and a half from the second is the key of one table: ``n`` squared tabl
 independent tables would need ``n`` times as many. Texts at the limit of similarity ``s`` meet in a table with
 probability ``(1 - (1 - s**ROWS)**n)**2``; ``n`` follows from the limit so that this is at least ``MEET``.
 
-Texts that meet are compared on their full shingle sets, all with all, in blocks of bounded size: a block tells
-which of its texts hang together, never the pairs. So a group costs rows in proportion to its size, and no link
-between texts that met is lost. Equal word sequences are one class before all that.
+Texts that meet are compared on their full shingle sets in blocks of bounded size: a block tells which of its texts hang
+together, never the pairs. A group of several blocks is first compared with one of its texts, its pivot. Those that are
+linked with the pivot hang together, so only the others are then compared, with each other and with those. A group of near
+copies so costs work in proportion to its size, and no link between texts that met is lost. Equal word sequences are one
+class before all that.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm.common import python_workers, table
@@ -208,20 +210,49 @@ def meetings(classes: DataFrame, n_halves: int) -> DataFrame:
     return keyed.join(materialise(least.select("key", "frame")), "key").select("frame", "same").distinct()
 
 
-def _blocks(met: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Each member of a frame once for every pair of blocks that its own block is part of."""
-    weighed = met.join(sizes, "same")
-    frames = weighed.groupBy("frame").agg(
-        F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_TEXTS)).cast("int").alias("blocks")
+def _block_count(where: Column) -> Column:
+    """Blocks for the members of a frame that fulfil ``where``; none for no members."""
+    shingles, texts = F.sum(F.when(where, F.col("n_shingles"))), F.count(F.when(where, 1))
+    return F.greatest(F.ceil(shingles / BLOCK_SHINGLES), F.ceil(texts / BLOCK_TEXTS)).cast("int")
+
+
+def _with_pivots(met: DataFrame, frames: DataFrame) -> DataFrame:
+    """The members of large frames once each, in blocks on side 1, and the frame's pivot on side 0 of every block."""
+    members = met.where("same <> frame").join(frames, "frame")
+    numbers = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("low")
+    pivots = frames.select("frame", numbers, F.lit(0).alias("high"), F.lit(0).alias("side"), F.col("frame").alias("same"))
+    dealt = F.pmod(F.hash("same", "frame"), F.col("blocks")).alias("low")
+    return members.select("frame", dealt, F.lit(0).alias("high"), F.lit(1).alias("side"), "same").union(pivots)
+
+
+def _others(met: DataFrame, frames: DataFrame, tied: DataFrame) -> DataFrame:
+    """Members of large frames once for every pair of blocks that is still to compare.
+
+    Blocks of free texts are numbered from 0, those of the tied ones after them; two blocks of tied texts are no pair.
+    Where all are tied, nothing is left.
+    """
+    marked = met.join(frames.select("frame"), "frame").join(tied, ["frame", "same"], "left")
+    marked = materialise(marked.withColumn("tied", F.coalesce("tied", F.col("same") == F.col("frame"))))
+    counts = marked.groupBy("frame").agg(
+        _block_count(~F.col("tied")).alias("free"), F.coalesce(_block_count(F.col("tied")), F.lit(0)).alias("bound")
     )
-    own = F.pmod(F.hash("same", "frame"), F.col("blocks"))
-    dealt = met.join(materialise(frames), "frame").withColumn("side", own)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    return dealt.select("frame", "same", "side", other).select(
+    dealt = marked.join(materialise(counts.where("free > 0")), "frame")
+    number = F.hash("same", "frame")
+    side = F.when(F.col("tied"), F.col("free") + F.pmod(number, F.col("bound"))).otherwise(F.pmod(number, F.col("free")))
+    last = F.when(F.col("tied"), F.col("free")).otherwise(F.col("free") + F.col("bound")) - 1
+    other = F.explode(F.sequence(F.lit(0), last)).alias("other")
+    return dealt.select("frame", "same", side.alias("side"), other).select(
         "frame", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "same"
     )
 
 
+def _links(blocks: DataFrame, sets: DataFrame, shared: int) -> DataFrame:
+    """Links ``a``, ``b`` that join the texts of each block, between its sides if it has two; ``b`` is the first by side."""
+    whole = blocks.join(sets, "same").select("frame", "low", "high", "side", "same", "shingles")
+    dealt = whole.repartition("frame", "low", "high").sortWithinPartitions("frame", "low", "high", "side")
+    return dealt.mapInArrow(lambda batches: _compared(batches, shared), "a binary, b binary")
+
+
 def near_links(docs: DataFrame, signed: DataFrame, text: str = "text", key: str = "doc_id", shared: int = SHARED) -> DataFrame:
     """Links ``a``, ``b`` between classes, enough to join all classes that links of the full sets join.
 
@@ -232,20 +263,23 @@ def near_links(docs: DataFrame, signed: DataFrame, text: str = "text", key: str
         .groupBy("same")
         .agg(F.min("row").alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("halves").alias("halves"))
     )
-    met = materialise(meetings(classes, halves_for(shared)))
+    met = materialise(meetings(classes, halves_for(shared)).join(classes.select("same", "n_shingles"), "same"))
     # Written, so that its size is known: where it is small, texts are looked up as they are read, not shuffled.
     rows = materialise(classes.join(met.select("same").distinct(), "same", "left_semi").select("row"))
     texts = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text"))
-    sets = (
+    sets = materialise(
         texts.join(rows, "row", "left_semi")
         .dropDuplicates(["row"])
         .select("text")
         .mapInArrow(_shingled, "same binary, shingles array<bigint>")
     )
-    blocks = _blocks(met, classes.select("same", "n_shingles"))
-    whole = blocks.join(materialise(sets), "same").select("frame", "low", "high", "side", "same", "shingles")
-    dealt = whole.repartition("frame", "low", "high").sortWithinPartitions("frame", "low", "high")
-    return dealt.mapInArrow(lambda batches: _compared(batches, shared), "a binary, b binary")
+    frames = materialise(met.groupBy("frame").agg(_block_count(F.lit(True)).alias("blocks")))
+    one, zero = frames.where("blocks = 1"), F.lit(0)
+    small = met.join(one, "frame").select("frame", zero.alias("low"), zero.alias("high"), zero.alias("side"), "same")
+    large = frames.where("blocks > 1")
+    star = materialise(_links(_with_pivots(met, large), sets, shared))
+    tied = star.select(F.col("b").alias("frame"), F.col("a").alias("same"), F.lit(True).alias("tied"))
+    return star.union(_links(small.union(_others(met, large, tied)), sets, shared))
 
 
 def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", shared: int = SHARED, carry: tuple[str, ...] = ()) -> DataFrame:
