@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from touchline.llm import licenses
+from touchline.llm import licenses, wordings
 
 GPL = (
     "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} Public License as "
@@ -51,6 +51,18 @@ def published(label):
         ("cc-by-sa-notice", "Licensed under a CC BY-SA 4.0 license", "SA"),
         ("cc-by-sa-name", "the Creative Commons Attribution-ShareAlike 4.0 International License", "ShareAlike"),
         ("cc0-notice", "CC0 1.0 Universal", "Universal"),
+        ("cc-by-3.0", "Photographs: CC BY 3.0.", "BY"),
+        ("cc-by-nc-sa-2.5", "CC-BY-NC-SA 2.5", "SA"),
+        ("cc-by-nd-4.0-name", "a Creative Commons Attribution-NoDerivatives 4.0 International License", "NoDerivatives"),
+        ("spdx-mit", "// SPDX-License-Identifier: MIT", "Identifier"),
+        ("spdx-gpl-2.0", "# SPDX-License-Identifier: GPL-2.0-or-later", "GPL"),
+        ("apache-2-text", wordings.APACHE_2, "warranty"),
+        ("mpl-2-text", wordings.MPL_2, "attached"),
+        ("gpl-2-text", wordings.GPL_2, "ADVISED"),
+        ("gpl-3-text", wordings.GPL_3, "fee"),
+        ("lgpl-2.1-text", wordings.LGPL_2_1, "ADVISED"),
+        ("lgpl-3-text", wordings.LGPL_3, "authorization"),
+        ("cc0-text", wordings.CC0_1, "duty"),
     ],
 )
 def test_published_and_altered(label, text, last):
@@ -61,3 +73,22 @@ def test_published_and_altered(label, text, last):
 def test_disclaimed_openings_get_no_label():
     opening = published("bsd-2-text").split("are met")[0] + "are met"
     assert licenses.scan(opening)[5] == ""
+
+
+@pytest.mark.parametrize(
+    ("label", "last"),
+    [("apache-2-text", "liability"), ("mpl-2-text", "attached"), ("gpl-2-text", "DAMAGES"), ("gpl-3-text", "fee"), ("lgpl-2.1-text", "DAMAGES")],
+)
+def test_only_the_last_word_altered(label, last):
+    text = licenses.TEMPLATES[label].rstrip()
+    head, found, tail = text.rpartition(last)
+    assert found and len(tail) < 3
+    assert label in licenses.scan(text)[5].split(",")
+    assert label not in licenses.scan(head + "altered" + tail)[5].split(",")
+    assert label not in licenses.scan(head)[5].split(",")
+
+
+def test_other_lines_do_not_matter_to_a_whole_text():
+    text = "Copyright the authors\n\n" + wordings.GPL_2.replace("\n", "\r\n   ") + "\nHow to Apply These Terms"
+    assert "gpl-2-text" in licenses.scan(text)[5].split(",")
+    assert "gpl-3-text" not in licenses.scan(text)[5].split(",")

@@ -16,6 +16,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from touchline.llm import wordings
 from touchline.llm.common import python_workers, table
 
 #: Phrases that are looked for in any case, and their labels.
@@ -107,8 +108,40 @@ LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE A
 THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
 ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "rights-reserved": "Copyright <<beginOptional>>(c) <<endOptional>><<var;min=1;max=8>> All rights reserved",
+    "apache-2-text": wordings.APACHE_2,
+    "mpl-2-text": wordings.MPL_2,
+    "gpl-2-text": wordings.GPL_2,
+    "gpl-3-text": wordings.GPL_3,
+    "lgpl-2.1-text": wordings.LGPL_2_1,
+    "lgpl-3-text": wordings.LGPL_3,
+    "cc0-text": wordings.CC0_1,
 }
 
+# Creative Commons licenses, with the versions that were published of each.
+_CREATIVE_COMMONS = {
+    "BY": "Attribution",
+    "BY-SA": "Attribution-ShareAlike",
+    "BY-NC": "Attribution-NonCommercial",
+    "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+    "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+_VERSIONS = ("2.0", "2.5", "3.0", "4.0")
+TEMPLATES |= {
+    f"cc-{kind.lower()}-{version}": f"CC {kind} <<var;min=0;max=1>>{version}" for kind in _CREATIVE_COMMONS for version in _VERSIONS
+}
+TEMPLATES |= {
+    f"cc-{kind.lower()}-{version}-name": f"Creative Commons {name} <<var;min=0;max=1>>{version}"
+    for kind, name in _CREATIVE_COMMONS.items()
+    for version in _VERSIONS
+}
+
+# Identifiers in source files. Both the "only" and the "or later" forms of an identifier begin with it.
+_IDENTIFIERS = """MIT Apache-2.0 GPL-2.0 GPL-3.0 LGPL-2.1 LGPL-3.0 AGPL-3.0 MPL-2.0 BSD-2-Clause BSD-3-Clause ISC Unlicense
+CC0-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC-BY-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0 Zlib BSL-1.0
+EPL-2.0 0BSD""".split()
+TEMPLATES |= {f"spdx-{name.lower()}": f"SPDX-License-Identifier: {name}" for name in _IDENTIFIERS}
+
 _MARK = re.compile(r"<<(beginOptional|endOptional|var;min=(\d+);max=(\d+))>>")
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -285,13 +318,20 @@ def _pattern(parts: list[tuple]) -> str:
     return out
 
 
+def _condition(parts: list[tuple]) -> str:
+    """Whether the words hold a template: a plain search where it has no marked region, else a regular expression."""
+    if all(kind == "word" for kind, *_ in parts):
+        return f"contains(s, '{_pattern(parts)} ')"
+    return f"regexp_matches(s, '{_pattern(parts)} ')"
+
+
 def _oracle() -> str:
     base = " union all ".join(
         f"select r, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i:i + {p.count(' ')}] = {p.split(' ')})) - 1 as place,"
         f" '{label}' as label from docs"
         for p, label in PHRASES.items()
     )
-    marked = ", ".join(f"case when regexp_matches(s, '{_pattern(parse(t))} ') then '{label}' end" for label, t in TEMPLATES.items())
+    marked = ", ".join(f"case when {_condition(parse(t))} then '{label}' end" for label, t in TEMPLATES.items())
     return rf"""
 with docs as materialized (
   select r, doc_id, w, ' ' || array_to_string(w, ' ') || ' ' as s from (
