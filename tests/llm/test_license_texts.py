@@ -92,3 +92,20 @@ def test_other_lines_do_not_matter_to_a_whole_text():
     text = "Copyright the authors\n\n" + wordings.GPL_2.replace("\n", "\r\n   ") + "\nHow to Apply These Terms"
     assert "gpl-2-text" in licenses.scan(text)[5].split(",")
     assert "gpl-3-text" not in licenses.scan(text)[5].split(",")
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("CC BY-NC 4.0", "cc-by-nc,cc-by-nc-4.0"),
+        ("CC BY-NC-SA 4.0", "cc-by-nc,cc-by-nc-sa-4.0"),
+        ("CC BY 3.0", "cc-by-3.0"),
+        ("Creative Commons Attribution-NonCommercial 3.0", "cc-by-nc-3.0-name"),
+        ("Creative Commons Attribution-NoDerivs 3.0 Unported", "cc-by-nd-3.0-name"),
+        ("Creative Commons Attribution License 2.0", "cc-by-2.0-name"),
+        ("CC BY 1.7", ""),
+        ("SPDX-License-Identifier: LicenseRef-MIT", ""),
+    ],
+)
+def test_one_license_of_a_family(text, labels):
+    assert licenses.scan(text)[5] == labels

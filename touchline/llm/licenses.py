@@ -66,7 +66,7 @@ OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "<<beginOptional>> as published by the Free Software Foundation<<endOptional>>, <<beginOptional>>either "
     "<<endOptional>>version 3<<beginOptional>> of the License<<endOptional>>",
     "gpl-notice": "licensed under the <<beginOptional>>terms of the <<endOptional>>GNU General Public License",
-    "cc-by-nc-notice": "Licensed under <<beginOptional>>a <<endOptional>>CC BY-NC <<var;min=0;max=1>>4.0",
+    "cc-by-nc-notice": "Licensed under <<beginOptional>>a <<endOptional>>CC BY-NC 4.0",
     "mpl-2-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "isc-text": """Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for
 any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice
@@ -93,9 +93,9 @@ governing permissions and limitations under the License.""",
 MPL was not distributed with this file, You can obtain one at <<var;min=1;max=2>>mozilla.org/MPL/2.0""",
     "cc-by-notice": "licensed under <<beginOptional>>a <<endOptional>>CC BY 4.0",
     "cc-by-sa-notice": "licensed under <<beginOptional>>a <<endOptional>>CC BY-SA 4.0",
-    "cc-by-name": "Creative Commons Attribution <<var;min=0;max=1>>4.0",
-    "cc-by-sa-name": "Creative Commons Attribution-ShareAlike <<var;min=0;max=1>>4.0",
-    "cc-by-nc-name": "Creative Commons Attribution-NonCommercial <<var;min=0;max=1>>4.0",
+    "cc-by-name": "Creative Commons Attribution <<beginOptional>>License <<endOptional>>4.0",
+    "cc-by-sa-name": "Creative Commons Attribution-ShareAlike <<beginOptional>>License <<endOptional>>4.0",
+    "cc-by-nc-name": "Creative Commons Attribution-NonCommercial <<beginOptional>>License <<endOptional>>4.0",
     "cc0-notice": "CC0 1.0 Universal",
     "unlicense-text": """This is free and unencumbered software released into the public domain. Anyone is free to copy,
 modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary,
@@ -117,7 +117,7 @@ ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEAL
     "cc0-text": wordings.CC0_1,
 }
 
-# Creative Commons licenses, with the versions that were published of each.
+# Creative Commons licenses and their versions. NoDerivatives was NoDerivs before version 4.0.
 _CREATIVE_COMMONS = {
     "BY": "Attribution",
     "BY-SA": "Attribution-ShareAlike",
@@ -127,13 +127,18 @@ _CREATIVE_COMMONS = {
     "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
 }
 _VERSIONS = ("2.0", "2.5", "3.0", "4.0")
+
+
+def _named(name: str, version: str) -> str:
+    full = name if version == "4.0" else name.replace("NoDerivatives", "NoDerivs")
+    return f"Creative Commons {full} <<beginOptional>>License <<endOptional>>{version}"
+
+
 TEMPLATES |= {
-    f"cc-{kind.lower()}-{version}": f"CC {kind} <<var;min=0;max=1>>{version}" for kind in _CREATIVE_COMMONS for version in _VERSIONS
+    f"cc-{kind.lower()}-{version}": f"CC {kind} {version}" for kind in _CREATIVE_COMMONS for version in _VERSIONS
 }
 TEMPLATES |= {
-    f"cc-{kind.lower()}-{version}-name": f"Creative Commons {name} <<var;min=0;max=1>>{version}"
-    for kind, name in _CREATIVE_COMMONS.items()
-    for version in _VERSIONS
+    f"cc-{kind.lower()}-{version}-name": _named(name, version) for kind, name in _CREATIVE_COMMONS.items() for version in _VERSIONS
 }
 
 # Identifiers in source files. Both the "only" and the "or later" forms of an identifier begin with it.
@@ -322,7 +327,8 @@ def _condition(parts: list[tuple]) -> str:
     """Whether the words hold a template: a plain search where it has no marked region, else a regular expression."""
     if all(kind == "word" for kind, *_ in parts):
         return f"contains(s, '{_pattern(parts)} ')"
-    return f"regexp_matches(s, '{_pattern(parts)} ')"
+    longest = max((rest[0] for kind, *rest in parts if kind == "word"), key=len).decode()
+    return f"contains(s, ' {longest} ') and regexp_matches(s, '{_pattern(parts)} ')"
 
 
 def _oracle() -> str:
