@@ -7,26 +7,11 @@ import xxhash
 
 #: Words of a shingle.
 WIDTH = 5
-#: Distinct words whose hashes a worker remembers.
-KNOWN_WORDS = 500_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
 
 
-class WordHashes(dict):
-    """Hash of each word, made when it is first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = WordHashes()
-
-
 def split(text: str | None) -> list[bytes]:
     """Words between U+0020 and U+0009 to U+000D, with A to Z in lower case."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -36,7 +21,7 @@ def shingle_set(words: list[bytes], width: int = WIDTH) -> np.ndarray:
     """Sorted hashes of the distinct shingles; of the whole sequence if it is shorter; none without words."""
     if not words:
         return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     width = min(width, len(hashes))
     out = np.full(len(hashes) - width + 1, np.uint64(width))
     for k in range(width):
@@ -44,4 +29,7 @@ def shingle_set(words: list[bytes], width: int = WIDTH) -> np.ndarray:
         out ^= out >> np.uint64(29)
     out *= _FACTOR
     out ^= out >> np.uint64(32)
-    return np.unique(out)
+    out.sort()  # faster than numpy's own search for distinct values
+    first = np.ones(len(out), bool)
+    np.not_equal(out[1:], out[:-1], out=first[1:])
+    return out[first]
