@@ -1,4 +1,4 @@
-"""Rows made by the thousand are dealt over tasks."""
+"""Rows made by the thousand, and folds behind a join, are dealt over tasks."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from touchline.operators.joins import repeat_rows
+from touchline.operators.touch import last_page_before
 from touchline.plans.ads import paid_ads_daily
+from touchline.session import materialise
 
 
 def test_rows_are_repeated_as_often_as_they_say(make):
@@ -46,3 +48,22 @@ def test_one_campaign_name_does_not_make_its_rows_in_one_task(spark, make):
     found = paid_ads_daily(tables)
     assert rows(found.groupBy("searchimprshare_valid", "ad_name").count()) == [(1, None, 400), (1, "a", 120_000)]
     assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_spans_are_dealt_also_behind_a_join_by_session(spark):
+    """Pages joined by session lie by session already; a long session still is folded in many tasks."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        views = materialise(spark.range(4_000).select((F.col("id") % 5).alias("k"), "id", F.timestamp_seconds(F.col("id") * 600).cast("timestamp_ntz").alias("time")))
+        sessions = materialise(spark.range(5).select(F.col("id").alias("s"), F.lit("x").alias("medium")))
+        pages = views.join(sessions, F.col("k") == F.col("s")).drop("s")
+        target = F.col("id") % 2 == 0
+        found = last_page_before(pages, ["k"], "time", target, target, ["id"])
+        text = found._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange hashpartitioning(k#") == 3  # the join, the spans, what is left of each
+        expected = [(k, max(i for i in range(4_000) if i % 5 == k and i % 2 and i < max(j for j in range(k, 4_000, 5) if j % 2 == 0))) for k in range(5)]
+        assert rows(found, "k", "id") == sorted(expected)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

@@ -86,6 +86,10 @@ def last_page_before(
     other, hours if not given, so that a session of very many pages is not one task's.
     A span is folded to three rows at most, and the session then is folded the same way
     from those of its spans. Pages are read and dealt once.
+
+    They are dealt by span also where they come dealt by session already, as from a join:
+    else a long session would be one task's, and a task would hold the join's sorted rows,
+    the spans' and the sessions' at a time.
     """
     rows = pages.withColumns(
         {
@@ -96,7 +100,7 @@ def last_page_before(
     )
     # Pages without a time are neither.
     rows = rows.filter(F.coalesce("__target", "__open").isNotNull())
-    in_span = _fold(rows, [*keys, "__span"])
+    in_span = _fold(rows.repartition(*keys, "__span"), [*keys, "__span"])
     folded = in_span.filter("__target = __end OR __open = __last OR __open = __answer").drop("__end", "__last", "__answer")
     found = _fold(folded, keys).filter("__open = __answer")
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in tie]))
