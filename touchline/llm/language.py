@@ -136,7 +136,11 @@ class Parser:
             self.costs[at, -1] = len(word)
         return at
 
-    def judge(self, text: str | None) -> tuple[str, float, float, int]:
+    def judge(self, text: str | None) -> tuple[str, float]:
+        """The language, and by how much its entropy is below the second best."""
+        return self.parse(text)[:2]
+
+    def parse(self, text: str | None) -> tuple[str, float, float, int]:
         """The language, by how much its entropy is below the second best, from 0 to 1, the letters of a phrase on
         average, and the letters in all."""
         found = words(text or "")
@@ -210,7 +214,7 @@ def identify(docs: DataFrame, samples: dict[str, list[str]], text: str = "text",
                 _parsers.clear()
                 _parsers[key] = Parser(shared.value)
             parser = _parsers[key]
-            results = [parser.judge(t) for t in batch.column("judged_text").to_pylist()]
+            results = [parser.parse(t) for t in batch.column("judged_text").to_pylist()]
             columns = [c for name, c in zip(batch.schema.names, batch.columns, strict=True) if name != "judged_text"]
             yield pa.RecordBatch.from_arrays(
                 [
