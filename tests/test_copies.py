@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections import Counter
 
-from conftest import rows
+from conftest import at, rows
 from pyspark.sql import functions as F
 
-from touchline.operators.joins import repeat_rows
+from touchline.operators.joins import TIMES, copied, dealt_pieces, repeat_rows
 from touchline.operators.touch import last_page_before
 from touchline.plans.ads import paid_ads_daily
 from touchline.session import materialise
@@ -67,3 +67,62 @@ def test_spans_are_dealt_also_behind_a_join_by_session(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def ad_tables(make, **given):
+    """Tables of the ad report, empty but for the rows given."""
+    schemas = {
+        "fb_insights": "date_start timestamp_ntz, campaign_id string, adset_id string, ad_id string, campaign_name string, adset_name string,"
+        " ad_name string, spend double, reach bigint, impressions bigint, clicks bigint, inline_link_clicks bigint",
+        "fb_actions": "_sdc_source_key_date_start timestamp_ntz, _sdc_source_key_ad_id string, action_type string, value double",
+        "bing_ads": "timeperiod timestamp_ntz, _sdc_report_datetime timestamp_ntz, campaignid bigint, adgroupid bigint, adid bigint,"
+        " campaignname string, adgroupname string, spend double, impressions bigint, clicks bigint, conversions double",
+        "google_ads": "day timestamp_ntz, _sdc_report_datetime timestamp_ntz, campaignid bigint, adgroupid bigint, adid bigint, campaign string,"
+        " adgroup string, ad string, cost bigint, impressions bigint, clicks bigint, conversions double",
+        "google_campaigns": "day timestamp_ntz, _sdc_report_datetime timestamp_ntz, campaignid bigint, campaign string, impressions bigint,"
+        " searchimprshare double",
+    }
+    return {name: make(schema, *given.get(name, ())) for name, schema in schemas.items()}
+
+
+DAY, LATER = at("2024-01-01"), at("2024-01-02")
+
+
+def test_equal_rows_are_merged_and_ads_repeated(make):
+    insight = (DAY, "1", "2", "3", "c", "s", "a", 1.5, 10, 20, 30, 40)
+    lead = "offsite_conversion.fb_pixel_lead"
+    bing = (DAY, LATER, 1, 2, 3, "c", "g", 1.0, 10, 20, 0.5)
+    ad = (DAY, LATER, 1, 2, 3, "c", "g", "a", 2_000_000, 10, 20, 0.5)
+    found = paid_ads_daily(
+        ad_tables(
+            make,
+            fb_insights=[insight, insight, (None, *insight[1:])],
+            fb_actions=[(DAY, "3", lead, 7.0), (DAY, "3", lead, 7.0), (DAY, "3", lead, None), (DAY, "3", lead, None), (DAY, "3", "click", 9.0),
+                        (None, "3", lead, 8.0)],
+            bing_ads=[bing, bing, (DAY, DAY, *bing[2:])],
+            google_ads=[ad, ad, (DAY, DAY, *ad[2:]), (DAY, LATER, 1, 2, 4, "alone", *ad[6:]), (DAY, LATER, 1, 2, 5, None, *ad[6:])],
+            google_campaigns=[(DAY, LATER, 1, "c", 10, 50.0), (DAY, LATER, 1, "c", 10, 50.0), (DAY, LATER, 2, "c", 30, 0.0),
+                              (DAY, DAY, 2, "c", 40, 10.0), (DAY, LATER, 3, "c", 10, None), (DAY, LATER, 4, None, 10, 50.0)],
+        )
+    )
+    count = Counter((r["platform"], r["ad_id"], r["platform_leads"], r["elig_impressions"], r["searchimprshare_valid"]) for r in found.collect())
+    assert count == {
+        ("facebook", 3, 7.0, None, 0): 1, ("facebook", 3, None, None, 0): 2, ("bing", 3, 0.5, None, 0): 1,
+        ("google", 3, 0.5, None, 1): 6, ("google", 4, 0.5, None, 0): 1, ("google", 5, 0.5, None, 0): 1,
+        ("google", None, None, 20.0, 1): 3, ("google", None, None, None, 1): 1,
+    }
+    assert found.count() == sum(count.values())
+
+
+def test_copies_are_made_behind_the_unions(make):
+    """A union would write out each copy. The newest campaigns are worked out once, so only those of one platform are left."""
+    plan = paid_ads_daily(ad_tables(make))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Union")
+    assert plan.count("Window [") == 1
+
+
+def test_pieces_stay_few(make):
+    """Rows are dealt, not copies: 25,000 copies are three rows until they are made."""
+    pieces = dealt_pieces(make("v string, n int", ("some", 25_000), ("one", 1), ("none", 0)), "n")
+    assert rows(pieces, "v", TIMES) == [("one", 1), ("some", 10_000), ("some", 10_000), ("some", 5_000)]
+    assert copied(pieces).count() == 25_001
